@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowright.llm import language, leakage, mojibake, textforms
+from foliowright.llm import language, leakage, mojibake, repeated_lines, sql, textforms
 
 
 def read(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
@@ -59,6 +59,23 @@ def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumnRenamed("row_id", "render_id").withColumn("whole", F.col("n_restored") == F.col("n_spans"))
 
 
+# 5 lines repeated across a site
+
+
+def _web(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "build_pdf", "render_id", "site", "medium", "text", "rendered_at").where("medium = 'web'")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines to remove from web renders."""
+    return repeated_lines.excessive_lines(_web(spark, sf))
+
+
+def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """Web renders without the lines their site repeats."""
+    return repeated_lines.without_lines(_web(spark, sf))
+
+
 # 7 evaluation texts
 
 
@@ -89,6 +106,6 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_restored, p7_found, p7_matches, p9_found, p9_segments)
+    f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_restored, p5_found, p5_cleaned, p7_found, p7_matches, p9_found, p9_segments)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p5_found": sql.P5_FOUND}
