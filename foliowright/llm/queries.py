@@ -8,7 +8,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowright.llm import language, leakage, mojibake, repeated_lines, sql, textforms
+from foliowright.llm import language, leakage, mojibake, repeated_lines, residue, sentences, sql, textforms
+from foliowright.session import shared_path
 
 
 def read(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
@@ -43,6 +44,28 @@ def p1_unified(spark: SparkSession, sf: str) -> DataFrame:
     return textforms.unified(edits, "original")
 
 
+# 2 template residue
+
+
+def _residue(spark: SparkSession, sf: str) -> DataFrame:
+    """Residue units of chapters and audit snippets, written once because templates and cases both read them."""
+    build = residue.scan(read(spark, sf, "build_pdf", "render_id", "text"), "render_id", "text", "build_pdf")
+    edits = residue.scan(read(spark, sf, "edits", "edit_id", "context"), "edit_id", "context", "edits")
+    path = shared_path(spark, "residue")
+    build.unionByName(edits).write.mode("overwrite").parquet(path)
+    return spark.read.schema(residue.SCHEMA).parquet(path)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters and audit snippets where residue stands in place of prose."""
+    return residue.cases(_residue(spark, sf))
+
+
+def p2_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """The induced templates of residue with the records they align."""
+    return residue.templates(_residue(spark, sf))
+
+
 # 3 wrong character encoding
 
 
@@ -59,6 +82,23 @@ def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumnRenamed("row_id", "render_id").withColumn("whole", F.col("n_restored") == F.col("n_spans"))
 
 
+# 4 sentences
+
+
+def _ebooks(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "build_pdf", "render_id", "medium", "text").where("medium = 'ebook'").select("render_id", "text")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each sentence of the ebook renders ends."""
+    return sentences.ends(_ebooks(spark, sf))
+
+
+def p4_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Every render as its sentences in reading order."""
+    return sentences.sentences(read(spark, sf, "build_pdf", "render_id", "text"))
+
+
 # 5 lines repeated across a site
 
 
@@ -106,6 +146,6 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_restored, p5_found, p5_cleaned, p7_found, p7_matches, p9_found, p9_segments)
+    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_templates, p3_found, p3_restored, p4_found, p4_sentences, p5_found, p5_cleaned, p7_found, p7_matches, p9_found, p9_segments)
 }
 ORACLES: dict[str, str] = {"p5_found": sql.P5_FOUND}
