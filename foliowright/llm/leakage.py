@@ -16,8 +16,8 @@ passage match nothing exactly; repeated rows of a document give one row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,67 +27,134 @@ from pyspark.sql import functions as F
 from foliowright.session import shared_path
 
 WORDS, CHARS = 16, 24  # least passage in words, and in letters of scripts without spaces
+NEAR = 3  # rarest terms of a window whose lists are intersected before the rest is looked at
 UNSPACED = ("zh", "ja")
 MAX_QUERY_TERMS = 5_000_000
-SEGMENT_DOCS = 2000
-INDEX_SCHEMA = "segment bigint, kind string, term int, n_docs int, n_postings int, postings binary"
+SEGMENT_CHARS = 3_000_000  # characters of a segment; documents are never split
+STRIDE = 1 << 32  # a posting is document number * STRIDE + position
+INDEX_SCHEMA = "segment bigint, docs array<bigint>, terms array<int>, counts array<int>, postings array<binary>"
 MATCH_SCHEMA = "doc_id bigint, item_id bigint, longest int, item_from int, doc_from int, kind string"
 
-_WORD = re.compile(r"[^\W_]+")
-_HAN = re.compile("[\\u3040-\\u30ff\\u3400-\\u9fff]")
 
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per code point: its case-folded form, whether it is a letter or digit, and a random 64-bit value of that form."""
+    n = 0x110000
+    fold = np.arange(n, dtype=np.uint32)
+    alnum = np.zeros(n, bool)
+    for o in range(0x32000):  # no letters or digits beyond
+        if 0xD800 <= o < 0xE000:
+            continue
+        c = chr(o)
+        alnum[o] = c.isalnum()
+        f = c.casefold()
+        if len(f) == 1:
+            fold[o] = ord(f)
+    value = np.random.default_rng(20240229).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return fold, alnum, value[fold]
 
-def tokens(text: str, chars: bool) -> list[str]:
-    """The terms of a text in order."""
-    runs = _WORD.findall(text.casefold())
-    return list("".join(runs)) if chars else runs
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(n, BASE, np.uint64))
+        down = np.cumprod(np.full(n, BASE_INVERSE, np.uint64))
+    return up, down
+
+
+BLOCK = 1 << 22
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def unfolded(text: str) -> str:
+    """Letters whose case-folding has several characters, written out."""
+    return text.replace("ß", "ss").replace("ẞ", "ss") if "ß" in text or "ẞ" in text else text
+
+
+def word_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every run of letters and digits, case ignored; all in vector operations."""
+    _, alnum, value = _tables()
+    starts, hashes = [], []
+    at = 0
+    while at < len(codes):
+        stop = min(len(codes), at + BLOCK)
+        while stop < len(codes) and alnum[codes[stop]] and alnum[codes[stop - 1]] and stop - at < 2 * BLOCK:
+            stop += 1
+        part = codes[at:stop]
+        word = alnum[part]
+        edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _powers(2 * BLOCK + 2)
+        with np.errstate(over="ignore"):
+            s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[part] * up[: len(part)])])
+            hashes.append((s[b] - s[a]) * down[a])
+        starts.append(a + at)
+        at = stop
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def terms_of(text: str, chars: bool) -> list[int]:
+    """The terms of a text in order: hashes of words, or folded code points."""
+    codes = codes_of(unfolded(text))
+    if not chars:
+        return word_hashes(codes)[1].tolist()
+    fold, alnum, _ = _tables()
+    return fold[codes[alnum[codes]]].tolist()
+
+
+def _han(codes: np.ndarray) -> np.ndarray:
+    return ((codes >= 0x3040) & (codes < 0x3100)) | ((codes >= 0x3400) & (codes < 0xA000))
 
 
 class Query:
-    """The items as term sequences over one vocabulary."""
+    """The items as sequences of term numbers."""
 
     def __init__(self, items: list[tuple[int, str, str]]):
-        self.vocab: dict[tuple[bool, str], int] = {}
+        vocab: dict[tuple[bool, int], int] = {}
         self.items: list[tuple[int, bool, np.ndarray]] = []
+        self.only_han = True  # whether every least passage of characters holds one that only unspaced scripts have
         for item_id, lang, text in items:
             chars = lang in UNSPACED
-            ts = [self.vocab.setdefault((chars, t), len(self.vocab)) for t in tokens(text or "", chars)]
-            self.items.append((item_id, chars, np.array(ts, np.int32)))
+            raw = terms_of(text or "", chars)
+            self.items.append((item_id, chars, np.array([vocab.setdefault((chars, t), len(vocab)) for t in raw], np.int32)))
+            if chars:
+                han = _han(np.array(raw, np.uint32)).astype(int)
+                run = np.convolve(han, np.ones(CHARS, int), "valid") if len(han) >= CHARS else np.ones(1, int)
+                self.only_han &= bool((run > 0).all())
         size = sum(len(x) for _, _, x in self.items)
         if size > MAX_QUERY_TERMS:
             raise ValueError(f"{size} query terms; split the items into runs of at most {MAX_QUERY_TERMS}")
-        self.words = {t: i for (chars, t), i in self.vocab.items() if not chars}
-        self.chars = {t: i for (chars, t), i in self.vocab.items() if chars}
-        #: whether every window of characters holds one that only unspaced scripts have, so other documents need no character index
-        self.only_han = all(
-            _HAN.search("".join(c for c in w))
-            for _, chars, ts in self.items
-            if chars
-            for w in self._windows(ts)
-        )
-
-    def _windows(self, ts: np.ndarray) -> Iterator[list[str]]:
-        names = {i: t for (chars, t), i in self.vocab.items() if chars}
-        s = [names[int(i)] for i in ts]
-        for i in range(max(0, len(s) - CHARS + 1)):
-            yield s[i : i + CHARS]
-
-    def plan(self, df: np.ndarray) -> list[tuple[int, int, int]]:
-        """(term, item number, offset) of anchors: every window of the least passage holds one of its rarest terms."""
+        self.size = len(vocab)
+        words = sorted((t, i) for (chars, t), i in vocab.items() if not chars)
+        self.word_hash = np.array([t for t, _ in words], np.uint64)
+        self.word_term = np.array([i for _, i in words], np.int32)
+        self.char_code = np.array([t for (chars, t), _ in vocab.items() if chars], np.int64)
+        self.char_term = np.array([i for (chars, _), i in vocab.items() if chars], np.int32)
+
+    def plan(self, df: np.ndarray) -> list[list[tuple[int, ...]]]:
+        """Per item the sets of offsets to start from: the rarest terms of each window of the least length."""
         out = []
-        for n, (_, chars, ts) in enumerate(self.items):
+        for _, chars, ts in self.items:
             w = CHARS if chars else WORDS
-            if len(ts) < w:
-                continue
             cost = df[ts]
-            at = set()
+            sets: dict[tuple[int, ...], None] = {}
             for i in range(len(ts) - w + 1):
                 window = cost[i : i + w]
-                best = window.min()
-                if best == 0:  # a term the corpus lacks: no match covers this window
+                if window.min() == 0:  # a term the corpus lacks: no match covers this window
                     continue
-                at.add(i + int(np.flatnonzero(window == best)[-1]))
-            out += [(int(ts[i]), n, i) for i in sorted(at)]
+                if sets and (last := next(reversed(sets)))[0] >= i and max(last) < i + w:
+                    continue  # the set chosen before lies in this window too
+                sets[tuple(sorted((i + np.argsort(window, kind="stable")[:NEAR]).tolist()))] = None
+            out.append(list(sets))
         return out
 
 
@@ -97,78 +164,92 @@ def read_items(items: DataFrame) -> Query:
 
 
 def _encode(values: np.ndarray) -> bytes:
-    """Delta and byte-length coding of ascending numbers."""
-    d = np.diff(values, prepend=0).astype(np.uint64)
-    top = int(d.max()) if len(d) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes((width,)) + d.astype(f"<u{width}").tobytes()
+    """Delta coding of ascending numbers, in the fewest bytes; gaps between documents go beside."""
+    d = np.diff(values, prepend=0)
+    big = np.flatnonzero(d > 0xFFFF)
+    small = np.where(d > 0xFFFF, 0, d).astype("<u2")
+    return len(big).to_bytes(4, "little") + big.astype("<u4").tobytes() + d[big].astype("<u8").tobytes() + small.tobytes()
 
 
 def _decode(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64))
-
-
-STRIDE = 1 << 24  # positions a document may have; longer ones spill into the next stride by design of the key (doc ordinal is checked)
+    n = int.from_bytes(b[:4], "little")
+    big = np.frombuffer(b, "<u4", n, 4)
+    gaps = np.frombuffer(b, "<u8", n, 4 + 4 * n)
+    d = np.frombuffer(b, "<u2", offset=4 + 12 * n).astype(np.int64)
+    d[big] = gaps
+    return np.cumsum(d)
+
+
+def _segment(q: Query, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and postings of a segment's documents."""
+    joined = [unfolded(t) for t in texts]
+    codes = codes_of("\n".join(joined))
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in joined), np.int64, len(joined)))
+    terms, keys = [], []
+    if len(q.word_hash):
+        start, h = word_hashes(codes)
+        doc = np.searchsorted(ends, start, "right")
+        first = np.searchsorted(doc, np.arange(len(texts)))
+        pos = np.arange(len(doc)) - first[doc]
+        j = np.searchsorted(q.word_hash, h)
+        j[j == len(q.word_hash)] = 0
+        ok = q.word_hash[j] == h
+        terms.append(q.word_term[j[ok]])
+        keys.append(doc[ok] * STRIDE + pos[ok])
+    if len(q.char_code):
+        fold, alnum, _ = _tables()
+        at = np.flatnonzero(alnum[codes])
+        doc = np.searchsorted(ends, at, "right")
+        if q.only_han:
+            with_han = np.zeros(len(texts), bool)
+            with_han[np.unique(np.searchsorted(ends, np.flatnonzero(_han(codes)), "right"))] = True
+            keep = with_han[doc]
+            at, doc = at[keep], doc[keep]
+        first = np.searchsorted(doc, np.arange(len(texts)))
+        pos = np.arange(len(doc)) - first[doc] if len(doc) else doc
+        lut = np.full(0x110000, -1, np.int32)
+        lut[q.char_code] = q.char_term
+        t = lut[fold[codes[at]]]
+        ok = t >= 0
+        terms.append(t[ok])
+        keys.append(doc[ok] * STRIDE + pos[ok])
+    t, k = np.concatenate(terms), np.concatenate(keys)
+    order = np.argsort(t, kind="stable")
+    return t[order], k[order]
 
 
 def build_index(docs: DataFrame, query: Query, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The postings table: one row per segment and term, and per segment one row (term -1) with its documents' ids.
-
-    A posting is ``document's number in the segment * STRIDE + position``, ascending, delta-coded.
-    """
+    """The index: one row per segment with its documents, its terms and the delta-coded postings of each."""
     shared = docs.sparkSession.sparkContext.broadcast(query)
-    names = ["segment", "kind", "term", "n_docs", "n_postings", "postings"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        q = shared.value
+        q, part, count = shared.value, TaskContext.get().partitionId(), 0
         ids: list[int] = []
         texts: list[str] = []
-        part, count = TaskContext.get().partitionId(), 0
+        size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal count
-            segment = (part << 32) + count
+            t, k = _segment(q, texts)
+            cuts = np.flatnonzero(np.diff(t, prepend=-1))
+            parts = [_encode(x) for x in np.split(k, cuts[1:])] if len(t) else []
+            row = ([(part << 32) + count], [list(ids)], [t[cuts].tolist()], [np.diff(np.append(cuts, len(t))).tolist()], [parts])
             count += 1
-            cols: list[list] = [[] for _ in names]
-            for kind, vocab in (("w", q.words), ("c", q.chars)):
-                if not vocab:
-                    continue
-                terms, keys = [], []
-                for n, t in enumerate(texts):
-                    if kind == "c" and q.only_han and not _HAN.search(t):
-                        continue
-                    found = [vocab.get(x, -1) for x in tokens(t, kind == "c")]
-                    a = np.array(found, np.int32)
-                    at = np.flatnonzero(a >= 0)
-                    if len(at):
-                        terms.append(a[at])
-                        keys.append(n * STRIDE + at)
-                if not terms:
-                    continue
-                t, k = np.concatenate(terms), np.concatenate(keys)
-                order = np.argsort(t, kind="stable")
-                t, k = t[order], k[order]
-                cuts = np.flatnonzero(np.diff(t, prepend=-1))
-                for a, b in zip(cuts, [*cuts[1:], len(t)]):
-                    post = k[a:b]
-                    row = (segment, kind, int(t[a]), len(np.unique(post // STRIDE)), int(b - a), _encode(post))
-                    for c, x in zip(cols, row):
-                        c.append(x)
-            for c, x in zip(cols, (segment, "d", -1, len(ids), 0, np.array(ids, "<i8").tobytes())):
-                c.append(x)
             ids.clear()
             texts.clear()
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names=names)
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(row, types)], names=["segment", "docs", "terms", "counts", "postings"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t)
-                if len(ids) >= SEGMENT_DOCS:
+                size += len(t)
+                if size >= SEGMENT_CHARS:
                     yield flush()
+                    size = 0
         if ids:
             yield flush()
 
@@ -178,83 +259,75 @@ def build_index(docs: DataFrame, query: Query, id_col: str = "doc_id", text_col:
 
 def frequencies(index: DataFrame, query: Query) -> np.ndarray:
     """Postings of each query term in the whole corpus; as many numbers as the items have terms."""
-    out = np.zeros(len(query.vocab), np.int64)
-    for term, n in index.where("term >= 0").groupBy("term").agg(F.sum("n_postings")).collect():
+    out = np.zeros(query.size, np.int64)
+    pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("p"))
+    for term, n in pairs.groupBy("p.terms").agg(F.sum("p.counts")).collect():
         out[term] = n
     return out
 
 
-def search(index: DataFrame, query: Query, anchors: list[tuple[int, int, int]], least_words: int = WORDS, least_chars: int = CHARS) -> DataFrame:
-    """Documents with a run of an item's terms: the longest run of each pair of document and item.
+def _within(p: np.ndarray, want: np.ndarray) -> np.ndarray:
+    j = np.searchsorted(p, want)
+    j[j == len(p)] = len(p) - 1
+    return p[j] == want
 
-    Within a segment, the posting lists of the anchors give alignments (document, item, offset); from
-    there the lists of the neighbouring terms, shifted by their offsets, are intersected outwards.
+
+def search(index: DataFrame, query: Query, plan: list[list[tuple[int, ...]]], least_words: int = WORDS, least_chars: int = CHARS) -> DataFrame:
+    """Documents with a run of an item's terms: the longest run of each document and item.
+
+    Within a segment the lists of a window's rarest terms, shifted by their offsets, are intersected;
+    each alignment that is left is followed through the lists of all the item's terms.
     """
-    shared = index.sparkSession.sparkContext.broadcast((query, anchors))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        q, plan = shared.value
-        terms = table.column("term").to_pylist()
-        posts = table.column("postings").to_pylist()
-        ids = np.zeros(0, np.int64)
-        lists: dict[int, bytes] = {}
-        for t, p in zip(terms, posts):
-            if t < 0:
-                ids = np.frombuffer(p, "<i8")
-            else:
-                lists[t] = p
-        out: list[list] = [[] for _ in range(6)]
-        cache: dict[int, np.ndarray] = {}
-
-        def of(t: int) -> np.ndarray:
-            if t not in cache:
-                cache[t] = _decode(lists[t]) if t in lists else np.zeros(0, np.int64)
-            return cache[t]
-
-        by: dict[int, list[tuple[int, int]]] = {}
-        for t, n, i in plan:
-            if t in lists:
-                by.setdefault(n, []).append((t, i))
-        for n, own in by.items():
-            item_id, chars, ts = q.items[n]
-            least = least_chars if chars else least_words
-            # alignments: position of the item's first term in the document
-            diag = np.unique(np.concatenate([of(t) - i for t, i in own]))
-            if not len(diag):
-                continue
-            # anchors of windows: an alignment is worth following where an anchor's window fits
-            hit = np.zeros((len(ts), len(diag)), bool)
-            alive = np.ones(len(diag), bool)
-            for i, t in enumerate(ts.tolist()):
-                p = of(t)
-                if not len(p):
-                    continue
-                want = diag[alive] + i
-                j = np.searchsorted(p, want)
-                j[j == len(p)] = len(p) - 1
-                hit[i, alive] = p[j] == want
-                # no run of the least length can end any more: drop the alignment
-                if i >= least and i % 8 == 0:
-                    alive &= self_possible(hit[: i + 1], len(ts), least)
-                    if not alive.any():
-                        break
-            longest, start = _runs(hit)
-            for d in np.flatnonzero(longest >= least):
-                k = int(diag[d]) + int(start[d])
-                for col, x in zip(out, (int(ids[k // STRIDE]), item_id, int(longest[d]), int(start[d]) + 1, k % STRIDE + 1, "chars" if chars else "words")):
-                    col.append(x)
+    shared = index.sparkSession.sparkContext.broadcast((query, plan))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, sets = shared.value
+        names = ["doc_id", "item_id", "longest", "item_from", "doc_from", "kind"]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "item_id", "longest", "item_from", "doc_from", "kind"])
+        for b in batches:
+            for r in range(b.num_rows):
+                ids = b.column(0)[r].as_py()
+                lists = dict(zip(b.column(1)[r].as_py(), b.column(2)[r].as_py()))
+                rows = list(_search(q, sets, ids, lists, least_words, least_chars))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=names)
 
-    return index.groupBy("segment").applyInArrow(run, MATCH_SCHEMA)
+    return index.select("docs", "terms", "postings").mapInArrow(run, MATCH_SCHEMA)
 
 
-def self_possible(hit: np.ndarray, total: int, least: int) -> np.ndarray:
-    """Alignments that hold a run of the least length so far or can still reach one."""
-    longest, _ = _runs(hit)
-    seen = len(hit)
-    tail = np.where(hit.all(0), seen, hit[::-1].argmin(0))
-    return (longest >= least) | (tail + total - seen >= least)
+def _search(q: Query, sets: list[list[tuple[int, ...]]], ids: list[int], lists: dict[int, bytes], least_words: int, least_chars: int) -> Iterator[tuple]:
+    cache: dict[int, np.ndarray] = {}
+
+    def of(t: int) -> np.ndarray | None:
+        if t not in cache:
+            cache[t] = _decode(lists[t])
+        return cache[t]
+
+    for (item_id, chars, ts), own in zip(q.items, sets):
+        least = least_chars if chars else least_words
+        found = []
+        for offsets in own:
+            terms = [int(ts[i]) for i in offsets]
+            if not all(t in lists for t in terms):
+                continue
+            order = sorted(range(len(offsets)), key=lambda i: len(lists[terms[i]]))
+            diag = of(terms[order[0]]) - offsets[order[0]]
+            for i in order[1:]:
+                diag = diag[_within(of(terms[i]), diag + offsets[i])]
+                if not len(diag):
+                    break
+            if len(diag):
+                found.append(diag)
+        if not found:
+            continue
+        diag = np.unique(np.concatenate(found))
+        hit = np.zeros((len(ts), len(diag)), bool)
+        for i, t in enumerate(ts.tolist()):
+            if t in lists:
+                hit[i] = _within(of(t), diag + i)
+        longest, start = _runs(hit)
+        for d in np.flatnonzero(longest >= least):
+            k = int(diag[d]) + int(start[d])
+            yield ids[k // STRIDE], item_id, int(longest[d]), int(start[d]) + 1, k % STRIDE + 1, "chars" if chars else "words"
 
 
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
