@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowright.llm import language, leakage, mojibake, repeated_lines, residue, sentences, sql, textforms
+from foliowright.llm import language, leakage, mixing, mojibake, repeated_lines, residue, scans, sentences, sql, textforms
 from foliowright.session import shared_path
 
 
@@ -116,6 +116,23 @@ def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.without_lines(_web(spark, sf))
 
 
+# 6 scanned pages
+
+
+def _scans(spark: SparkSession, sf: str) -> scans.Analysis:
+    return scans.Analysis(spark, read(spark, sf, "build_pdf", "render_id", "medium", "novel", "text"), read(spark, sf, "lang_samples", "lang", "text"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Furniture, cut words and misread words of scans, by line."""
+    return _scans(spark, sf).found()
+
+
+def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Scans as continuous, corrected paragraphs."""
+    return _scans(spark, sf).repaired()
+
+
 # 7 evaluation texts
 
 
@@ -131,6 +148,23 @@ def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.matches(spark, docs, read(spark, sf, "eval_items", "item_id", "lang", "text"))
 
 
+# 8 mixing
+
+
+def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
+    return mixing.Mix(spark, read(spark, sf, "documents", "doc_id", "source", "text"), read(spark, sf, "mix_targets", "mix_name", "source", "target_share", "max_repeats"))
+
+
+def p8_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents each mix draws and how often."""
+    return _mix(spark, sf).draws()
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Reached shares beside the targets."""
+    return _mix(spark, sf).report()
+
+
 # 9 languages
 
 
@@ -146,6 +180,6 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_templates, p3_found, p3_restored, p4_found, p4_sentences, p5_found, p5_cleaned, p7_found, p7_matches, p9_found, p9_segments)
+    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_templates, p3_found, p3_restored, p4_found, p4_sentences, p5_found, p5_cleaned, p6_found, p6_repaired, p7_found, p7_matches, p8_draws, p8_report, p9_found, p9_segments)
 }
 ORACLES: dict[str, str] = {"p5_found": sql.P5_FOUND}
