@@ -1,14 +1,338 @@
-"""The reference engine's own operators as named queries with their SQL."""
+"""The engine's own operators as named queries over whole tables; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from foliowright.functions import naming as N
+from foliowright.functions import text as T
+from foliowright.operators import audit, layout, lexicon, lines
+from foliowright.operators.watermark import site_gate, strip_watermarks
+from foliowright.plans import batch
+from foliowright.plans.clean import clean
+from foliowright.plans.oracles import DIRTY, ORACLES  # noqa: F401
+from foliowright.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with one of each artefact put before their text by a deterministic expression."""
+    return table(spark, sf, "documents").select("doc_id", F.expr(DIRTY).alias("text"))
+
+
+def _rule(name: str, rule: Callable[[Column], Column], source: str = "dirty") -> None:
+    """A query that applies one rule to every text."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        if source == "dirty":
+            return dirty(spark, sf).select("doc_id", rule(F.col("text")).alias("text"))
+        return table(spark, sf, source).select(F.col("render_id"), rule(F.col("text")).alias("text"))
+
+    run.__name__, run.__doc__ = name, rule.__doc__
+    QUERIES[name] = run
+
+
+for _name, _f in {
+    "straight_quotes": T.straight_quotes, "scanner_glyphs": T.drop_scanner_glyphs, "collapse_spaces": T.collapse_spaces, "ligatures": T.expand_ligatures,
+    "keep_headers": T.keep_headers, "page_numbers": T.unglue_page_numbers, "join_wrapped": T.join_wrapped, "undot_words": T.undot_words, "unpipe_words": T.unpipe_words,
+    "zeros_in_words": T.zeros_in_words, "misread_words": T.misread_words, "unglue_contractions": T.unglue_contractions, "repair_ocr": T.repair_ocr, "join_split_words": T.join_split_words, "ratios": T.ratios, "spaced_dashes": T.spaced_dashes,
+    "punctuation": T.repair_punctuation, "articles": T.articles, "tidy": T.tidy, "normalize_titles": T.normalize_titles, "drop_markers": T.drop_markers,
+    "drop_links": T.drop_links, "decorative_runs": T.drop_decoration, "promo_lines": T.drop_promo_lines, "cut_repeated_heading": T.cut_repeated_heading,
+    "drop_repeated_headings": T.drop_repeated_headings, "page_breaks": T.page_breaks, "paragraph_text": T.paragraphs, "escape_markup": T.escape_markup, "snippets": T.snippet,
+}.items():
+    _rule(_name, _f)
+for _name, _f in {"normalize_unicode": T.normalize_unicode, "build_quotes": T.straight_quotes, "build_ratios": T.ratios, "build_tidy": T.tidy}.items():
+    _rule(_name, _f, "build_pdf")
+
+
+# lines, paragraphs, pages
+
+
+@query
+def reconstruct_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.paragraph_rows(dirty(spark, sf), "doc_id", "text")
+
+
+@query
+def paragraph_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.paragraph_rows(dirty(spark, sf), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.max(F.length("paragraph")).cast("long").alias("longest"))
+
+
+@query
+def doubled_headings(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.doubled_headings(dirty(spark, sf), "doc_id", "text")
+
+
+@query
+def numbered_headings(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.numbered_headings(dirty(spark, sf), "doc_id", "text")
+
+
+@query
+def duplicate_titles(spark: SparkSession, sf: str) -> DataFrame:
+    t = dirty(spark, sf).select("doc_id", T.normalize_titles(F.col("text")).alias("text"))
+    return lines.duplicate_titles(t, "doc_id", "text")
+
+
+@query
+def page_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.pages(dirty(spark, sf), "doc_id", "text")
+
+
+@query
+def heading_violations(spark: SparkSession, sf: str) -> DataFrame:
+    d = dirty(spark, sf).select("doc_id", F.posexplode(T.heading_violations(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("n", "heading"))
+    return d.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), "heading")
+
+
+@query
+def page_layout(spark: SparkSession, sf: str) -> DataFrame:
+    t = dirty(spark, sf).select("doc_id", T.page_breaks(T.normalize_titles(T.paragraphs(F.col("text")))).alias("text"))
+    return layout.layout(t, "doc_id", "text")
+
+
+@query
+def build_layout(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.layout(table(spark, sf, "build_pdf").select("render_id", "text"), "render_id", "text")
+
+
+@query
+def heading_only_pages(spark: SparkSession, sf: str) -> DataFrame:
+    t = dirty(spark, sf).select("doc_id", T.page_breaks(F.regexp_replace(F.col("text"), r"(?s)^[^\n]*\n.*?(?=\nchapter|$)", "Chapter 1: Lone.\n")).alias("text"))
+    return layout.heading_only_pages(t, "doc_id", "text")
+
+
+# detectors
+
+
+@query
+def error_pages(spark: SparkSession, sf: str) -> DataFrame:
+    both = table(spark, sf, "edits").select(F.col("edit_id").alias("id"), F.col("context").alias("text")).unionByName(table(spark, sf, "build_pdf").select(F.col("render_id").alias("id"), "text"))
+    return both.select("id", T.error_page(F.col("text")).alias("reason")).where("reason is not null")
+
+
+@query
+def low_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "build_pdf").where(T.low_confidence(F.col("text"))).select("render_id", F.coalesce(F.length(T.strip(F.col("text"))), F.lit(0)).cast("long").alias("n_chars"))
+
+
+@query
+def near_site_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Dotted tokens of all texts whose name is near a known site's."""
+    src = dirty(spark, sf).select("text").unionByName(table(spark, sf, "edits").select(F.col("original").alias("text")))
+    tokens = src.select(F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9]+)\.(?:net|com)"), F.lit(1))).alias("name"))
+    counted = tokens.groupBy("name").agg(F.count("*").alias("n"))
+    return counted.select("name", "n", site_gate(F.col("name")).alias("junk"))
+
+
+@query
+def site_watermarks(spark: SparkSession, sf: str) -> DataFrame:
+    t = strip_watermarks(dirty(spark, sf), "text")
+    return t.select("doc_id", "text", F.size("watermark_edits").cast("long").alias("n_removed"))
+
+
+# protected terms and dispatch
+
+
+@query
+def lexicon_order(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.ordered(table(spark, sf, "lexicon_terms"))
+
+
+@query
+def lexicon_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.variants(table(spark, sf, "lexicon_terms"))
+
+
+@query
+def floor_outside_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Floor terms an index file lacks."""
+    t = table(spark, sf, "lexicon_terms")
+    part = lambda origin: t.where(F.col("origin") == origin).select("profile", "term")
+    return part("floor").distinct().join(part("index"), ["profile", "term"], "left_anti")
+
+
+@query
+def protected_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each protected term of the first profile stands in each chapter."""
+    mask = lexicon.Mask(lexicon.load(table(spark, sf, "lexicon_terms"), "profile_a"), headings=False)
+    return lexicon.term_counts(table(spark, sf, "build_pdf").select("render_id", "text").distinct(), "render_id", "text", mask)
+
+
+@query
+def terms_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters of profiled novels in which cleaning lost a protected term; none should."""
+    terms = lexicon.load(table(spark, sf, "lexicon_terms"), "profile_a")
+    mask = lexicon.Mask(terms, headings=False)
+    src = batch.dispatch(table(spark, sf, "build_pdf"), "novel", batch.registry(table(spark, sf, "dispatch_cases"))).where("profile = 'profile_a'").select("render_id", "text").distinct()
+    n = lambda c: F.size(mask.hits(c)).cast("long")
+    done = clean(src, "text", terms)
+    return done.select("render_id", n(F.coalesce("text", F.lit(""))).alias("before"), n(F.col("clean_text")).alias("after")).where("after < before")
+
+
+@query
+def dispatch_novels(spark: SparkSession, sf: str) -> DataFrame:
+    reg = batch.registry(table(spark, sf, "dispatch_cases"))
+    d = batch.dispatch(table(spark, sf, "run_metadata").select("run_id", "selected"), "selected", reg)
+    return d.select("run_id", "norm_key", "pipeline", "mode", "has_profile", "index_filename")
+
+
+@query
+def dispatch_agrees(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs whose recorded mode or pipeline is not what dispatch gives."""
+    reg = batch.registry(table(spark, sf, "dispatch_cases"))
+    m = table(spark, sf, "run_metadata").select("run_id", "selected", F.col("mode").alias("was_mode"), F.col("pipeline").alias("was_pipeline"))
+    return batch.dispatch(m, "selected", reg).where("mode <> was_mode or pipeline <> was_pipeline").select("run_id", "was_mode", "mode", "was_pipeline", "pipeline")
+
+
+@query
+def novel_roster(spark: SparkSession, sf: str) -> DataFrame:
+    cases = table(spark, sf, "dispatch_cases")
+    return files.roster(cases.select("index_filename"), batch.registry(cases)).select("group", "entry")
+
+
+@query
+def editing_notes(spark: SparkSession, sf: str) -> DataFrame:
+    cases = table(spark, sf, "dispatch_cases")
+    base = spark.createDataFrame([("Base rules.",)], "text string")
+    layers = batch.registry(cases).select(N.markdown_filename(F.col("display_name")).alias("name"), F.concat(F.lit("Layer of "), "profile").alias("text"))
+    return files.notes(base, layers, cases.select(F.col("input_name").alias("novel")))
+
+
+# names and paths
+
+
+@query
+def name_forms(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("input_name")
+    return table(spark, sf, "dispatch_cases").select(
+        "input_name", N.norm_key(x).alias("norm_key"), N.kebab(x).alias("kebab"), N.index_filename(x).alias("index_name"), N.markdown_filename(x).alias("markdown_name"),
+        N.display_name(F.coalesce("index_filename", F.lit(""))).alias("display_name"), N.sanitize(x).alias("safe_name"), N.clean_novel(F.concat(x, F.lit(N.NO_PROFILE))).alias("unmarked"),
+    )
+
+
+@query
+def upload_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return files.scan_upload(table(spark, sf, "batch_inputs").select("run_id", "seq", "path"))
+
+
+@query
+def natural_order(spark: SparkSession, sf: str) -> DataFrame:
+    return files.in_natural_order(table(spark, sf, "batch_inputs").select("path").distinct()).select("path", F.replace("natural_key", F.lit("\u0001"), F.lit("|")).alias("natural_key"))
+
+
+@query
+def missing_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "batch_inputs").select("run_id", "seq", "path", "file_exists")
+    return b.join(b.where("file_exists").select("run_id", "seq"), ["run_id", "seq"], "left_anti").select("run_id", "seq", "path")
+
+
+@query
+def output_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Every input's output path without a collision, in processing order."""
+    b = table(spark, sf, "batch_inputs").select("run_id", "seq", "path").distinct()
+    b = b.withColumn("folder", N.mirrored(F.col("path"), "in", F.lit("out"))).withColumn("name", N.basename(F.col("path")))
+    named = N.unique_paths(b, "folder", "name", ["run_id", "seq", "path"])
+    return named.select("run_id", "seq", "path", "output_path", N.debug_path(F.col("output_path")).alias("debug_path"))
+
+
+@query
+def next_batch_number(spark: SparkSession, sf: str) -> DataFrame:
+    runs = table(spark, sf, "summary").select(N.basename(F.col("output_dir")).alias("folder"))
+    base = F.regexp_replace("folder", r"-\d+$", "")
+    return runs.groupBy(base.alias("base")).agg((F.max(F.regexp_extract("folder", r"-(\d{1,18})$", 1).cast("bigint")) + 1).alias("next_number"))
+
+
+# batches and audit
+
+
+@query
+def input_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    return batch.statuses(table(spark, sf, "batch_inputs")).select("run_id", "seq", "path", "status")
+
+
+@query
+def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return batch.summaries(batch.statuses(table(spark, sf, "batch_inputs")))
+
+
+@query
+def run_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded summaries beside what their runs' inputs give."""
+    ours = batch.summaries(batch.statuses(table(spark, sf, "batch_inputs")))
+    theirs = table(spark, sf, "summary").select("run_id", F.col("total").alias("said_total"), F.size("outputs").cast("long").alias("n_outputs"), "profile_applied")
+    return ours.join(theirs, "run_id")
+
+
+@query
+def logged_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Log rows by rule and category that changed something, flags apart."""
+    e = table(spark, sf, "edits").dropDuplicates(["edit_id"]).where("original <> replacement")
+    return e.groupBy("rule", "category").agg(F.count("*").alias("n"), F.sum((F.col("category") != "integrity_flag").cast("long")).alias("n_edits"))
+
+
+@query
+def edit_counts(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "edits").dropDuplicates(["edit_id"])
+    return e.where("original <> replacement and category <> 'integrity_flag'").groupBy("doc_id").agg(F.count("*").alias("n_edits"), F.max("seq").cast("long").alias("last_seq"))
+
+
+@query
+def log_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "edits").select("edit_id", T.snippet(F.coalesce("context", F.lit(""))).alias("snippet"))
+
+
+@query
+def audit_rows(spark: SparkSession, sf: str) -> DataFrame:
+    done = clean(dirty(spark, sf), "text")
+    return audit.rows(done, "doc_id")
+
+
+@query
+def audit_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    done = clean(dirty(spark, sf), "text")
+    return audit.jsonl(done, "doc_id", F.struct(F.lit("run_metadata").alias("record"), F.lit("universal").alias("pipeline")))
+
+
+@query
+def clean_universal(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chapter through the universal plan."""
+    done = clean(table(spark, sf, "build_pdf").select("render_id", "text"), "text")
+    return done.select("render_id", "clean_text", audit.edit_count(F.col("edits")).alias("n_edits"), "error_reason")
+
+
+@query
+def clean_profiled(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters of profiled novels, each profile with its own terms; the few profiles are planned as branches of one query."""
+    cases, terms = table(spark, sf, "dispatch_cases"), table(spark, sf, "lexicon_terms")
+    src = batch.dispatch(table(spark, sf, "build_pdf"), "novel", batch.registry(cases)).select("render_id", "profile", "text")
+    out = None
+    for (profile,) in terms.select("profile").where("profile is not null").distinct().orderBy("profile").collect():
+        own = clean(src.where(F.col("profile") == profile), "text", lexicon.load(terms, profile), profiled=True)
+        part = own.select("render_id", "profile", "clean_text", audit.edit_count(F.col("edits")).alias("n_edits"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def clean_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    done = clean(dirty(spark, sf), "text", tier2=True, profiled=True)
+    return done.select("doc_id", "clean_text", audit.edit_count(F.col("edits")).alias("n_edits"), F.size("heading_violations").cast("long").alias("n_violations"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    return clean_universal(spark, sf)
