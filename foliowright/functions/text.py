@@ -50,7 +50,7 @@ MIN_CHARS = 100
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$", "")
 
 
 def chain(c: Column, *steps: tuple[str, str]) -> Column:
@@ -88,6 +88,9 @@ def _compose(s):  # noqa: ANN001, ANN202
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+_compose = _compose.asNondeterministic()  # keeps the optimizer from copying it into later expressions
+
+
 def compose(c: Column) -> Column:
     """Canonical composition (NFC): the one rule the JVM lacks; texts that cannot change are not sent."""
     return F.coalesce(_compose(F.when(needs_composing(c), c)), c)
@@ -110,7 +113,7 @@ def drop_scanner_glyphs(c: Column) -> Column:
 
 
 def collapse_spaces(c: Column) -> Column:
-    return chain(c, (r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n"))
+    return chain(c, (r"[ \t]{2,}", " "), (r"(?<![ \t])[ \t]++\n", "\n"))
 
 
 def expand_ligatures(c: Column) -> Column:
@@ -275,7 +278,7 @@ def unglue_contractions(c: Column) -> Column:
     a = APOSTROPHES
     return chain(
         c,
-        (rf"([A-Za-z]+{a}s)([a-zA-Z]{{2,}})", "$1 $2"), (rf"(n{a}t)([a-zA-Z]{{2,}})", "$1 $2"),
+        (rf"(?<![A-Za-z])([A-Za-z]++{a}s)([a-zA-Z]{{2,}})", "$1 $2"), (rf"(n{a}t)([a-zA-Z]{{2,}})", "$1 $2"),
         *[(rf"({a}{x})([a-zA-Z]{{2,}})", "$1 $2") for x in ("ll", "ve", "re")],
         (rf"(?U)\b([Ii]|[Ww]e|[Yy]ou|[Tt]hey|[Hh]e|[Ss]he|[Ii]t){a}(m|ve|re|ll|d)([a-zA-Z]{{2,}})\b", "$1'$2 $3"),
         *[(rf"(?iuU)\b{bad}\b", good) for bad, good in GLUED_WORDS.items()],
@@ -303,7 +306,7 @@ def ratios(c: Column) -> Column:
 def spaced_dashes(c: Column) -> Column:
     """No long dash with blanks on both sides: a full stop before a capital, else a comma."""
     for _ in range(2):
-        c = chain(c, (rf"(?U)(\S+)\s+{DASHES}\s+(?=\S)(\S+)", f"$1{SENTINEL}$2"), (rf"{SENTINEL}(?=\p{{IsUppercase}})", ". "), (SENTINEL, ", "))
+        c = chain(c, (rf"(?U)(?<!\S)(\S++)\s++{DASHES}\s++(\S++)", f"$1{SENTINEL}$2"), (rf"{SENTINEL}(?=\p{{IsUppercase}})", ". "), (SENTINEL, ", "))
     nb = "\u00a0"
     for _ in range(4):
         for dash in (" — ", f"{nb}—{nb}", f"{nb}— ", f" —{nb}", " – ", f"{nb}–{nb}"):
@@ -315,7 +318,7 @@ def repair_punctuation(c: Column) -> Column:
     return chain(
         c,
         (",,+", ","), (r"(?<!\.)\.\.(?!\.)", "."), (r"([?!])\.(?!\.)", "$1"), (",(?=[A-Za-z])", ", "),
-        (r"(?<=[a-z])([.!?])(?=[A-Z])", "$1 "), (r"(?U)\s+([,;:!?])", "$1"),
+        (r"(?<=[a-z])([.!?])(?=[A-Z])", "$1 "), (r"(?U)(?<!\s)\s++([,;:!?])", "$1"),
     )
 
 

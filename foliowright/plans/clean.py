@@ -49,13 +49,11 @@ def clean(df: DataFrame, text_col: str, terms: tuple[str, ...] = (), fixes: dict
         d = d.withColumn("_e", F.concat("_e", F.transform(gone, lambda x: audit.entry(T.strip(x), F.lit(""), F.lit("junk_strip.tier2_line"), "fingerprint", x)))).withColumn("_t", T.drop_promo_lines(t, terms))
     for rule in (T.drop_scanner_glyphs, T.keep_headers, T.cut_repeated_heading, T.drop_repeated_headings, T.unglue_page_numbers, T.join_wrapped):
         d = d.withColumn("_t", rule(t))
-    d = d.withColumn("_dashes", F.regexp_count(t, F.lit(rf"(?U)\S+\s+{T.DASHES}\s+\S+"))).withColumn("_t", T.paragraphs(t))
+    d = d.withColumn("_dashes", F.regexp_count(t, F.lit(rf"(?U)(?<!\S)\S++\s++{T.DASHES}\s++\S++"))).withColumn("_t", T.paragraphs(t))
     mask = Mask(terms)
     d = d.withColumn("_slashes", _slashes(t)).withColumn("_t", mask.apply(t, _repairs)).withColumn("_slashes", F.col("_slashes") - _slashes(t))
     for bad in sorted(fixes, key=lambda k: (-len(k), k)):
-        hit = F.aggregate(mask.gaps(t), F.lit(False), lambda acc, g, b=bad: acc | F.contains(g, F.lit(b)))
-        d = d.withColumn("_e", F.concat("_e", audit.only(hit, audit.entry(F.lit(bad), F.lit(fixes[bad]), F.lit("special_fixes"), "forced_substitution", F.lit(bad)))))
-        d = d.withColumn("_t", mask.apply(t, lambda g, b=bad: F.replace(g, F.lit(b), F.lit(fixes[b]))))
+        d = _force(d, mask, bad, fixes[bad])
     for rule in (T.normalize_titles, T.repair_punctuation, T.articles, T.spaced_dashes, T.drop_repeated_titles, T.tidy, T.page_breaks):
         d = d.withColumn("_t", rule(t))
     if profiled:
@@ -66,5 +64,14 @@ def clean(df: DataFrame, text_col: str, terms: tuple[str, ...] = (), fixes: dict
     return d.drop("_raw", "_t", "_e", "_marks", "_dashes", "_slashes")
 
 
+def _force(d: DataFrame, mask: Mask, bad: str, good: str) -> DataFrame:
+    """One forced fix in the gaps between protected spans, with its entry."""
+    t = F.col("_t")
+    hit = F.exists(mask.gaps(t), lambda g: F.contains(g, F.lit(bad)))
+    e = audit.entry(F.lit(bad), F.lit(good), F.lit("special_fixes"), "forced_substitution", F.lit(bad))
+    d = d.withColumn("_e", F.concat("_e", audit.only(hit, e)))
+    return d.withColumn("_t", mask.apply(t, lambda g: F.replace(g, F.lit(bad), F.lit(good))))
+
+
 def _slashes(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit("")))
