@@ -68,6 +68,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def guarded(c: Column, test: str, rule: Callable[[Column], Column]) -> Column:
+    """A rule of many passes, made only where its test finds work; the value is bound, so it is computed once."""
+    return let(c, lambda x: F.when(x.rlike(test), rule(x)).otherwise(x))
+
+
 # unicode
 
 
@@ -271,18 +276,19 @@ def zeros_in_words(c: Column) -> Column:
 
 
 def misread_words(c: Column) -> Column:
-    return chain(c, *[(rf"(?U)\b{bad}\b", good) for bad, good in MISREAD_WORDS.items()])
+    return guarded(c, rf"(?U)\b(?:{'|'.join(MISREAD_WORDS)})\b", lambda x: chain(x, *[(rf"(?U)\b{bad}\b", good) for bad, good in MISREAD_WORDS.items()]))
 
 
 def unglue_contractions(c: Column) -> Column:
     a = APOSTROPHES
-    return chain(
-        c,
+    marked = [
         (rf"(?<![A-Za-z])([A-Za-z]++{a}s)([a-zA-Z]{{2,}})", "$1 $2"), (rf"(n{a}t)([a-zA-Z]{{2,}})", "$1 $2"),
         *[(rf"({a}{x})([a-zA-Z]{{2,}})", "$1 $2") for x in ("ll", "ve", "re")],
         (rf"(?U)\b([Ii]|[Ww]e|[Yy]ou|[Tt]hey|[Hh]e|[Ss]he|[Ii]t){a}(m|ve|re|ll|d)([a-zA-Z]{{2,}})\b", "$1'$2 $3"),
-        *[(rf"(?iuU)\b{bad}\b", good) for bad, good in GLUED_WORDS.items()],
-    )
+    ]
+    c = guarded(c, rf"{a}[a-z]+[a-zA-Z]{{2}}", lambda x: chain(x, *marked))
+    glued = [(rf"(?iuU)\b{bad}\b", good) for bad, good in GLUED_WORDS.items()]
+    return guarded(c, rf"(?iuU)\b(?:{'|'.join(GLUED_WORDS)})\b", lambda x: chain(x, *glued))
 
 
 def repair_ocr(c: Column) -> Column:
@@ -296,7 +302,8 @@ def join_split_words(c: Column) -> Column:
     rejoin = r"(?U)(?<=\s)(?:(?<=a )([b-hj-z]\s[a-z])|([b-hj-z])\s([a-z]))"
     c = by_line(c, lambda x: F.regexp_replace(x, rejoin, "$1$2$3"))
     c = F.regexp_replace(c, r"(?U)\ba\s([bcdfghjklmnpqrstvwxyz])\1", "a$1$1")
-    return chain(c, *[(r"(?U)\b" + w.replace(" ", r"\s+") + r"\b", w.replace(" ", "")) for w in SPLIT_WORDS])
+    split = {w.replace(" ", r"\s+"): w.replace(" ", "") for w in SPLIT_WORDS}
+    return guarded(c, rf"(?U)\b(?:{'|'.join(split)})\b", lambda x: chain(x, *[(rf"(?U)\b{bad}\b", good) for bad, good in split.items()]))
 
 
 def ratios(c: Column) -> Column:
@@ -305,6 +312,10 @@ def ratios(c: Column) -> Column:
 
 def spaced_dashes(c: Column) -> Column:
     """No long dash with blanks on both sides: a full stop before a capital, else a comma."""
+    return guarded(c, DASHES, _spaced_dashes)
+
+
+def _spaced_dashes(c: Column) -> Column:
     for _ in range(2):
         c = chain(c, (rf"(?U)(?<!\S)(\S++)\s++{DASHES}\s++(\S++)", f"$1{SENTINEL}$2"), (rf"{SENTINEL}(?=\p{{IsUppercase}})", ". "), (SENTINEL, ", "))
     nb = "\u00a0"

@@ -40,7 +40,7 @@ def layout(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     paras = F.filter(F.split("sheet", "\n\n", -1), full)
     para = page.select(id_col, "page", F.posexplode_outer(paras).alias("para", "p"))
     flat = T.strip(F.regexp_replace("p", r"(?U)\s+", " "))
-    part = para.select(id_col, "page", "para", F.posexplode(F.when(F.col("p").isNull(), F.array(F.struct(F.lit("body").alias("kind"), F.lit(NOTHING).alias("text")))).otherwise(_parts(flat))).alias("part", "x"))
+    part = para.select(id_col, "page", "para", F.posexplode(F.when(F.col("p").isNull(), F.array(F.struct(F.lit("body").alias("kind"), F.lit(NOTHING).alias("text")))).otherwise(T.let(flat, _parts))).alias("part", "x"))
     number = lambda c: (F.coalesce(F.col(c), F.lit(0)) + 1).cast("long")
     return part.select(id_col, number("page").alias("page_no"), number("para").alias("para_no"), number("part").alias("part_no"), F.col("x.kind").alias("kind"), F.col("x.text").alias("text"))
 

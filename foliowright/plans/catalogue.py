@@ -14,6 +14,7 @@ from foliowright.operators.watermark import site_gate, strip_watermarks
 from foliowright.plans import batch
 from foliowright.plans.clean import clean
 from foliowright.plans.oracles import DIRTY, ORACLES  # noqa: F401
+from foliowright.session import spread
 from foliowright.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +108,7 @@ def page_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def build_layout(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.layout(table(spark, sf, "build_pdf").select("render_id", "text"), "render_id", "text")
+    return layout.layout(spread(table(spark, sf, "build_pdf").select("render_id", "text")), "render_id", "text")
 
 
 @query
@@ -170,7 +171,7 @@ def floor_outside_index(spark: SparkSession, sf: str) -> DataFrame:
 def protected_terms(spark: SparkSession, sf: str) -> DataFrame:
     """How often each protected term of the first profile stands in each chapter."""
     mask = lexicon.Mask(lexicon.load(table(spark, sf, "lexicon_terms"), "profile_a"), headings=False)
-    return lexicon.term_counts(table(spark, sf, "build_pdf").select("render_id", "text").distinct(), "render_id", "text", mask)
+    return lexicon.term_counts(spread(table(spark, sf, "build_pdf").select("render_id", "text")).distinct(), "render_id", "text", mask)
 
 
 @query
@@ -298,20 +299,20 @@ def log_snippets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def audit_rows(spark: SparkSession, sf: str) -> DataFrame:
-    done = clean(dirty(spark, sf), "text")
+    done = clean(spread(dirty(spark, sf)), "text")
     return audit.rows(done, "doc_id")
 
 
 @query
 def audit_jsonl(spark: SparkSession, sf: str) -> DataFrame:
-    done = clean(dirty(spark, sf), "text")
+    done = clean(spread(dirty(spark, sf)), "text")
     return audit.jsonl(done, "doc_id", F.struct(F.lit("run_metadata").alias("record"), F.lit("universal").alias("pipeline")))
 
 
 @query
 def clean_universal(spark: SparkSession, sf: str) -> DataFrame:
     """Every chapter through the universal plan."""
-    done = clean(table(spark, sf, "build_pdf").select("render_id", "text"), "text")
+    done = clean(spread(table(spark, sf, "build_pdf").select("render_id", "text")), "text")
     return done.select("render_id", "clean_text", audit.edit_count(F.col("edits")).alias("n_edits"), "error_reason")
 
 
@@ -319,7 +320,7 @@ def clean_universal(spark: SparkSession, sf: str) -> DataFrame:
 def clean_profiled(spark: SparkSession, sf: str) -> DataFrame:
     """Chapters of profiled novels, each profile with its own terms; the few profiles are planned as branches of one query."""
     cases, terms = table(spark, sf, "dispatch_cases"), table(spark, sf, "lexicon_terms")
-    src = batch.dispatch(table(spark, sf, "build_pdf"), "novel", batch.registry(cases)).select("render_id", "profile", "text")
+    src = batch.dispatch(spread(table(spark, sf, "build_pdf").select("render_id", "novel", "text")), "novel", batch.registry(cases)).select("render_id", "profile", "text")
     out = None
     for (profile,) in terms.select("profile").where("profile is not null").distinct().orderBy("profile").collect():
         own = clean(src.where(F.col("profile") == profile), "text", lexicon.load(terms, profile), profiled=True)
@@ -330,7 +331,7 @@ def clean_profiled(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def clean_dirty(spark: SparkSession, sf: str) -> DataFrame:
-    done = clean(dirty(spark, sf), "text", tier2=True, profiled=True)
+    done = clean(spread(dirty(spark, sf)), "text", tier2=True, profiled=True)
     return done.select("doc_id", "clean_text", audit.edit_count(F.col("edits")).alias("n_edits"), F.size("heading_violations").cast("long").alias("n_violations"))
 
 
