@@ -29,9 +29,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "foliowright")
-        if spark.sparkContext.master.startswith("local"):
-            os.makedirs(root.removeprefix("file://"), exist_ok=True)
+        os.makedirs(root.removeprefix("file://"), exist_ok=True)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
