@@ -15,6 +15,7 @@ not decode) is reported as not restorable and left as it is.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -127,6 +128,12 @@ SYMBOLS = "£€¥°§±×½¼¾©®™•·²³ªº¢µ†‡¶→←↑↓★
 _SAME = str.maketrans({"“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "’": "'", "‘": "'", "‚": "'", "–": "-", "—": "-", "¬": "-", "\n": " ", "…": ".", "\u00a0": " ", "\u2007": " ", "\u202f": " ", "\u3000": " ", "\u00ad": None, "\u200b": None, "\u200c": None, "\u200d": None, "\u2060": None, "\ufeff": None, "\u180e": None})
 
 
+def typographic(text: str) -> str:
+    """A text with its straight marks as printers set them: samples that lack these marks say nothing of their garbled forms."""
+    text = re.sub(r'"([^"\n]*)"', "\u201c\\1\u201d", text)
+    return re.sub(r"(?<=\w)'(?=\w)", "\u2019", text)
+
+
 class Model:
     """Emission tables of the HMM and the clean-text bigram model, fitted on clean samples (lang, text).
 
@@ -146,7 +153,7 @@ class Model:
             self.uni.update(plain.translate(_SAME))
             t = plain.translate(_SAME)
             self.bi.update(zip(t, t[1:]))
-            for weight, s in ((1.0, plain), (0.1, plain.upper())):
+            for weight, s in ((1.0, plain), (0.1, plain.upper()), (0.5, typographic(plain))):
                 if weight < 1 and s == plain:
                     continue
                 for j in range(len(PAIRS) + 1):
@@ -374,6 +381,8 @@ class Decoder:
                     if lost > 0.12 * events and lost > t[a:b].count("\ufffd"):
                         continue
                     bad = sum(0x80 <= ord(c) < 0xA0 or 0xE000 <= ord(c) < 0xF900 for c in s)
+                    if len(s) == b - a and 2 * sum(x != y for x, y in zip(s, t[a:b])) < events:
+                        continue  # an inverse that leaves most characters as they are explains nothing
                     if (a, b) not in old:
                         old[a, b] = self.m.score(t[max(0, a - 1) : b + 1])
                     new = self.m.score(t[max(0, a - 1) : a] + s + t[b : b + 1]) - 7 * (lost + bad)
