@@ -113,8 +113,9 @@ def build_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def heading_only_pages(spark: SparkSession, sf: str) -> DataFrame:
-    t = dirty(spark, sf).select("doc_id", T.page_breaks(F.regexp_replace(F.col("text"), r"(?s)^[^\n]*\n.*?(?=\nchapter|$)", "Chapter 1: Lone.\n")).alias("text"))
-    return layout.heading_only_pages(t, "doc_id", "text")
+    """Lone headings among the paragraphs of all chapters, each taken as a page."""
+    t = table(spark, sf, "build_pdf").select("render_id", F.replace("text", F.lit("\n\n"), F.lit("\f")).alias("text"))
+    return layout.heading_only_pages(t, "render_id", "text")
 
 
 # detectors
@@ -297,6 +298,14 @@ def log_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "edits").select("edit_id", T.snippet(F.coalesce("context", F.lit(""))).alias("snippet"))
 
 
+@query
+def link_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit entries of markers and links, found on texts as they are."""
+    t = F.col("text")
+    found = F.concat(audit.removals(t, T.AT_MARKER, "junk_strip.at_marker"), audit.removals(t, T.URL, "junk_strip.url"), audit.removals(t, T.WWW, "junk_strip.url"), audit.markers(t))
+    return dirty(spark, sf).select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.original", "e.rule")
+
+
 @query
 def audit_rows(spark: SparkSession, sf: str) -> DataFrame:
     done = clean(spread(dirty(spark, sf)), "text")

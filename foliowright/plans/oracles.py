@@ -147,6 +147,13 @@ parts AS (SELECT render_id, page_no, para_no, CASE WHEN raw IS NULL THEN [{{'kin
 SELECT render_id, CAST(page_no AS BIGINT) AS page_no, CAST(para_no AS BIGINT) AS para_no, CAST(part_no AS BIGINT) AS part_no, y.kind AS kind, y.text AS text
 FROM (SELECT render_id, page_no, para_no, unnest(x) AS y, generate_subscripts(x, 1) AS part_no FROM parts)"""
 
+_dots = [(r"([A-Za-z])\.([A-Za-z])\.([A-Za-z])", rf"\1{_E}\2{_E}\3")] + [(rf"{_E}([A-Za-z])\.([A-Za-z])", rf"{_E}\1{_E}\2")] * 6 + [(_E, "")]
+_run = r"[~\\\-=*#](?:[ \t]*[~\\\-=*#]){2,}"
+_bare = strip(rr("x", *[(rf"(^|[{WS}]){_run}([{WS}]|$)", r"\1")] * 2))
+_decoration = f"""coalesce(list_aggregate(list_filter(list_transform({_lines}, lambda x: CASE WHEN NOT regexp_matches(x, {q(rf'(^|[{WS}]){_run}([{WS}]|$)')}) THEN x WHEN {_bare} = '' THEN NULL ELSE {_bare} END), lambda x: x IS NOT NULL), 'string_agg', chr(10)), '')"""
+_paged = "replace(text, chr(10) || chr(10), chr(12))"
+_loose = rf"(?i)^Chapter[{WS}]+\d[\d,]*:[{WS}]*.*?[.?!]?[{WS}]*$"
+
 _norm = lambda x: f"lower({strip(rr(x, (f'[{WS}_' + chr(92) + '-]+', ' ')))})"
 _registry = f"""(SELECT norm_key, profile, max(display_name) AS display_name FROM (SELECT {_norm('input_name')} AS norm_key, profile, {strip('input_name')} AS display_name FROM dispatch_cases WHERE has_profile AND profile IS NOT NULL) GROUP BY norm_key, profile)"""
 _index = lambda x: f"CASE WHEN {_norm(x)} = '' THEN '' ELSE replace({_norm(x)}, ' ', '-') || '.txt' END"
@@ -176,6 +183,16 @@ ORACLES: dict[str, str] = {
     "keep_headers": on_dirty("text"),
     "page_numbers": on_dirty(rr("text", (rf"(?m)^[{WS}]*\d{{1,4}}([A-Z][a-z])", r"\1"))),
     "join_wrapped": on_dirty(_wrapped),
+    "undot_words": on_dirty(rr("text", *_dots)),
+    "repair_ocr": on_dirty(words(rr(words(rr("text", *_dots, *_pipes, *_zeros), T.MISREAD_WORDS), *_contractions), T.GLUED_WORDS, "(?i)")),
+    "decorative_runs": on_dirty(_decoration),
+    "heading_only_pages": f"""SELECT render_id, CAST(n AS BIGINT) AS page_no FROM (SELECT render_id, len(s) AS pages, unnest(s) AS sheet, generate_subscripts(s, 1) AS n FROM (SELECT render_id, list_filter(string_split({_paged}, chr(12)), lambda x: {strip('x')} <> '') AS s FROM build_pdf WHERE text IS NOT NULL))
+      WHERE pages >= 2 AND len(list_filter(string_split(sheet, chr(10)), lambda x: {strip('x')} <> '')) = 1 AND regexp_matches({strip('sheet')}, {q(_loose)})""",
+    "output_names": f"""WITH b AS (SELECT DISTINCT run_id, seq, path FROM batch_inputs), f AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_replace({_safe('path')}, '(?i)\\.pdf$', '') AS stem FROM b),
+      o AS (SELECT *, CASE WHEN dir = 'in' OR starts_with(dir, 'in/') THEN 'out/in' || substring(dir, 3) ELSE 'out' END AS folder FROM f),
+      r AS (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY run_id, seq, path) AS n FROM o),
+      u AS (SELECT *, stem || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS name FROM r)
+      SELECT run_id, seq, path, folder || '/' || name || '.pdf' AS output_path, folder || '/' || CASE WHEN starts_with(name, 'DEBUG_') THEN name ELSE 'DEBUG_' || name END || '.txt' AS debug_path FROM u""",
     "unpipe_words": on_dirty(rr("text", *_pipes)),
     "zeros_in_words": on_dirty(rr("text", *_zeros)),
     "misread_words": on_dirty(words("text", T.MISREAD_WORDS)),
@@ -243,5 +260,10 @@ ORACLES: dict[str, str] = {
       CAST(count(*) FILTER (starts_with(status, 'skipped')) AS BIGINT) AS skipped FROM (SELECT run_id, {_status} AS status FROM batch_inputs) GROUP BY run_id) b JOIN summary s USING (run_id)""",
     "logged_edits": f"SELECT rule, category, count(*) AS n, CAST(sum(CASE WHEN category <> 'integrity_flag' THEN 1 ELSE 0 END) AS BIGINT) AS n_edits FROM {_once} WHERE original <> replacement GROUP BY rule, category",
     "edit_counts": f"SELECT doc_id, count(*) AS n_edits, CAST(max(seq) AS BIGINT) AS last_seq FROM {_once} WHERE original <> replacement AND category <> 'integrity_flag' GROUP BY doc_id",
+    "link_entries": " UNION ALL ".join(
+        f"SELECT doc_id, unnest(regexp_extract_all(text, {q(p)})) AS original, {q(r)} AS rule FROM {SRC}" for p, r in ((r"@@[^@\n]{1,40}@@", "junk_strip.at_marker"), (rf"(?i)\bhttps?://[^{WS}]+", "junk_strip.url"), (rf"(?i)\bwww\.[^{WS},;)]+", "junk_strip.url"))
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT doc_id, {q(m)} AS original, 'junk_strip.marker' AS rule FROM {SRC} WHERE contains(text, {q(m)})" for m in T.MARKERS),
     "log_snippets": f"SELECT edit_id, substring({strip(rr(chr(99) + 'oalesce(context, ' + chr(39) * 2 + ')', (f'[{WS}]+', ' ')))}, 1, 160) AS snippet FROM edits",
 }
