@@ -67,31 +67,36 @@ class Model:
         held = rng.random(len(data)) < 0.2
         emb, w, b = self._train(bags, y, ~held, rng)
         logits = np.array([self._logits(x, emb, w, b) for x in bags])
-        self.temperature = self._scale(logits[held], y[held])
+        pieces, of = self._pieces(data, held, y, emb, w, b)
+        # scaled on pieces as short as headings: whole samples are told too easily to calibrate anything
+        self.temperature = self._scale(pieces, of)
         p = self._softmax(logits[held] / self.temperature)
         right = p.argmax(1) == y[held]
         self.accuracy = float(right.mean()) if len(right) else 1.0
         # reject under the confidence at which held-out pieces, short as headings or whole, are right 199 times in 200
-        self.reject_short = self._least(*self._pieces(data, held, y, emb, w, b), floor=0.9)
-        self.reject = self._least(p.max(1), right, floor=0.5)
+        short = self._softmax(pieces / self.temperature) if len(of) else np.ones((1, len(self.langs)))
+        self.reject_short = self._least(short.max(1), short.argmax(1) == of if len(of) else np.ones(1, bool), floor=0.97)
+        long = np.array([len(words(t)) >= SHORT for _, t in data])[held]
+        self.reject = self._least(p.max(1)[long], right[long], floor=0.8)
         emb, w, b = self._train(bags, y, np.ones(len(data), bool), np.random.default_rng(SEED))
         self.table = (emb @ w).astype(np.float32)  # language scores of each subword: the average commutes with the linear layer
         self.bias = b.astype(np.float32)
 
     def _pieces(self, data: list, held: np.ndarray, y: np.ndarray, emb: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Confidence and rightness on held-out runs of SHORT // 2 words."""
-        conf, right = [], []
+        """Scores and languages of held-out runs of SHORT // 3 words."""
+        logits, of = [], []
         for i in np.flatnonzero(held):
             ws = words(data[i][1])
-            for j in range(0, len(ws), SHORT // 2):
-                p = self._softmax(self._logits(self._bag(ws[j : j + SHORT // 2]), emb, w, b) / self.temperature)
-                conf.append(p.max())
-                right.append(p.argmax() == y[i])
-        return np.array(conf), np.array(right)
+            for j in range(0, len(ws), SHORT // 3):
+                logits.append(self._logits(self._bag(ws[j : j + SHORT // 3]), emb, w, b))
+                of.append(y[i])
+        return np.array(logits).reshape(-1, len(self.langs)), np.array(of, np.int64)
 
     @staticmethod
     def _least(conf: np.ndarray, right: np.ndarray, floor: float) -> float:
         """The least confidence from which on answers are right 199 times in 200."""
+        if not len(conf):
+            return floor
         for c in np.arange(floor, 0.985, 0.01):
             sure = conf >= c
             if sure.any() and right[sure].mean() >= 0.995:
@@ -140,9 +145,11 @@ class Model:
         return emb, w, b
 
     def _scale(self, logits: np.ndarray, y: np.ndarray) -> float:
-        """The temperature that makes held-out confidences fit best."""
+        """The temperature that makes held-out confidences fit best; never one that sharpens them."""
         best, at = 1e9, 1.0
-        for t in np.geomspace(0.1, 10, 41):
+        if not len(y):
+            return at
+        for t in np.geomspace(1, 10, 41):
             p = self._softmax(logits / t)
             loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean()
             if loss < best:
