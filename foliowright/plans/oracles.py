@@ -131,7 +131,7 @@ def _titles(line: str) -> str:
 _titled = f"(SELECT doc_id, string_agg({_titles('line')}, chr(10) ORDER BY n) AS text FROM (SELECT doc_id, unnest({_lines}) AS line, generate_subscripts({_lines}, 1) AS n FROM {SRC}) GROUP BY doc_id) AS d"
 
 _layout = rf"""
-WITH src AS (SELECT row_number() OVER () AS k, render_id, text FROM build_pdf),
+WITH src AS (SELECT row_number() OVER () AS k, render_id, text FROM SOURCE_ROWS),
 sheet AS (SELECT k, render_id, list_filter(string_split(coalesce(text, ''), chr(12)), lambda x: {strip('x')} <> '') AS s FROM src),
 page AS (SELECT k, render_id, unnest(CASE WHEN len(s) = 0 THEN [NULL] ELSE s END) AS sheet, generate_subscripts(CASE WHEN len(s) = 0 THEN [NULL] ELSE s END, 1) AS page_no FROM sheet),
 para0 AS (SELECT k, render_id, page_no, list_filter(string_split(sheet, chr(10) || chr(10)), lambda x: {strip('x')} <> '') AS p FROM page),
@@ -154,6 +154,17 @@ _decoration = f"""coalesce(list_aggregate(list_filter(list_transform({_lines}, l
 _paged = "replace(text, chr(10) || chr(10), chr(12))"
 _loose = rf"(?i)^Chapter[{WS}]+\d[\d,]*:[{WS}]*.*?[.?!]?[{WS}]*$"
 
+_rows_text = f"({_para_rows} SELECT doc_id, string_agg(paragraph, chr(10) || chr(10) ORDER BY para_no) AS text FROM rows_ GROUP BY doc_id)"
+_rows_titled = f"(SELECT doc_id, string_agg({_titles('line')}, chr(10) ORDER BY n) AS text FROM (SELECT doc_id, unnest({_lines}) AS line, generate_subscripts({_lines}, 1) AS n FROM {_rows_text}) GROUP BY doc_id)"
+_breaks = f"list_aggregate(list_transform({_lines}, lambda x, i: CASE WHEN {_is_chapter('x')} AND i > list_position(list_transform({_lines}, lambda y: {_is_chapter('y')}), true) THEN chr(12) || chr(10) || x ELSE x END), 'string_agg', chr(10))"
+_numbers = q(rf"(?i)chapter[{WS}]+(\d+)")
+_cut = f"""(SELECT doc_id, string_agg(CASE WHEN j IS NULL THEN line ELSE {rr("coalesce(list_aggregate(list_transform(range(1, j), lambda k: parts[k] || found[k]), 'string_agg', ''), '') || parts[j]", (f'[{WS}]+$', ''))} END, chr(10) ORDER BY n) AS text FROM (
+  SELECT *, CASE WHEN i > 0 THEN i + list_position(nums[i + 1:], nums[i]) END AS j FROM (
+  SELECT *, list_position(list_transform(nums, lambda x, k: list_contains(nums[k + 1:], x)), true) AS i FROM (
+  SELECT doc_id, n, line, regexp_extract_all(line, {_numbers}, 1) AS nums, regexp_extract_all(line, {_numbers}) AS found, string_split_regex(line, {_numbers}) AS parts
+  FROM (SELECT doc_id, unnest({_lines}) AS line, generate_subscripts({_lines}, 1) AS n FROM {SRC})))) GROUP BY doc_id)"""
+_sold = "'Check latest chapters at novelfire.net'"
+
 _norm = lambda x: f"lower({strip(rr(x, (f'[{WS}_' + chr(92) + '-]+', ' ')))})"
 _registry = f"""(SELECT norm_key, profile, max(display_name) AS display_name FROM (SELECT {_norm('input_name')} AS norm_key, profile, {strip('input_name')} AS display_name FROM dispatch_cases WHERE has_profile AND profile IS NOT NULL) GROUP BY norm_key, profile)"""
 _index = lambda x: f"CASE WHEN {_norm(x)} = '' THEN '' ELSE replace({_norm(x)}, ' ', '-') || '.txt' END"
@@ -228,7 +239,10 @@ ORACLES: dict[str, str] = {
     "heading_violations": rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {strip('x')}),
       lambda x: starts_with(lower(x), 'chapter ') AND NOT regexp_matches(x, {q(rf'(?i)^Chapter[{WS}]+[\d,]+:[{WS}]*.*?[.?!][{WS}]*$')})) AS v FROM {SRC})
       SELECT doc_id, CAST(n AS BIGINT) AS n, substring(h, 1, 120) AS heading FROM (SELECT doc_id, unnest(v) AS h, generate_subscripts(v, 1) AS n FROM p)""",
-    "build_layout": _layout,
+    "build_layout": _layout.replace("SOURCE_ROWS", "build_pdf"),
+    "page_layout": _layout.replace("SOURCE_ROWS", f"(SELECT doc_id AS render_id, {_breaks} AS text FROM {_rows_titled})").replace("SELECT render_id, CAST(page_no", "SELECT render_id AS doc_id, CAST(page_no"),
+    "cut_repeated_heading": f"SELECT doc_id, text FROM {_cut}",
+    "site_watermarks": f"SELECT doc_id, list_aggregate(list_filter({_lines}, lambda x: x <> {_sold}), 'string_agg', chr(10)) AS text, CAST(len(list_filter({_lines}, lambda x: x = {_sold})) AS BIGINT) AS n_removed FROM {SRC}",
     "error_pages": "SELECT id, reason FROM (SELECT id, CASE WHEN len(h) >= 2 THEN 'error page detected (signals: ' || list_aggregate(h, 'string_agg', ', ') || ')' END AS reason FROM (SELECT id, list_filter(["
     + ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN {q(n)} END" for n, p in _signals)
     + "], lambda x: x IS NOT NULL) AS h FROM (SELECT edit_id AS id, context AS text FROM edits UNION ALL SELECT render_id, text FROM build_pdf))) WHERE reason IS NOT NULL",
