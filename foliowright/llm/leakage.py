@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from foliowright.session import shared_path
 
 WORDS, CHARS = 16, 24  # least passage in words, and in letters of scripts without spaces
+MISSES = 3  # terms of a least passage that a proximity match may lack
 NEAR = 3  # rarest terms of a window whose lists are intersected before the rest is looked at
 UNSPACED = ("zh", "ja")
 MAX_QUERY_TERMS = 5_000_000
@@ -158,6 +159,23 @@ class Query:
         return out
 
 
+    def near_plan(self, df: np.ndarray, misses: int) -> list[list[tuple[int, ...]]]:
+        """Per item the sets of offsets for proximity: ``misses + 2`` rarest terms of each window, of which two must agree."""
+        out = []
+        for _, chars, ts in self.items:
+            w = CHARS if chars else WORDS
+            cost = df[ts]
+            sets: dict[tuple[int, ...], None] = {}
+            for i in range(len(ts) - w + 1):
+                if (cost[i : i + w] == 0).sum() > misses:
+                    continue
+                if sets and (last := next(reversed(sets)))[0] >= i and last[-1] < i + w:
+                    continue
+                sets[tuple(sorted((i + np.argsort(cost[i : i + w], kind="stable")[: misses + 2]).tolist()))] = None
+            out.append(list(sets))
+        return out
+
+
 def read_items(items: DataFrame) -> Query:
     rows = items.select(F.col("item_id").cast("long"), "lang", "text").where("item_id is not null").distinct().orderBy("item_id", "lang", "text").collect()
     return Query([tuple(r) for r in rows])
@@ -330,6 +348,57 @@ def _search(q: Query, sets: list[list[tuple[int, ...]]], ids: list[int], lists:
             yield ids[k // STRIDE], item_id, int(longest[d]), int(start[d]) + 1, k % STRIDE + 1, "chars" if chars else "words"
 
 
+def search_near(index: DataFrame, query: Query, plan: list[list[tuple[int, ...]]], misses: int) -> DataFrame:
+    """Alignments with at least all but ``misses`` terms of a least passage in place, whatever stands between: best one per document and item."""
+    shared = index.sparkSession.sparkContext.broadcast((query, plan))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, sets = shared.value
+        names = ["doc_id", "item_id", "matched", "of", "item_from", "doc_from"]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        for b in batches:
+            for r in range(b.num_rows):
+                ids = b.column(0)[r].as_py()
+                lists = dict(zip(b.column(1)[r].as_py(), b.column(2)[r].as_py()))
+                rows = list(_search_near(q, sets, ids, lists, misses))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=names)
+
+    return index.select("docs", "terms", "postings").mapInArrow(run, "doc_id bigint, item_id bigint, matched int, of int, item_from int, doc_from int")
+
+
+def _search_near(q: Query, sets: list[list[tuple[int, ...]]], ids: list[int], lists: dict[int, bytes], misses: int) -> Iterator[tuple]:
+    cache: dict[int, np.ndarray] = {}
+
+    def of(t: int) -> np.ndarray:
+        if t not in cache:
+            cache[t] = _decode(lists[t])
+        return cache[t]
+
+    for (item_id, chars, ts), own in zip(q.items, sets):
+        w = CHARS if chars else WORDS
+        found = []
+        for offsets in own:
+            shifted = [of(int(ts[i])) - i for i in offsets if int(ts[i]) in lists]
+            if len(shifted) >= 2:
+                diag, n = np.unique(np.concatenate(shifted), return_counts=True)
+                found.append(diag[n >= 2])
+        if not found:
+            continue
+        diag = np.unique(np.concatenate(found))
+        if not len(diag):
+            continue
+        hit = np.zeros((len(ts) + 1, len(diag)), np.int32)
+        for i, t in enumerate(ts.tolist()):
+            if t in lists:
+                hit[i + 1] = _within(of(t), diag + i)
+        total = np.cumsum(hit, axis=0)
+        windows = total[w:] - total[:-w]
+        best, start = windows.max(0), windows.argmax(0)
+        for d in np.flatnonzero(best >= w - misses):
+            k = int(diag[d]) + int(start[d])
+            yield ids[(k + w - 1) // STRIDE], item_id, int(best[d]), w, int(start[d]) + 1, max(1, k % STRIDE + 1 if k % STRIDE < STRIDE // 2 else 1)
+
+
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Longest run of True per column and where it starts."""
     n = hit.shape[1]
@@ -356,3 +425,16 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame
     found = search(index, query, query.plan(frequencies(index, query)))
     best = F.max(F.struct("longest", F.struct(-F.col("doc_from"), -F.col("item_from")).alias("at"), "kind"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.longest").alias("longest"), (-F.col("b.at.col2")).alias("item_from"), (-F.col("b.at.col1")).alias("doc_from"), F.col("b.kind").alias("kind"))
+
+
+def near_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, misses: int = MISSES) -> DataFrame:
+    """Proximity matches: (doc_id, item_id, matched, of, item_from, doc_from), the fullest window of each pair.
+
+    A window of the least length counts if all but ``misses`` of its terms stand at their places in the document.
+    """
+    query = read_items(items)
+    index = indexed(spark, docs, query)
+    found = search_near(index, query, query.near_plan(frequencies(index, query), misses), misses)
+    best = F.max(F.struct("matched", "of", (-F.col("doc_from")).alias("d"), (-F.col("item_from")).alias("i"))).alias("b")
+    pairs = found.groupBy("doc_id", "item_id").agg(best)
+    return pairs.select("doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.of").alias("of"), (-F.col("b.i")).alias("item_from"), (-F.col("b.d")).alias("doc_from"))

@@ -148,6 +148,12 @@ def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.matches(spark, docs, read(spark, sf, "eval_items", "item_id", "lang", "text"))
 
 
+def p7_proximity(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a passage of an item in which a few words differ."""
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    return leakage.near_matches(spark, docs, read(spark, sf, "eval_items", "item_id", "lang", "text"))
+
+
 # 8 mixing
 
 
@@ -180,6 +186,6 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_templates, p3_found, p3_restored, p4_found, p4_sentences, p5_found, p5_cleaned, p6_found, p6_repaired, p7_found, p7_matches, p8_draws, p8_report, p9_found, p9_segments)
+    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_templates, p3_found, p3_restored, p4_found, p4_sentences, p5_found, p5_cleaned, p6_found, p6_repaired, p7_found, p7_matches, p7_proximity, p8_draws, p8_report, p9_found, p9_segments)
 }
 ORACLES: dict[str, str] = {"p5_found": sql.P5_FOUND}

@@ -254,6 +254,31 @@ def test_leaks_match_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_proximity_matches_brute_force(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(200)]
+    items = [(i, "en", " ".join(rng.choice(vocab) for _ in range(40))) for i in range(5)]
+    docs = []
+    for k in range(50):
+        unit = items[k % 5][2].split()
+        a = rng.randrange(24)
+        piece = unit[a : a + 16]
+        for j in rng.sample(range(16), rng.randrange(6)):
+            piece[j] = "other"
+        docs.append((k, " ".join([rng.choice(vocab) for _ in range(k % 4)] + piece + [rng.choice(vocab) for _ in range(5)])))
+    want = set()
+    for i, _, t in items:
+        ts = t.split()
+        for k, d in docs:
+            ds = d.split()
+            for shift in range(-len(ts), len(ds)):
+                hit = [0 <= shift + j < len(ds) and ds[shift + j] == x for j, x in enumerate(ts)]
+                if any(sum(hit[j : j + 16]) >= 13 for j in range(len(ts) - 15)):
+                    want.add((k, i))
+    got = {(r.doc_id, r.item_id) for r in leakage.near_matches(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, lang string, text string")).collect()}
+    assert got == want and want
+
+
 def test_word_hashes_ignore_case_and_place():
     assert leakage.terms_of("The  Großer-BELL 7", False) == leakage.terms_of("x. the GROSSER bell, 7!", False)[1:]
 
