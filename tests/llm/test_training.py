@@ -186,6 +186,12 @@ def test_confusions(printed, read, want):
     assert scans.edits(printed, read) == want
 
 
+def test_language_of_a_scan_is_told_by_all_words():
+    stops = scans.Stops({"en": frozenset(["the", "and"]), "fr": frozenset(["le", "et"])})
+    assert stops.language(["le", "mot"] * 100 + ["the", "word"] * 150) == "en"
+    assert stops.language(["mot"] * 200 + ["Le"]) == "fr" and stops.language(["word"] * 300) == ""
+
+
 def test_fold_in_the_jvm_equals_python(spark):
     words = ["twiri", "deiix", "blind", "bl!nd", "rnade", "vvidow", "handclul", "ciiivre", "O1d"]
     got = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", scans._grams(scans.fold(F.col("w")))).collect()}
