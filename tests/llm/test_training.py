@@ -198,6 +198,31 @@ def test_fold_in_the_jvm_equals_python(spark):
     assert {w: frozenset(g) for w, g in got.items()} == {w: scans._shape(w) for w in words}
 
 
+def test_no_confusion_changes_the_strokes(spark):
+    pairs = [(f"{x}{a}{y}", f"{x}{b}{y}") for a, b in scans.CONFUSIONS for x in ("", "i", "r", "c") for y in ("", "i", "n", "l")]
+    assert [p for p in pairs if scans._strokes(p[0]) != scans._strokes(p[1])] == []
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", scans.strokes(F.col("a")).alias("s")).collect()
+    assert all(r.s == scans._strokes(r.a) for r in got)
+
+
+def test_every_listed_confusion_is_a_candidate(spark):
+    pairs = {"kriife": "knife", "ciiivre": "cuivre", "niiit": "nuit", "qiii": "qui", "tlie": "the", "aud": "and", "c4t": "cat", "ca7": "cat", "lcey": "key"} | {f"a{b}z": f"a{a}z" for a, b in scans.CONFUSIONS}
+    rows = [("en", good, 100, 0, 0, 0) for good in set(pairs.values())] + [("en", bad, 0, 1, 0, 0) for bad in set(pairs) - set(pairs.values())]
+    lex = spark.createDataFrame(rows, scans.LEXICON_SCHEMA)
+    got = {(r.word, r.candidate) for r in scans.candidates(lex).collect()}
+    assert {p for p in pairs.items() if p[0] not in pairs.values()} <= got
+
+
+def test_a_misread_word_is_no_reading(spark):
+    import numpy as np
+
+    x = np.zeros((800, 10))
+    x[:, 0] = 1 + np.arange(800) % 2
+    more = Booster().fit(x, ((x[:, 0] == 2) | (np.arange(800) % 8 > 1)).astype(float))  # surer of two confusions than of one
+    lex = spark.createDataFrame([("en", "cold", 100, 0, 0, 0), ("en", "colcl", 0, 5, 0, 0), ("en", "c0ld", 0, 1, 0, 0)], scans.LEXICON_SCHEMA)
+    assert {(r.word, r.good) for r in scans.corrections(lex, more).collect()} == {("colcl", "cold"), ("c0ld", "cold")}
+
+
 def test_booster_learns():
     import numpy as np
 
