@@ -39,9 +39,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, sf: str) -> DataFrame:
-    """Every logged original in its consistent form."""
-    edits = read(spark, sf, "edits", "edit_id", "original").dropDuplicates(["edit_id"])
-    return textforms.unified(edits, "original")
+    """Every chapter and every logged original in its consistent form: (src, row_id, unified_text)."""
+    build = read(spark, sf, "build_pdf", "render_id", "text").dropDuplicates(["render_id"]).select(F.lit("build_pdf").alias("src"), F.col("render_id").alias("row_id"), "text")
+    edits = read(spark, sf, "edits", "edit_id", "original").dropDuplicates(["edit_id"]).select(F.lit("edits").alias("src"), F.col("edit_id").alias("row_id"), F.col("original").alias("text"))
+    return textforms.unified(build.unionByName(edits), "text").drop("text")
 
 
 # 2 template residue

@@ -50,6 +50,13 @@ def test_ordinary_spelling_is_no_case(text):
     assert not textforms.is_case(text) and textforms.unify(text) == text
 
 
+def test_chapters_and_originals_are_unified(spark, sf):
+    got = {(r.src, r.row_id): r.unified_text for r in queries.p1_unified(spark, sf).collect()}
+    for src, key, col in (("build_pdf", "render_id", "text"), ("edits", "edit_id", "original")):
+        rows = dict(spark.read.parquet(f"{sf}/{src}.parquet").select(key, col).collect())
+        assert {i: t for (s, i), t in got.items() if s == src} == {i: t and textforms.unify(t) for i, t in rows.items()}
+
+
 # 2
 
 
