@@ -168,22 +168,35 @@ def floor_outside_index(spark: SparkSession, sf: str) -> DataFrame:
     return part("floor").distinct().join(part("index"), ["profile", "term"], "left_anti")
 
 
+def _profiles(terms: DataFrame) -> list[str]:
+    return [r.profile for r in terms.select("profile").where("profile is not null").distinct().orderBy("profile").collect()] or [""]
+
+
 @query
 def protected_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """How often each protected term of the first profile stands in each chapter."""
-    mask = lexicon.Mask(lexicon.load(table(spark, sf, "lexicon_terms"), "profile_a"), headings=False)
-    return lexicon.term_counts(spread(table(spark, sf, "build_pdf").select("render_id", "text")).distinct(), "render_id", "text", mask)
+    """How often each protected term of each profile stands in each chapter."""
+    terms, out = table(spark, sf, "lexicon_terms"), None
+    src = spread(table(spark, sf, "build_pdf").select("render_id", "text")).distinct()
+    for profile in _profiles(terms):
+        mask = lexicon.Mask(lexicon.load(terms, profile), headings=False)
+        part = lexicon.term_counts(src, "render_id", "text", mask).select("render_id", F.lit(profile).alias("profile"), "term", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
 def terms_kept(spark: SparkSession, sf: str) -> DataFrame:
-    """Chapters of profiled novels in which cleaning lost a protected term; none should."""
-    terms = lexicon.load(table(spark, sf, "lexicon_terms"), "profile_a")
-    mask = lexicon.Mask(terms, headings=False)
-    src = batch.dispatch(table(spark, sf, "build_pdf"), "novel", batch.registry(table(spark, sf, "dispatch_cases"))).where("profile = 'profile_a'").select("render_id", "text").distinct()
-    n = lambda c: F.size(mask.hits(c)).cast("long")
-    done = clean(src, "text", terms)
-    return done.select("render_id", n(F.coalesce("text", F.lit(""))).alias("before"), n(F.col("clean_text")).alias("after")).where("after < before")
+    """Chapters of profiled novels in which cleaning lost a protected term of their profile; none should."""
+    all_terms, out = table(spark, sf, "lexicon_terms"), None
+    src = batch.dispatch(table(spark, sf, "build_pdf"), "novel", batch.registry(table(spark, sf, "dispatch_cases"))).select("render_id", "profile", "text").distinct()
+    for profile in _profiles(all_terms):
+        terms = lexicon.load(all_terms, profile)
+        mask = lexicon.Mask(terms, headings=False)
+        n = lambda c, mask=mask: F.size(mask.hits(c)).cast("long")
+        done = clean(src.where(F.col("profile") == profile), "text", terms)
+        part = done.select("render_id", "profile", n(F.coalesce("text", F.lit(""))).alias("before"), n(F.col("clean_text")).alias("after")).where("after < before")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query

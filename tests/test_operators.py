@@ -171,3 +171,12 @@ def test_audit_jsonl_has_header_first(spark):
     d = clean(one(spark, TEXT), "text")
     lines = [r.line for r in audit.jsonl(d, "id", F.struct(F.lit("run_metadata").alias("record"))).orderBy("line_no").collect()]
     assert lines[0] == '{"record":"run_metadata"}' and '"rule":"junk_strip.url"' in lines[1]
+
+
+def test_terms_of_every_profile_are_counted(spark, sf):
+    from foliowright.plans.catalogue import QUERIES
+
+    got = {r.profile: r.k for r in QUERIES["protected_terms"](spark, sf).groupBy("profile").agg(F.count("*").alias("k")).collect()}
+    profiles = {r.profile for r in spark.read.parquet(f"{sf}/lexicon_terms.parquet").select("profile").distinct().collect()}
+    assert set(got) == profiles and len(profiles) > 1
+    assert QUERIES["terms_kept"](spark, sf).columns == ["render_id", "profile", "before", "after"]
