@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _parser as P
 
 import ahocorasick
 import pyarrow as pa
@@ -115,6 +116,13 @@ def template(unit: str) -> str:
     return re.sub(r"\s+", " ", t).strip().lower()
 
 
+def filler(words: list[str]) -> bool:
+    low = [w.lower() for w in words]
+    if len(low) >= 4 and sum(w in LOREM for w in low) >= 0.7 * len(low):
+        return True
+    return len(low) >= 3 and len(set(low)) <= max(1, len(low) // 3) and sum(w in BABBLE for w in low) >= 0.7 * len(low)
+
+
 def kind(unit: str) -> str:
     """What a unit is by itself: variable, filler, notice, blank (host, number or identifier only), heading or text."""
     rest = TAG.sub(" ", VARIABLE.sub(" ", unit))
@@ -129,10 +137,7 @@ def kind(unit: str) -> str:
         return "heading"
     if UNDEFINED.match(unit) or LONE_TAG.match(unit):
         return "variable"
-    low = [w.lower() for w in words]
-    if len(low) >= 4 and sum(w in LOREM for w in low) >= 0.7 * len(low):
-        return "filler"
-    if len(low) >= 3 and len(set(low)) <= max(1, len(low) // 3) and sum(w in BABBLE for w in low) >= 0.7 * len(low):
+    if filler(words):
         return "filler"
     if CUE.search(unit):
         return "notice"
@@ -141,37 +146,99 @@ def kind(unit: str) -> str:
 
 
 def plain_kind(unit: str) -> str:
-    """The kind of a unit without any stem of residue."""
+    """The kind of a unit without any stem of residue: what ``kind`` gives, less the patterns that need one."""
     if HEADING.match(unit):
         return "heading"
+    if UNDEFINED.match(unit):
+        return "variable"
+    if filler(_WORD.findall(unit)):
+        return "filler"
     bare = re.sub(r"[\d\W_]+", "", IDENT.sub("", HOST.sub("", unit)))
     return "blank" if len(bare) <= 3 else "text"
 
 
 RESIDUE = ("variable", "filler", "notice")
 
-# Pieces of which every cue, variable and filler line holds at least one.
-STEMS = (
-    "{ } [[ ]] <% <? <p <a <t <c <s <b <d <i % $ __ @@ # tbd tba todo insert enter your|here] placeholder| lorem ipsum dolor amet consectetur adipiscing elit tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco nisi aliquip blah foo asdf dummy undefined null none n/a object xxx ___ --- "
-    "javascript script blocker cookie browser human security|of ray|id request|id rate|limited temporarily|banned not|found forbidden gateway unavailable too|many request|time unauthorized gone bad|request access|denied oops sorry error server unknown|error timed time-out timeout time|out went|wrong trusted page|you removed page|not cannot|be down|for could|not upstream backend guru closed|the did|not expired logged log|in blocked try|again database on|line warning fatal notice traceback exception refused text sample layout content|coming content|is uploaded reference ref incident denied cloudflare reload "
-    "skripte zugriff wurde|nicht fehler inhalt|folgt blindtext platzhalter ersetzen nicht|verfügbar wartung anfragen überprüf accès|refusé droits|néc introuvable erreur contenu insérez remplac remplissage requêtes navigateur indisponible acceso|den encontr contenido próximamente relleno inserte sustituir solicit navegador disponible acesso|neg erro conteúdo preenchimento insira substituir indisponível accesso|neg pagina|non errore contenuto segnaposto riempimento inserire richieste disponibile toegang gevonden fout inhoud vervangende verzoeken "
-    "скрипт куки блокирует доступ|з ошибка недоступ проверяем запросов заполнитель заменить|п будет|т скоро|п не|з не|найд помилка заборон 脚本 允许 页面 访问 服务器 稍候 稍后 浏览器 占位 替换 此处 内容 编号 登录 スクリプト ページ アクセス しばらく ブラウザ ダミー 差し替え 本文 近日 準備中 サーバー ログイン جافا الصفحة الوصول نص|بديل المحتوى जावा नहीं|मिला ไม่พบ ปฏิเสธ เปิดใช้"
-)
+LEAST_FILLER = 3  # words of filler in any unit that is filler
+
+
+def _best(a: set[str] | None, b: set[str] | None) -> set[str] | None:
+    """The set with the longer shortest piece; sets with an empty piece say nothing."""
+    sets = [x for x in (a, b) if x and "" not in x]
+    return max(sets, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def _join(a: set[str], b: set[str]) -> set[str]:
+    return {x + y for x in a for y in b}
+
+
+def _pieces(seq) -> tuple[set[str] | None, set[str] | None]:  # noqa: ANN001
+    """Of a parsed pattern: all it can match, where those are few, and pieces of which each match holds one."""
+    run, need, whole = {""}, None, True
+    for op, arg in seq:
+        exact, own = None, None
+        if op == P.LITERAL:
+            exact = {chr(arg).lower()}
+        elif op == P.IN and len(arg) <= 8 and all(o == P.LITERAL for o, _ in arg):
+            exact = {chr(c).lower() for _, c in arg}
+        elif op in (P.AT, P.ASSERT, P.ASSERT_NOT):
+            exact = {""}
+        elif op == P.SUBPATTERN:
+            exact, own = _pieces(arg[3])
+        elif op == P.BRANCH:
+            parts = [_pieces(x) for x in arg[1]]
+            exact = set().union(*(e for e, _ in parts)) if all(e is not None for e, _ in parts) else None
+            own = set().union(*(n for _, n in parts)) if all(n is not None for _, n in parts) else None
+        elif op in (P.MAX_REPEAT, P.MIN_REPEAT):
+            exact, own = _pieces(arg[2])
+            if exact is not None and (arg[0], arg[1]) == (0, 1):
+                exact, own = exact | {""}, None
+            elif exact is not None and 0 < arg[0] <= 4 and len(exact) == 1:
+                own = {"".join(exact) * arg[0]}
+                exact = own if arg[0] == arg[1] else None
+            else:
+                exact, own = None, own if arg[0] else None
+        if exact is not None and len(run) * len(exact) <= 256:
+            run = _join(run, exact)
+        else:
+            need, whole, run = _best(_best(need, run), own), False, exact or {""}
+    need = _best(need, run)
+    return (run if whole else None), need
+
+
+@lru_cache(2)
+def stems(*more: re.Pattern) -> frozenset[str]:
+    """Pieces, derived from the patterns, of which every unit they match holds at least one in lower case."""
+    out = {"{"}  # a tag around a brace
+    for pattern in (VARIABLE, LONE_TAG, CUE, TAG, *more):
+        need = _pieces(P.parse(pattern.pattern, pattern.flags))[1]
+        if need is None:
+            raise ValueError(f"a match of {pattern.pattern[:40]} need not hold any fixed piece")
+        out |= need
+    return frozenset(x for x in out if not any(y != x and y in x for y in out))
 
 
-@lru_cache(1)
-def _stems() -> ahocorasick.Automaton:
+@lru_cache(2)
+def _stems(*more: re.Pattern) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for s in STEMS.split():
-        s = s.replace("|", " ").strip()
+    for s in stems(*more):
         a.add_word(s, len(s))
     a.make_automaton()
     return a
 
 
+# Characters that patterns take for others when case is ignored, though their lower case is another one.
+_ODD = re.compile("[ſıİᲀ-ᲈ]")
+_EVEN = str.maketrans("ſıİᲀᲁᲂᲃᲄᲅᲆᲇᲈ", "siiвдосттъѣꙋ")
+
+
+def lower(text: str) -> str:
+    return (text.translate(_EVEN) if _ODD.search(text) else text).lower()
+
+
 def traced(low: str) -> list[int]:
     """Where stems end in a lower-case text."""
-    return [i for i, _ in _stems().iter(low)]
+    return [i for i, _ in _stems(UNDEFINED).iter(low)]
 
 
 _BLOCK = re.compile(r"\n[^\S\n]*\n")
@@ -183,14 +250,14 @@ def judge(text: str) -> tuple[list[tuple[int, str, str]], int]:
 
     A notice comes with further words ("This takes a few seconds."): up to ``ASIDE`` sentences of its block are not prose.
     """
-    if next(_stems().iter(text.lower()), None) is None:
+    if next(_stems(UNDEFINED).iter(lower(text)), None) is None and sum(w in LOREM or w in BABBLE for w in map(str.lower, _WORD.findall(text))) < LEAST_FILLER:
         return [], STORY_UNITS
     found, true, n = [], 0, 0
     for block in _BLOCK.split(text):
         prose, notices = 0, False
         for u in units(block):
             n += 1
-            k = kind(u) if next(_stems().iter(u.lower()), None) is not None else plain_kind(u)
+            k = kind(u) if next(_stems().iter(lower(u)), None) is not None else plain_kind(u)
             if k in RESIDUE:
                 found.append((n, k, template(u)))
                 notices |= k == "notice"

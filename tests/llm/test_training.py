@@ -74,6 +74,39 @@ def test_story_is_no_residue(text):
     assert not residue.judge(text)[0]
 
 
+@pytest.mark.parametrize(
+    "unit",
+    ["<novel_title>", "<user_name>", "<NOVEL_TITLE>", "[YOUR TITLE]", "[YOUR CHAPTER HERE]", "[ADD CHAPTER]", "[CHAPTER HERE]", "Chapter content goes here.", "Replace this paragraph.", "This page does not exist.", "The page may have been moved.", "test test test test", "</div>", "nan", "ENABLE JAVAſCRIPT", "et in ex ut"],
+)
+def test_residue_passes_the_stems(unit):
+    assert residue.kind(unit) in residue.RESIDUE and [x[1] for x in residue.judge(unit)[0]] == [residue.kind(unit)]
+
+
+def test_every_form_holds_a_stem():
+    for p in (residue.VARIABLE, residue.LONE_TAG, residue.UNDEFINED, residue.TAG, *map(residue.re.compile, residue._CUES)):
+        for form in _forms(residue.P.parse(p.pattern, p.flags)):
+            assert residue.traced(residue.lower(form)), (form, p.pattern)
+
+
+def _forms(seq):
+    """Some of the texts a pattern matches: every alternative, each repeat as short as it may be."""
+    P, out = residue.P, [""]
+    for op, arg in seq:
+        some = [""]
+        if op == P.LITERAL:
+            some = [chr(arg)]
+        elif op in (P.IN, P.ANY, P.NOT_LITERAL):
+            some = ["".join(chr(c) for o, c in arg[:1] if o == P.LITERAL) or "q"] if op == P.IN else ["q"]
+        elif op == P.SUBPATTERN:
+            some = _forms(arg[3])
+        elif op == P.BRANCH:
+            some = [f for x in arg[1] for f in _forms(x)]
+        elif op in (P.MAX_REPEAT, P.MIN_REPEAT):
+            some = [f * arg[0] for f in _forms(arg[2])]
+        out = [a + b for a in out for b in some]
+    return out
+
+
 def test_residue_template_slots():
     assert residue.template("Error 404 at a-b.example, id 9f3a516a8c45") == residue.template("Error 503 at c.example, id 0011aabbcc99")
 
