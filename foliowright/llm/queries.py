@@ -48,23 +48,27 @@ def p1_unified(spark: SparkSession, sf: str) -> DataFrame:
 # 2 template residue
 
 
-def _residue(spark: SparkSession, sf: str) -> DataFrame:
-    """Residue units of chapters and audit snippets, written once because templates and cases both read them."""
+def _residue(spark: SparkSession, sf: str) -> residue.Residue:
+    """Units of chapters and audit snippets, written once because templates and cases both read them."""
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(spark, name)
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     build = residue.scan(read(spark, sf, "build_pdf", "render_id", "text"), "render_id", "text", "build_pdf")
-    edits = residue.scan(read(spark, sf, "edits", "edit_id", "context"), "edit_id", "context", "edits")
-    path = shared_path(spark, "residue")
-    build.unionByName(edits).write.mode("overwrite").parquet(path)
-    return spark.read.schema(residue.SCHEMA).parquet(path)
+    edits = residue.scan(read(spark, sf, "edits", "edit_id", "context"), "edit_id", "context", "edits", cut=True)
+    return residue.Residue(write(build.unionByName(edits), "residue"), write)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Chapters and audit snippets where residue stands in place of prose."""
-    return residue.cases(_residue(spark, sf))
+    return _residue(spark, sf).cases()
 
 
 def p2_templates(spark: SparkSession, sf: str) -> DataFrame:
-    """The induced templates of residue with the records they align."""
-    return residue.templates(_residue(spark, sf))
+    """Page templates, their induced slots and the slots left with a variable name, default or blank."""
+    return _residue(spark, sf).templates()
 
 
 # 3 wrong character encoding

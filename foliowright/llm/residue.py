@@ -1,43 +1,54 @@
 """Problem 2: template residue, filler and error pages where prose belongs.
 
-Every record is cut into units (lines and sentences).  Units are aligned by template: what varies from
-page to page - host names, numbers, identifiers, variable markers, capitalised names - becomes a slot,
-and units with the same skeleton are instances of one template.  Counting a template over all records
-tells page furniture from prose: a template that stands in records full of story is story, whatever it
-talks of.  A unit is residue when its slots retain variable names, defaults or blanks, when it is
-filler, or when it is a notice or error line of a template that pages repeat as their whole content.
-
-A record is a case when it has residue and no more than one true sentence beside its heading.
-
-Defined results: null, empty and white-space records are no cases; a record of headings only is none.
+Every record is cut into units (lines and sentences); the skeleton of a unit is its words, with hosts,
+identifiers and numbers as slots.  Short records (pages) whose units have the same words are aligned and
+counted as wholes, and their units are counted in records full of story.  A page that repeats far more
+often than story holds its units (a likelihood ratio) is a *page template*: a default left in place of
+the chapter, an error page, a notice.  No list of phrases has a part in that, so the language and the
+wording do not matter; a sentence of the story with a slot spliced into it keeps the story's words.
+
+Pages are aligned further where they agree but for one word, their beginning or their end: that place is
+an *induced slot*, if the pages that share the rest outweigh what story can hold of it (never more than it
+holds of the rarest word).  Words that no page template could rest on are told by their own counts first,
+so only few units are aligned.
+
+Slots that retain a variable name, a default (filler words) or a blank are residue wherever they stand
+at the edge of a unit, also after a cut piece of a sentence.  A record is a case when it has residue
+and at most one true sentence beside its heading.
+
+Defined results: null, empty and white-space records are no cases; a record of headings only is none;
+repeated rows count once; a page template needs some twenty pages, so rarer wordings that fit no induced
+slot are not found, on small corpora above all.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
-from re import _parser as P
+from collections import Counter
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
-import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliowright.llm.sentences import BEFORE_NAMES
 
-MAX_TRUE, STORY_UNITS = 1, 4
+MAX_TRUE = 1
+PAGE_UNITS = 4  # a record with more units of text is story
+IN_STORY = 0.25  # what story talks of stands there at least so often for once on a page
+EVIDENCE = 4.5  # natural logarithm of the likelihood ratio that makes a page template
+LEAST_KEPT = 3  # words that an induced template keeps beside its slot, and at least half of all
 
 # How template languages mark a variable or a tag.
 VARIABLE = re.compile(
-    r"\{\{[^{}]*\}\}|\{%[^{}]*%\}|\{#[^{}]*#\}|[$#]\{[^{}]*\}|\{[A-Za-z_][\w.\- ]*\}|<%[^<>]*%>|<\?[^<>]*\?>|\[\[[^\[\]]*\]\]|%[A-Za-z_][\w.]*%|%\([a-z_]+\)s|\$[A-Za-z_]\w*\$|@@[A-Za-z_]\w*@@|__[A-Za-z][A-Za-z_]*__"
-    r"|<[A-Za-z]+_[A-Za-z_.]+>|<[A-Z_]{4,}>|\[(?:INSERT|ENTER|YOUR|ADD|PLACEHOLDER)[^\[\]]*\]|\[[^\[\]]*\b(?:TBD|TBA|TODO|HERE)\]|<(?:INSERT|ENTER|YOUR)[^<>]*>|\bT[OB]DO?: ?[\w.]+"
+    r"\{\{[^{}]*\}\}|\{%[^{}]*%\}|\{#[^{}]*#\}|[$#]\{[^{}]*\}|\{[A-Za-z_][\w.\- ]*\}|<%[^<>]*%>|<\?[^<>]*\?>|\[\[[^\[\]]*\]\]|%[A-Za-z_][\w.]*%|%\([a-z_]+\)s|\$[A-Za-z_]\w*\$|@@[A-Za-z_]\w*@@|__[A-Za-z][A-Za-z_.]*__"
+    r"|<[A-Za-z]+_[A-Za-z_.]+>|<[A-Za-z]+\.[A-Za-z_.]+>|<[A-Z_]{4,}>|\[(?:INSERT|ENTER|YOUR|ADD|PLACEHOLDER)[^\[\]]*\]|\[[^\[\]]*\b(?:TBD|TBA|TODO|HERE)\]|<(?:INSERT|ENTER|YOUR)[^<>]*>|\bT[OB]DO?: ?[\w.]+"
 )
 TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?>")
 LONE_TAG = re.compile(r"^</?[A-Za-z][\w.]*>$")
 UNDEFINED = re.compile(r"^(?:undefined|null|none|nan|n/a|\[object object\]|todo|tbd|tba|xxx+|\.{3,}|_{3,}|-{3,})[.!]?$", re.I)
-HOST = re.compile(r"\b(?:[a-z0-9-]+\.)+(?:example|com|net|org|info|io)\b", re.I)
-IDENT = re.compile(r"\b(?=[0-9a-f-]*\d)(?=[0-9a-f-]*[a-f])[0-9a-f]{6,}(?:-[0-9a-f]+)*\b|\b[0-9a-f]{8,}\b", re.I)
+MARKS = re.compile(r"[{}<>\[\]$%@]|__|TODO|TBD|TO:")
 
 # The vocabulary of filler.
 LOREM = frozenset(
@@ -45,38 +56,6 @@ LOREM = frozenset(
 )
 BABBLE = frozenset("blah bla foo bar baz qux asdf qwerty test dummy xxx text".split())
 
-# Phrases of filler notices, error pages and script or cookie notices, by language.
-_CUES = (
-    # en
-    r"(?:enable|activate|allow|turn on|switch(?:ed)? on|requires?|needs?|without|run|running) (?:\w+ ){0,4}?(?:javascript|scripts?|cookies)\b", r"\bjavascript (?:is|on|to|switched|enabled|disabled)\b", r"turn javascript on", r"script blocker", r"\bads?[- ]?blocker",
-    r"checking your browser", r"verify (?:that )?you are (?:a )?human", r"browser that can run", r"review the security of your connection", r"ray id\b", r"request id\b", r"rate limited", r"temporarily banned you",
-    r"\b(?:[45]\d\d) (?:not found|forbidden|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|too many requests|request time-?out|unauthorized|internal server error|gone|bad request)", r"^(?:not found|forbidden|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|too many requests|internal server error|access denied|oops|sorry|error)\b[!.:,]*$",
-    r"internal server error|unknown error|timed? ?out before|connection (?:has )?timed out|something went wrong|certificate of \S+ is not trusted|not trusted by your", r"page (?:you (?:asked for|were looking for|requested|are looking for) (?:does|was|is|has|could|cannot)|may have been (?:removed|moved)|not found|does not exist|cannot be found)", r"may have been removed, renamed", r"down for maintenance", r"request could not be satisfied", r"upstream server", r"backend fetch failed", r"guru meditation", r"closed the connection", r"did not answer in time",
-    r"session (?:has )?expired", r"must be logged in", r"log in (?:again )?to (?:read|continue|view)", r"sending too many requests", r"your (?:ip )?address was blocked", r"try again (?:later|in a few)", r"no database connection", r"error establishing a database", r"\bon line \d+", r"^(?:warning|fatal error|notice|parse error|traceback|exception)\b.*[:(]", r"connection to \S+ refused",
-    r"your text goes here", r"replace this (?:paragraph|text)", r"sample text", r"placeholder text", r"dummy text", r"for layout purposes", r"content (?:is )?coming soon", r"not been uploaded", r"chapter (?:text|content) goes here", r"^(?:reference|ref|incident|request id|ray id|error(?: code)?)[ #:.]*[0-9a-f-]{4,}\.?$", r"access to (?:this|the) (?:page|site|resource) (?:is|was|has been) (?:denied|blocked)", r"\bcloudflare\b", r"enable (?:them|it) and reload", r"reload (?:once|the page|this page)",
-    # de
-    r"javascript (?:aktivieren|ist deaktiviert|einschalten)|aktivieren sie (?:bitte )?javascript|blockiert skripte|skripte (?:zulassen|aktivieren|erlauben)", r"zugriff verweigert", r"seite wurde nicht gefunden|^fehler \d{3}\b(?!,)", r"inhalt folgt", r"blindtext|platzhalter", r"bitte ersetzen", r"derzeit nicht verfügbar|wartungsarbeiten|zu viele anfragen|cookies (?:akzeptieren|aktivieren|zulassen)", r"browser (?:wird|wurde) überprüft|überprüfen ihren browser",
-    # fr
-    r"activer javascript|activez javascript|bloque les scripts|autoriser les (?:scripts|cookies)|autorisez les (?:scripts|cookies)", r"accès refusé|pas les droits nécessaires", r"page demandée est introuvable|page introuvable|^erreur \d{3}\b(?!,)", r"contenu bientôt disponible|contenu à venir", r"insérez le (?:chapitre|texte)|texte à remplacer|texte de remplissage", r"trop de requêtes|vérification de votre navigateur|momentanément indisponible|temporairement indisponible",
-    # es
-    r"active javascript|activar javascript|habilite javascript|necesita scripts|permita (?:los )?scripts|bloquea los scripts", r"acceso denegado", r"no se encontró la página|página no encontrada|^error \d{3}\b(?!,)", r"contenido disponible próximamente|próximamente disponible", r"texto de relleno|inserte aquí|sustituir antes de publicar", r"demasiadas solicitudes|verificando su navegador|comprobando su navegador|temporalmente no disponible",
-    # pt
-    r"ative o javascript|ativar o javascript|habilite o javascript|precisa de scripts|bloqueia (?:os )?scripts", r"acesso negado", r"página não (?:foi )?encontrada|^erro \d{3}\b(?!,)", r"conteúdo (?:disponível )?em breve", r"texto de preenchimento|insira (?:aqui )?o capítulo|substituir antes de publicar", r"muitas solicitações|verificando (?:o )?seu navegador|temporariamente indisponível",
-    # it
-    r"attiva(?:re|te)? javascript|abilita(?:re)? javascript|blocca gli script|richiede (?:gli )?script", r"accesso negato", r"pagina non (?:è stata )?trovata|^errore \d{3}\b(?!,)", r"contenuto (?:disponibile )?in arrivo|disponibile a breve", r"testo segnaposto|testo di riempimento|inserire (?:qui )?il capitolo", r"troppe richieste|verifica del browser|temporaneamente non disponibile",
-    # nl
-    r"schakel javascript in|javascript inschakelen|scripts? toestaan|toegang geweigerd|pagina (?:werd )?niet gevonden|^fout \d{3}\b(?!,)|inhoud volgt|vervangende tekst|te veel verzoeken",
-    # ru, uk
-    r"включите javascript|разрешите (?:скрипты|куки)|скрипты и куки|браузер блокирует", r"доступ (?:запрещ[её]н|закрыт)", r"страница не найдена|^ошибка \d{3}\b(?!,)", r"временно недоступен", r"проверяем ваш браузер|слишком много запросов", r"текст-заполнитель|заменить перед публикацией|здесь будет текст|текст скоро появится|глава ещё не загружена", r"увімкніть javascript|сторінку не знайдено|^помилка \d{3}\b(?!,)|доступ заборонено|тимчасово недоступн",
-    # zh
-    r"javascript 后|启用 ?javascript|禁用脚本|脚本已被禁用|允许(?:脚本|cookie)", r"页面不存在|找不到(?:该|此)?页面|访问被拒绝|访问过于频繁|服务器(?:错误|繁忙)|稍候|稍后(?:再试|刷新)", r"正在检查您的浏览器", r"占位文字|替换为正文|此处为正文|内容正在(?:更新|手打)|章节内容正在", r"^编号\b|请(?:先)?登录后",
-    # ja
-    r"javascript を有効|スクリプト(?:を|と)", r"ページが見つかりません|アクセス(?:が集中|が拒否|できません)|しばらくしてから再度|しばらくお待ちください|ブラウザを確認", r"ダミーテキスト|公開前に差し替え|本文が入ります|近日公開|準備中です", r"サーバーエラー|ログインしてください",
-    # ar, hi, th
-    r"تفعيل جافا ?سكريبت|الصفحة غير موجودة|تم رفض الوصول|javascript\b.*(?:ا|ي)|نص بديل|المحتوى قريبا", r"जावास्क्रिप्ट|पृष्ठ नहीं मिला|javascript\b.*[ऀ-ॿ]", r"เปิดใช้งาน ?javascript|ไม่พบหน้า|ปฏิเสธการเข้าถึง",
-)
-CUE = re.compile("|".join(_CUES), re.I)
-
 HEADING = re.compile(r"^\s*(?:chapter|kapitel|chapitre|cap[ií]tulo|capitolo|hoofdstuk|глава|розділ|الفصل|अध्याय|บทที่)\s*[\d,.]+|^\s*第\s*[\d一二三四五六七八九十百千]+\s*[章話话回节節]", re.I)
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁІЇЄҐ"
 _LOW = "a-zß-öø-ÿа-яёіїєґ"
@@ -84,12 +63,18 @@ _SPLIT = re.compile(rf"\n+|(?<=[.!?؟।])\s+(?=[\"“„«(]?[^\W\d_{_LOW}]|[\"
 _QUOTED = re.compile("«[^«»\n]*»|“[^“”\n]*”|„[^„“”\n]*[“”]|\"[^\"\n]*\"|「[^「」\n]*」")
 _HELD = str.maketrans(".!?。！？", "·¡¿、，，")
 _ABBREVIATED = re.compile(r"(?:^|[^\w])(?:" + "|".join(re.escape(a) for a in sorted(BEFORE_NAMES)) + r"|[^\W\d_]|\d+)\.$")
-_WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
-_NAME = re.compile(r"(?<![.!?\"“„«] )(?<!^)\b[A-ZÀ-ÞА-ЯЁІЇЄ][^\W\d_]{2,}")
 
+# Scripts without spaces: each character is a word.
+_LONE = "฀-๿぀-ヿ㐀-鿿가-힯"
+_HOST = r"https?://\S+|\b(?:[a-z0-9-]+\.)+(?:example|com|net|org|info|io)\b"
+_IDENT = r"\b(?=[0-9a-f-]*\d)(?=[0-9a-f-]*[a-f])[0-9a-f]{6,}(?:-[0-9a-f]+)*\b|\b[0-9a-f]{8,}\b"
+_TOKEN = re.compile(rf"(?P<h>{_HOST})|(?P<x>{_IDENT})|(?P<n>\d+(?:[.,]\d+)*)|(?P<w>[{_LONE}]|[^\W\d_{_LONE}]+(?:[’'][^\W\d_{_LONE}]+)*)", re.I)
+_PLAIN = re.compile(rf"[{_LONE}]|[^\W\d_{_LONE}]+(?:[’'][^\W\d_{_LONE}]+)*")
+_SLOTTED = re.compile(r"\d|\.[a-z]|://|[0-9a-f]{8}", re.I)
 
-def units(text: str) -> list[str]:
-    """Lines and, inside them, sentences."""
+
+def units(text: str, cut: list[str] | None = None) -> list[str]:
+    """Lines and, inside them, sentences; ``cut`` takes those that would end where an abbreviation may go on."""
     out: list[str] = []
     glue = False
     text = _QUOTED.sub(lambda m: m.group().translate(_HELD), text)  # a quotation is not cut inside
@@ -99,6 +84,8 @@ def units(text: str) -> list[str]:
             glue = False
             continue
         if glue:
+            if cut is not None:
+                cut.append(out[-1])
             out[-1] += " " + u
         else:
             out.append(u)
@@ -106,204 +93,221 @@ def units(text: str) -> list[str]:
     return out
 
 
-def template(unit: str) -> str:
-    """The skeleton of a unit: everything that varies between instances is a slot."""
-    t = VARIABLE.sub("⟨v⟩", unit)
-    t = HOST.sub("⟨h⟩", t)
-    t = IDENT.sub("⟨x⟩", t)
-    t = re.sub(r"\d+(?:[.,]\d+)*", "⟨n⟩", t)
-    t = _NAME.sub("⟨c⟩", t)
-    return re.sub(r"\s+", " ", t).strip().lower()
+def skeleton(unit: str) -> str:
+    """The words of a unit in lower case, with a slot (⟨h⟩, ⟨x⟩ or ⟨n⟩) for each host, identifier and number."""
+    if not _SLOTTED.search(unit):
+        return " ".join(_PLAIN.findall(unit.lower()))
+    return " ".join(f"⟨{m.lastgroup}⟩" if m.lastgroup != "w" else m.group().lower() for m in _TOKEN.finditer(unit))
 
 
 def filler(words: list[str]) -> bool:
+    """Whether words are the default text of layouts, or one word over and over."""
     low = [w.lower() for w in words]
     if len(low) >= 4 and sum(w in LOREM for w in low) >= 0.7 * len(low):
         return True
     return len(low) >= 3 and len(set(low)) <= max(1, len(low) // 3) and sum(w in BABBLE for w in low) >= 0.7 * len(low)
 
 
-def kind(unit: str) -> str:
-    """What a unit is by itself: variable, filler, notice, blank (host, number or identifier only), heading or text."""
-    rest = TAG.sub(" ", VARIABLE.sub(" ", unit))
-    marked = rest != unit
-    words = _WORD.findall(rest)
-    if VARIABLE.search(unit):
-        # variables stand for the prose, they are not mentioned in it
-        return "variable" if len(words) <= 4 or sum(map(len, words)) < 0.5 * len(unit) else "text"
-    if marked and len(words) <= 6 and "{" in unit:
-        return "variable"
-    if HEADING.match(unit) and not CUE.search(unit):
-        return "heading"
-    if UNDEFINED.match(unit) or LONE_TAG.match(unit):
-        return "variable"
-    if filler(words):
-        return "filler"
-    if CUE.search(unit):
-        return "notice"
-    bare = re.sub(r"[\d\W_]+", "", IDENT.sub("", HOST.sub("", unit)))
-    return "blank" if len(bare) <= 3 else "text"
-
-
-def plain_kind(unit: str) -> str:
-    """The kind of a unit without any stem of residue: what ``kind`` gives, less the patterns that need one."""
-    if HEADING.match(unit):
-        return "heading"
-    if UNDEFINED.match(unit):
-        return "variable"
-    if filler(_WORD.findall(unit)):
-        return "filler"
-    bare = re.sub(r"[\d\W_]+", "", IDENT.sub("", HOST.sub("", unit)))
-    return "blank" if len(bare) <= 3 else "text"
-
-
-RESIDUE = ("variable", "filler", "notice")
-
-LEAST_FILLER = 3  # words of filler in any unit that is filler
-
-
-def _best(a: set[str] | None, b: set[str] | None) -> set[str] | None:
-    """The set with the longer shortest piece; sets with an empty piece say nothing."""
-    sets = [x for x in (a, b) if x and "" not in x]
-    return max(sets, key=lambda x: (min(map(len, x)), -len(x)), default=None)
-
-
-def _join(a: set[str], b: set[str]) -> set[str]:
-    return {x + y for x in a for y in b}
-
-
-def _pieces(seq) -> tuple[set[str] | None, set[str] | None]:  # noqa: ANN001
-    """Of a parsed pattern: all it can match, where those are few, and pieces of which each match holds one."""
-    run, need, whole = {""}, None, True
-    for op, arg in seq:
-        exact, own = None, None
-        if op == P.LITERAL:
-            exact = {chr(arg).lower()}
-        elif op == P.IN and len(arg) <= 8 and all(o == P.LITERAL for o, _ in arg):
-            exact = {chr(c).lower() for _, c in arg}
-        elif op in (P.AT, P.ASSERT, P.ASSERT_NOT):
-            exact = {""}
-        elif op == P.SUBPATTERN:
-            exact, own = _pieces(arg[3])
-        elif op == P.BRANCH:
-            parts = [_pieces(x) for x in arg[1]]
-            exact = set().union(*(e for e, _ in parts)) if all(e is not None for e, _ in parts) else None
-            own = set().union(*(n for _, n in parts)) if all(n is not None for _, n in parts) else None
-        elif op in (P.MAX_REPEAT, P.MIN_REPEAT):
-            exact, own = _pieces(arg[2])
-            if exact is not None and (arg[0], arg[1]) == (0, 1):
-                exact, own = exact | {""}, None
-            elif exact is not None and 0 < arg[0] <= 4 and len(exact) == 1:
-                own = {"".join(exact) * arg[0]}
-                exact = own if arg[0] == arg[1] else None
-            else:
-                exact, own = None, own if arg[0] else None
-        if exact is not None and len(run) * len(exact) <= 256:
-            run = _join(run, exact)
-        else:
-            need, whole, run = _best(_best(need, run), own), False, exact or {""}
-    need = _best(need, run)
-    return (run if whole else None), need
-
-
-@lru_cache(2)
-def stems(*more: re.Pattern) -> frozenset[str]:
-    """Pieces, derived from the patterns, of which every unit they match holds at least one in lower case."""
-    out = {"{"}  # a tag around a brace
-    for pattern in (VARIABLE, LONE_TAG, CUE, TAG, *more):
-        need = _pieces(P.parse(pattern.pattern, pattern.flags))[1]
-        if need is None:
-            raise ValueError(f"a match of {pattern.pattern[:40]} need not hold any fixed piece")
-        out |= need
-    return frozenset(x for x in out if not any(y != x and y in x for y in out))
-
-
-@lru_cache(2)
-def _stems(*more: re.Pattern) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for s in stems(*more):
-        a.add_word(s, len(s))
-    a.make_automaton()
-    return a
-
-
-# Characters that patterns take for others when case is ignored, though their lower case is another one.
-_ODD = re.compile("[ſıİᲀ-ᲈ]")
-_EVEN = str.maketrans("ſıİᲀᲁᲂᲃᲄᲅᲆᲇᲈ", "siiвдосттъѣꙋ")
-
-
-def lower(text: str) -> str:
-    return (text.translate(_EVEN) if _ODD.search(text) else text).lower()
-
-
-def traced(low: str) -> list[int]:
-    """Where stems end in a lower-case text."""
-    return [i for i, _ in _stems(UNDEFINED).iter(low)]
-
+def slot(unit: str) -> tuple[str, str] | None:
+    """(kind, text beside it) of a slot that was left as it is; None where a unit has none.
 
-_BLOCK = re.compile(r"\n[^\S\n]*\n")
-ASIDE = 3  # sentences of a block that a notice in it may carry with it
-
-
-def judge(text: str) -> tuple[list[tuple[int, str, str]], int]:
-    """Residue units (number, kind, template) and the number of true sentences.
-
-    A notice comes with further words ("This takes a few seconds."): up to ``ASIDE`` sentences of its block are not prose.
+    A marker at an edge of its unit stands where text should; one in the middle may be talked of, and is a
+    slot only if there is little beside it.
+    """
+    marks = list(VARIABLE.finditer(unit))
+    if not marks:
+        return ("blank", "") if UNDEFINED.match(unit) else ("variable", "") if LONE_TAG.match(unit) else None
+    rest = TAG.sub(" ", VARIABLE.sub(" ", unit))
+    words = _PLAIN.findall(rest)
+    edge = not re.search(r"\w", TAG.sub("", unit[marks[-1].end() :])) or not re.search(r"\w", TAG.sub("", unit[: marks[0].start()]))
+    if edge or len(words) <= 4 or sum(map(len, words)) < 0.5 * len(unit):
+        return "variable", rest.strip() if len(words) > 4 else ""
+    return None
+
+
+def parts(text: str) -> tuple[list[str], list[tuple[str, str]], list[str]]:
+    """Skeletons of the units of text, (kind, marker or words) of slots left as they are, and units cut at abbreviations."""
+    texts: list[str] = []
+    slots: list[tuple[str, str]] = []
+    cut: list[str] = []
+    for u in units(text, cut):
+        if HEADING.match(u) and not VARIABLE.search(u):
+            continue
+        if MARKS.search(u) or len(u) < 20:
+            left = slot(u)
+            if left is not None:
+                slots.append((left[0], VARIABLE.search(u).group() if left[0] == "variable" and VARIABLE.search(u) else u))
+                u = left[1]
+                if not u:
+                    continue
+        s = skeleton(u)
+        words = [w for w in s.split(" ") if w and w[0] != "⟨"]
+        if sum(map(len, words)) <= 3 and not any("฀" <= w[0] for w in words):
+            continue  # a host, number or identifier only
+        if words[0] in LOREM or words[0] in BABBLE or words[-1] in LOREM:
+            if filler(words):
+                slots.append(("default", " ".join(words[:3])))
+                continue
+        texts.append(s)
+    return texts, slots, cut
+
+
+def key(s: str) -> int:
+    """A number for the words of a skeleton, whatever is in its slots and wherever words are parted."""
+    letters = "".join(w for w in s.split(" ") if w[0] != "⟨") if "⟨" in s else s.replace(" ", "")
+    return int.from_bytes(blake2b(letters.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _whole_words(s: str, cut: bool) -> set[str]:
+    words = s.split(" ")
+    if "⟨h⟩" in s:  # hosts are spliced into words
+        near = {i + d for i, w in enumerate(words) if w == "⟨h⟩" for d in (-1, 0, 1)}
+        words = [w if i not in near else "" for i, w in enumerate(words)]
+    return set(words[1:-1] if cut else words)
+
+
+SCHEMA = "src string, row_id bigint, n_text int, whole bigint, keys array<bigint>, skeletons array<string>, slots array<struct<kind:string,mark:string>>, words array<struct<word:string,n_page:bigint,n_story:bigint>>"
+_SLOTS = pa.list_(pa.struct([("kind", pa.string()), ("mark", pa.string())]))
+_WORDS = pa.list_(pa.struct([("word", pa.string()), ("n_page", pa.int64()), ("n_story", pa.int64())]))
+_ARROW = pa.schema([("src", pa.string()), ("row_id", pa.int64()), ("n_text", pa.int32()), ("whole", pa.int64()), ("keys", pa.list_(pa.int64())), ("skeletons", pa.list_(pa.string())), ("slots", _SLOTS), ("words", _WORDS)])
+
+
+def scan(df: DataFrame, id_col: str, text_col: str, src: str, cut: bool = False) -> DataFrame:
+    """One row per record with text: its number of units of text, their keys, the skeletons of pages, slots left as they are.
+
+    A row without ``src`` holds the words of a batch, with the units of pages and of stories they are in; where records are ``cut``
+    out of a text, the first and last word of a unit may be pieces and are not counted, nor are words beside a host.
     """
-    if next(_stems(UNDEFINED).iter(lower(text)), None) is None and sum(w in LOREM or w in BABBLE for w in map(str.lower, _WORD.findall(text))) < LEAST_FILLER:
-        return [], STORY_UNITS
-    found, true, n = [], 0, 0
-    for block in _BLOCK.split(text):
-        prose, notices = 0, False
-        for u in units(block):
-            n += 1
-            k = kind(u) if next(_stems().iter(lower(u)), None) is not None else plain_kind(u)
-            if k in RESIDUE:
-                found.append((n, k, template(u)))
-                notices |= k == "notice"
-            else:
-                prose += k == "text"
-        true += max(0, prose - ASIDE) if notices else prose
-    return found, true
-
-
-SCHEMA = "src string, row_id bigint, unit_no int, kind string, template string, n_true int"
-
-
-def scan(df: DataFrame, id_col: str, text_col: str, src: str) -> DataFrame:
-    """Residue units of all records: (src, row_id, unit_no, kind, template, n_true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["src", "row_id", "unit_no", "kind", "template", "n_true"]
-        types = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32())
         for b in batches:
-            out: list[list] = [[] for _ in names]
+            out: list[list] = [[] for _ in _ARROW]
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found, true = judge(t)
-                for no, k, tpl in found:
-                    for col, x in zip(out, (src, i, no, k, tpl, true)):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+                texts, slots, open_ = parts(t)
+                if not texts and not slots:
+                    continue
+                page = len(texts) <= PAGE_UNITS
+                for s in texts:
+                    seen[0 if page else 1].update(_whole_words(s, cut))
+                keys = [key(s) for s in texts]
+                if not page:
+                    keys = list(set(keys + [key(s) for s in map(skeleton, open_) if s]))
+                row = (src, i, len(texts), key(" ".join(texts)), keys, texts if page else [], [{"kind": k, "mark": m} for k, m in slots] if page else [], None)
+                for col, x in zip(out, row):
+                    col.append(x)
+            words = [{"word": w, "n_page": seen[0][w], "n_story": seen[1][w]} for w in seen[0] if w[:1] not in ("", "⟨")]
+            words += [{"word": w, "n_page": 0, "n_story": n} for w, n in seen[1].items() if w not in seen[0] and w[:1] not in ("", "⟨")]
+            for col, x in zip(out, (None, None, None, None, None, None, None, words)):
+                col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW)], schema=_ARROW)
 
     rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     return rows.mapInArrow(run, SCHEMA)
 
 
-def templates(found: DataFrame) -> DataFrame:
-    """Each template with its chapters, those in which it stands among story and those it fills."""
-    once = found.groupBy("template", "src", "row_id").agg(F.max("n_true").alias("n_true"), F.min("kind").alias("kind"))
-    whole = F.col("src") == "build_pdf"
-    return once.groupBy("template").agg(
-        F.count("*").alias("n_records"), F.min("kind").alias("kind"),
-        F.sum((whole & (F.col("n_true") >= STORY_UNITS)).cast("int")).alias("n_story"), F.sum((whole & (F.col("n_true") <= MAX_TRUE)).cast("int")).alias("n_pages"),
-    )
+def evidence(n_page: Column, n_story: Column) -> Column:
+    """How much likelier a template's places are if it makes pages than if story talks of it; 0 where they are not."""
+    n = n_page + n_story
+    first = n_page * F.log(n_page * (1 + IN_STORY) / n)
+    second = F.when(n_story > 0, n_story * F.log(n_story * (1 + IN_STORY) / (n * IN_STORY))).otherwise(0.0)
+    return F.when(n_page * (1 + IN_STORY) > n, first + second).otherwise(0.0)
+
 
+def confirmed(records: DataFrame) -> DataFrame:
+    """(key, n_page, n_story) of the units of pages that repeat as wholes, however they are laid out, and that story does not hold."""
+    pages = records.where(f"n_text between 1 and {PAGE_UNITS}").select("src", "row_id", "whole", "keys").distinct()
+    wholes = pages.groupBy("whole").agg(F.count("*").alias("n_page")).where(evidence(F.col("n_page"), F.lit(0)) >= EVIDENCE)
+    each = pages.join(wholes, "whole").select("keys", "n_page").distinct().select("keys", "n_page", F.explode(F.array_distinct("keys")).alias("key"))
+    told = records.where(f"n_text > {PAGE_UNITS}").select("src", "row_id", F.explode("keys").alias("key"))
+    told = told.join(each.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count_distinct("src", "row_id").alias("n_story"))
+    units = each.join(told, "key", "left").fillna(0, ["n_story"])
+    sure = units.groupBy("keys", "n_page").agg(F.max("n_story").alias("most"), F.collect_list(F.struct("key", "n_story")).alias("units"))  # at most PAGE_UNITS
+    sure = sure.where(evidence(F.col("n_page"), F.col("most")) >= EVIDENCE).select("n_page", F.explode("units").alias("u"))
+    return sure.groupBy("u.key").agg(F.sum("n_page").alias("n_page"), F.max("u.n_story").alias("n_story"))
 
-def cases(found: DataFrame) -> DataFrame:
-    """(src, row_id) where residue stands in place of prose.
 
-    A notice counts only if its template is not one that stories use: seen among story at least as often
-    as it stands for a page, it is something the story talks of.
+def page_words(records: DataFrame) -> DataFrame:
+    """(word, n_story): words that stand on pages far more often than in story; any template rests on one of them."""
+    each = records.where("src is null").select(F.explode("words").alias("w")).select("w.*")
+    return each.groupBy("word").agg(F.sum("n_page").alias("n_page"), F.sum("n_story").alias("n_story")).where(evidence(F.col("n_page"), F.col("n_story")) >= EVIDENCE).select("word", "n_story")
+
+
+def variants(s: Column, known: Column) -> Column:
+    """(template, most, left) of a skeleton with one word, its beginning or its end left open, where enough is kept.
+
+    ``known`` holds (pos, n_story) of its page words; ``most`` is how often story can hold what is kept, at most; ``left`` is what was left open.
     """
-    t = templates(found).where("kind = 'notice' and n_story > n_pages").select("template")
-    return found.where(F.col("n_true") <= MAX_TRUE).join(t, "template", "left_anti").select("src", "row_id").distinct()
+    w = F.split(s, " ", -1)
+    n = F.size(w)
+    spans = F.array(F.struct(n.alias("a"), n.alias("b")))  # nothing left open
+    one = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
+    halves = F.when(n >= 2, F.sequence(F.lit(1), F.floor(n / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    head = F.transform(halves, lambda k: F.struct(F.lit(0).alias("a"), k.alias("b")))
+    tail = F.transform(halves, lambda k: F.struct((n - k).alias("a"), n.alias("b")))
+    plain = lambda a: F.size(F.filter(a, lambda x: ~F.startswith(x, F.lit("⟨"))))
+    before, after = (lambda x: F.slice(w, F.lit(1), x["a"])), (lambda x: F.slice(w, x["b"] + 1, n))
+    most = lambda x: F.array_min(F.transform(F.filter(known, lambda k: (k["pos"] < x["a"]) | (k["pos"] >= x["b"])), lambda k: k["n_story"]))
+    made = F.transform(
+        F.concat(spans, one, head, tail),
+        lambda x: F.struct(F.array_join(F.concat(before(x), F.when(x["a"] < x["b"], F.array(F.lit("*"))).otherwise(F.array().cast("array<string>")), after(x)), " ").alias("template"), most(x).alias("most"), F.array_join(F.slice(w, x["a"] + 1, x["b"] - x["a"]), " ").alias("left"), (plain(before(x)) + plain(after(x))).alias("kept")),
+    )
+    return F.array_distinct(F.filter(made, lambda x: (x["kept"] >= LEAST_KEPT) & x["most"].isNotNull()))
+
+
+class Residue:
+    """Templates and cases over one written table of ``scan`` rows; ``write`` keeps a small table for later stages."""
+
+    def __init__(self, records: DataFrame, write: Callable[[DataFrame, str], DataFrame]):
+        self.all, self.records = records, records.where("src is not null")
+        self.pages = self.records.where(f"n_text <= {PAGE_UNITS}")
+        self.confirmed = write(confirmed(self.records), "page-templates")
+        self.aligned = write(self._aligned(page_words(records)), "page-alignments")
+
+    def _units(self) -> DataFrame:
+        both = F.arrays_zip(F.col("keys").alias("key"), F.col("skeletons").alias("skeleton"))
+        at = self.pages.select("src", "row_id", "n_text", F.posexplode(both).alias("pos", "u"))
+        return at.select("src", "row_id", "n_text", "pos", "u.key", "u.skeleton")
+
+    def _aligned(self, words: DataFrame) -> DataFrame:
+        """(src, row_id, key, whole, template, most, left): units with page words under each template they fit; whole where page templates make up the rest of the page."""
+        u = self._units().select("*", F.posexplode(F.split("skeleton", " ", -1)).alias("at", "word")).join(words, "word")
+        u = u.groupBy("src", "row_id", "n_text", "pos", "key", "skeleton").agg(F.collect_set(F.struct(F.col("at").alias("pos"), "n_story")).alias("known"))  # the words of a unit
+        sure = self._units().join(self.confirmed.select("key"), "key", "left_semi").groupBy("src", "row_id").agg(F.collect_set("pos").alias("sure"))  # at most PAGE_UNITS
+        u = u.join(sure, ["src", "row_id"], "left")
+        u = u.withColumn("whole", F.col("n_text") - F.coalesce(F.size(F.array_remove("sure", F.col("pos"))), F.lit(0)) <= 1)
+        return u.select("src", "row_id", "key", "whole", F.explode(variants(F.col("skeleton"), F.col("known"))).alias("v")).select("src", "row_id", "key", "whole", "v.template", "v.most", "v.left")
+
+    def induced(self) -> DataFrame:
+        """(template, n_fillings, n_page): templates with a slot that pages share far more often than story can."""
+        t = self.aligned.where("whole").groupBy("template").agg(F.count_distinct("src", "row_id").alias("n_page"), F.count_distinct("left").alias("n_fillings"), F.min("most").alias("most"))
+        t = t.where("2 * n_fillings <= n_page")  # text of its own in each page is story beside a phrase
+        return t.where(evidence(F.col("n_page"), F.col("most")) >= EVIDENCE).select("template", "n_fillings", "n_page")
+
+    def page_keys(self) -> DataFrame:
+        """(key): skeletons that are page templates, or that fit a template with an induced slot."""
+        fits = self.aligned.join(self.induced().select("template"), "template", "left_semi").select("key").distinct()
+        told = self.records.where(f"n_text > {PAGE_UNITS}").select(F.explode("keys").alias("key"))
+        return self.confirmed.select("key").unionByName(fits.join(told, "key", "left_anti")).distinct()
+
+    def cases(self) -> DataFrame:
+        """(src, row_id) where residue stands in place of prose."""
+        left = self.pages.where(f"size(slots) > 0 and n_text <= {MAX_TRUE}").select("src", "row_id")
+        held = self._units().select("src", "row_id", "n_text", "pos", "key").join(self.page_keys(), "key", "left_semi")
+        whole = held.groupBy("src", "row_id").agg(F.count_distinct("pos").alias("n_held"), F.max("n_text").alias("n_text"))
+        return left.unionByName(whole.where(f"n_text - n_held <= {MAX_TRUE}").select("src", "row_id")).distinct()
+
+    def templates(self) -> DataFrame:
+        """(template, slot, filling, n_fillings, n_records): page templates, their induced slots, and slots left as they are.
+
+        ``slot`` is ``none`` for a template that repeats as it is, ``word``, ``beginning`` or ``end`` for an induced
+        slot, and ``variable``, ``default`` or ``blank`` for one that kept its marker, which is then the ``filling``.
+        """
+        none, n = F.lit(None).cast("string"), F.count("*").alias("n_records")
+        repeated = self._units().join(self.confirmed, "key").select("skeleton", "n_page").distinct()
+        whole = repeated.select(F.col("skeleton").alias("template"), F.lit("none").alias("slot"), none.alias("filling"), F.lit(1).cast("long").alias("n_fillings"), F.col("n_page").alias("n_records"))
+        at = F.when(F.startswith("template", F.lit("* ")), "beginning").when(F.endswith("template", F.lit(" *")), "end").otherwise("word")
+        open_ = self.induced().where("n_fillings > 1").select("template", at.alias("slot"), none.alias("filling"), "n_fillings", F.col("n_page").alias("n_records"))
+        marks = self.pages.select("src", "row_id", "n_text", F.explode(F.array_distinct("slots")).alias("s")).distinct()
+        kept = marks.groupBy(F.when(F.col("n_text") == 0, "*").otherwise("text *").alias("template"), F.col("s.kind").alias("slot"), F.col("s.mark").alias("filling")).agg(n)
+        return whole.unionByName(open_).unionByName(kept.select("template", "slot", "filling", F.lit(1).cast("long").alias("n_fillings"), "n_records"))
