@@ -26,9 +26,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from hashlib import blake2b
+from itertools import chain
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,10 +60,13 @@ BABBLE = frozenset("blah bla foo bar baz qux asdf qwerty test dummy xxx text".sp
 HEADING = re.compile(r"^\s*(?:chapter|kapitel|chapitre|cap[ií]tulo|capitolo|hoofdstuk|глава|розділ|الفصل|अध्याय|บทที่)\s*[\d,.]+|^\s*第\s*[\d一二三四五六七八九十百千]+\s*[章話话回节節]", re.I)
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁІЇЄҐ"
 _LOW = "a-zß-öø-ÿа-яёіїєґ"
-_SPLIT = re.compile(rf"\n+|(?<=[.!?؟।])\s+(?=[\"“„«(]?[^\W\d_{_LOW}]|[\"“„«(¿¡])|(?<=[.!?؟।][\"”»“])\s+(?=[\"“„«(¿¡]*[{_UP}])|(?<=[。！？])(?![”」』’）。！？])|(?<=[。！？][”」』])(?=[“「『])")
+# Where a unit may end: a line break, or a mark before white space or another sentence.
+_END = re.compile(
+    rf"[\n.!?؟।。！？](?:(?<=\n)\n*|(?<=[.!?؟।])\s+(?=[\"“„«(]?[^\W\d_{_LOW}]|[\"“„«(¿¡])|(?<=[.!?؟।])[\"”»“]\s+(?=[\"“„«(¿¡]*[{_UP}])|(?<=[。！？])(?![”」』’）。！？])|(?<=[。！？])[”」』](?=[“「『]))"
+)
 _QUOTED = re.compile("«[^«»\n]*»|“[^“”\n]*”|„[^„“”\n]*[“”]|\"[^\"\n]*\"|「[^「」\n]*」")
 _HELD = str.maketrans(".!?。！？", "·¡¿、，，")
-_ABBREVIATED = re.compile(r"(?:^|[^\w])(?:" + "|".join(re.escape(a) for a in sorted(BEFORE_NAMES)) + r"|[^\W\d_]|\d+)\.$")
+_ABBREVIATIONS = frozenset(BEFORE_NAMES)
 
 # Scripts without spaces: each character is a word.
 _LONE = "฀-๿぀-ヿ㐀-鿿가-힯"
@@ -70,7 +74,16 @@ _HOST = r"https?://\S+|\b(?:[a-z0-9-]+\.)+(?:example|com|net|org|info|io)\b"
 _IDENT = r"\b(?=[0-9a-f-]*\d)(?=[0-9a-f-]*[a-f])[0-9a-f]{6,}(?:-[0-9a-f]+)*\b|\b[0-9a-f]{8,}\b"
 _TOKEN = re.compile(rf"(?P<h>{_HOST})|(?P<x>{_IDENT})|(?P<n>\d+(?:[.,]\d+)*)|(?P<w>[{_LONE}]|[^\W\d_{_LONE}]+(?:[’'][^\W\d_{_LONE}]+)*)", re.I)
 _PLAIN = re.compile(rf"[{_LONE}]|[^\W\d_{_LONE}]+(?:[’'][^\W\d_{_LONE}]+)*")
-_SLOTTED = re.compile(r"\d|\.[a-z]|://|[0-9a-f]{8}", re.I)
+_SLOTTED = re.compile(r"\d|[.:](?=[A-Za-z/])")
+
+
+def _goes_on(unit: str) -> bool:
+    """Whether a unit ends with an abbreviation, an initial or a number."""
+    if unit[-1] != ".":
+        return False
+    last = unit[max(unit.rfind(" "), unit.rfind("\t"), -1) + 1 : -1].lstrip("\"“„«(¿¡‘'")
+    last = last if last in _ABBREVIATIONS else re.split(r"\W", last)[-1]
+    return last in _ABBREVIATIONS or len(last) == 1 and last.isalpha() or last.isdecimal()
 
 
 def units(text: str, cut: list[str] | None = None) -> list[str]:
@@ -78,8 +91,12 @@ def units(text: str, cut: list[str] | None = None) -> list[str]:
     out: list[str] = []
     glue = False
     text = _QUOTED.sub(lambda m: m.group().translate(_HELD), text)  # a quotation is not cut inside
-    for u in _SPLIT.split(text):
-        u = (u or "").strip()
+    ends = [m.end() for m in _END.finditer(text)]
+    start = 0
+    for end in (*ends, len(text)):
+        piece = text[start:end]
+        u = piece.strip()
+        start = end
         if not u:
             glue = False
             continue
@@ -89,15 +106,20 @@ def units(text: str, cut: list[str] | None = None) -> list[str]:
             out[-1] += " " + u
         else:
             out.append(u)
-        glue = bool(_ABBREVIATED.search(u))
+        glue = piece[-1] != "\n" and _goes_on(u)
     return out
 
 
-def skeleton(unit: str) -> str:
+def words_of(unit: str) -> list[str]:
     """The words of a unit in lower case, with a slot (⟨h⟩, ⟨x⟩ or ⟨n⟩) for each host, identifier and number."""
     if not _SLOTTED.search(unit):
-        return " ".join(_PLAIN.findall(unit.lower()))
-    return " ".join(f"⟨{m.lastgroup}⟩" if m.lastgroup != "w" else m.group().lower() for m in _TOKEN.finditer(unit))
+        return _PLAIN.findall(unit.lower())
+    return [f"⟨{m.lastgroup}⟩" if m.lastgroup != "w" else m.group().lower() for m in _TOKEN.finditer(unit)]
+
+
+def skeleton(unit: str) -> str:
+    """The words and slots of a unit."""
+    return " ".join(words_of(unit))
 
 
 def filler(words: list[str]) -> bool:
@@ -125,45 +147,53 @@ def slot(unit: str) -> tuple[str, str] | None:
     return None
 
 
-def parts(text: str) -> tuple[list[str], list[tuple[str, str]], list[str]]:
-    """Skeletons of the units of text, (kind, marker or words) of slots left as they are, and units cut at abbreviations."""
-    texts: list[str] = []
+def parts(text: str) -> tuple[list[list[str]], list[tuple[str, str]], list[str]]:
+    """Words of the units of text, (kind, marker or words) of slots left as they are, and units cut at abbreviations."""
+    texts: list[list[str]] = []
     slots: list[tuple[str, str]] = []
     cut: list[str] = []
+    marked = MARKS.search(text) is not None
     for u in units(text, cut):
-        if HEADING.match(u) and not VARIABLE.search(u):
+        if HEADING.match(u) and not (marked and VARIABLE.search(u)):
             continue
-        if MARKS.search(u) or len(u) < 20:
-            left = slot(u)
-            if left is not None:
-                slots.append((left[0], VARIABLE.search(u).group() if left[0] == "variable" and VARIABLE.search(u) else u))
-                u = left[1]
-                if not u:
-                    continue
-        s = skeleton(u)
-        words = [w for w in s.split(" ") if w and w[0] != "⟨"]
-        if sum(map(len, words)) <= 3 and not any("฀" <= w[0] for w in words):
-            continue  # a host, number or identifier only
-        if words[0] in LOREM or words[0] in BABBLE or words[-1] in LOREM:
-            if filler(words):
-                slots.append(("default", " ".join(words[:3])))
+        if marked and MARKS.search(u) and (left := slot(u)) is not None:
+            mark = VARIABLE.search(u)
+            slots.append((left[0], mark.group() if mark else u))
+            u = left[1]
+            if not u:
                 continue
-        texts.append(s)
+        elif len(u) < 20 and UNDEFINED.match(u):
+            slots.append(("blank", u))
+            continue
+        w = words_of(u)
+        if len(w) <= 3 and sum(len(x) for x in w if x[0] != "⟨") <= 3 and not any("฀" <= x[0] for x in w if x[0] != "⟨"):
+            continue  # a host, number or identifier only
+        if (w[0] in LOREM or w[0] in BABBLE or w[-1] in LOREM) and filler(w):
+            slots.append(("default", " ".join(w[:3])))
+            continue
+        texts.append(w)
     return texts, slots, cut
 
 
-def key(s: str) -> int:
-    """A number for the words of a skeleton, whatever is in its slots and wherever words are parted."""
-    letters = "".join(w for w in s.split(" ") if w[0] != "⟨") if "⟨" in s else s.replace(" ", "")
-    return int.from_bytes(blake2b(letters.encode(), digest_size=8).digest(), "big", signed=True)
+def _number(s: str) -> int:
+    n = xxhash.xxh3_64_intdigest(s)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def key(words: list[str]) -> int:
+    """A number for the words of a unit, whatever is in its slots and wherever words are parted."""
+    s = "".join(words)
+    return _number(_ANY_SLOT.sub("", s) if "⟨" in s else s)
 
 
-def _whole_words(s: str, cut: bool) -> set[str]:
-    words = s.split(" ")
-    if "⟨h⟩" in s:  # hosts are spliced into words
+_ANY_SLOT = re.compile("⟨.⟩")
+
+
+def _whole_words(words: list[str], cut: bool) -> list[str]:
+    if "⟨h⟩" in words:  # hosts are spliced into words
         near = {i + d for i, w in enumerate(words) if w == "⟨h⟩" for d in (-1, 0, 1)}
         words = [w if i not in near else "" for i, w in enumerate(words)]
-    return set(words[1:-1] if cut else words)
+    return words[1:-1] if cut else words
 
 
 SCHEMA = "src string, row_id bigint, n_text int, whole bigint, keys array<bigint>, skeletons array<string>, slots array<struct<kind:string,mark:string>>, words array<struct<word:string,n_page:bigint,n_story:bigint>>"
@@ -192,8 +222,8 @@ def scan(df: DataFrame, id_col: str, text_col: str, src: str, cut: bool = False)
                     seen[0 if page else 1].update(_whole_words(s, cut))
                 keys = [key(s) for s in texts]
                 if not page:
-                    keys = list(set(keys + [key(s) for s in map(skeleton, open_) if s]))
-                row = (src, i, len(texts), key(" ".join(texts)), keys, texts if page else [], [{"kind": k, "mark": m} for k, m in slots] if page else [], None)
+                    keys = list(set(keys + [key(s) for s in map(words_of, open_) if s]))
+                row = (src, i, len(texts), key(list(chain.from_iterable(texts))) if page else None, keys, [" ".join(s) for s in texts] if page else [], [{"kind": k, "mark": m} for k, m in slots] if page else [], None)
                 for col, x in zip(out, row):
                     col.append(x)
             words = [{"word": w, "n_page": seen[0][w], "n_story": seen[1][w]} for w in seen[0] if w[:1] not in ("", "⟨")]
@@ -233,60 +263,79 @@ def page_words(records: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum("n_page").alias("n_page"), F.sum("n_story").alias("n_story")).where(evidence(F.col("n_page"), F.col("n_story")) >= EVIDENCE).select("word", "n_story")
 
 
-def variants(s: Column, known: Column) -> Column:
-    """(template, most, left) of a skeleton with one word, its beginning or its end left open, where enough is kept.
+def variants(skeleton: str, known: dict[int, int]) -> Iterator[tuple[str, int]]:
+    """(template, most) of a skeleton as it is and with one word, its beginning or its end left open, where enough is kept.
 
-    ``known`` holds (pos, n_story) of its page words; ``most`` is how often story can hold what is kept, at most; ``left`` is what was left open.
+    ``known`` has the places of its page words and how often story holds them; ``most`` is how often story can hold what is kept.
     """
-    w = F.split(s, " ", -1)
-    n = F.size(w)
-    spans = F.array(F.struct(n.alias("a"), n.alias("b")))  # nothing left open
-    one = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
-    halves = F.when(n >= 2, F.sequence(F.lit(1), F.floor(n / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-    head = F.transform(halves, lambda k: F.struct(F.lit(0).alias("a"), k.alias("b")))
-    tail = F.transform(halves, lambda k: F.struct((n - k).alias("a"), n.alias("b")))
-    plain = lambda a: F.size(F.filter(a, lambda x: ~F.startswith(x, F.lit("⟨"))))
-    before, after = (lambda x: F.slice(w, F.lit(1), x["a"])), (lambda x: F.slice(w, x["b"] + 1, n))
-    most = lambda x: F.array_min(F.transform(F.filter(known, lambda k: (k["pos"] < x["a"]) | (k["pos"] >= x["b"])), lambda k: k["n_story"]))
-    made = F.transform(
-        F.concat(spans, one, head, tail),
-        lambda x: F.struct(F.array_join(F.concat(before(x), F.when(x["a"] < x["b"], F.array(F.lit("*"))).otherwise(F.array().cast("array<string>")), after(x)), " ").alias("template"), most(x).alias("most"), F.array_join(F.slice(w, x["a"] + 1, x["b"] - x["a"]), " ").alias("left"), (plain(before(x)) + plain(after(x))).alias("kept")),
-    )
-    return F.array_distinct(F.filter(made, lambda x: (x["kept"] >= LEAST_KEPT) & x["most"].isNotNull()))
+    w = skeleton.split(" ")
+    n = len(w)
+    plain = [0]
+    for x in w:
+        plain.append(plain[-1] + (x[0] != "⟨"))
+    spans = [(n, n)] + [(i, i + 1) for i in range(n)] + [(0, k) for k in range(2, n // 2 + 1)] + [(n - k, n) for k in range(2, n // 2 + 1)]
+    for a, b in spans:
+        held = [c for i, c in known.items() if not a <= i < b]
+        if held and plain[-1] - plain[b] + plain[a] >= LEAST_KEPT:
+            yield " ".join(w[:a] + ["*"] * (a < b) + w[b:]), min(held)
+
+
+def _spread(skeletons: DataFrame, text: bool = False) -> DataFrame:
+    """(key, n_whole, most, template) of every skeleton with its page words; templates by number, or as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, whole, most, made = [], [], [], []
+            for k, n, s, known in zip(*(b.column(i).to_pylist() for i in range(4))):
+                for t, m in variants(s, {x["at"]: x["n_story"] for x in known}):
+                    keys.append(k)
+                    whole.append(n)
+                    most.append(m)
+                    made.append(t if text else _number(t))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(whole, pa.int64()), pa.array(most, pa.int64()), pa.array(made, pa.string() if text else pa.int64())], names=["key", "n_whole", "most", "template"])
+
+    kind = "string" if text else "bigint"
+    return skeletons.select("key", "n_whole", "skeleton", "known").mapInArrow(run, f"key bigint, n_whole bigint, most bigint, template {kind}")
+
+
+def _shared(made: DataFrame) -> DataFrame:
+    """(template, n_fillings, n_page) of the templates that pages share far more often than story can.
+
+    Each row is another skeleton, so another filling; fillings as many as the pages are text of their own, beside a phrase.
+    """
+    t = made.where("n_whole > 0").groupBy("template").agg(F.count("*").alias("n_fillings"), F.sum("n_whole").alias("n_page"), F.min("most").alias("most"))
+    return t.where((2 * F.col("n_fillings") <= F.col("n_page")) & (evidence(F.col("n_page"), F.col("most")) >= EVIDENCE)).select("template", "n_fillings", "n_page")
 
 
 class Residue:
     """Templates and cases over one written table of ``scan`` rows; ``write`` keeps a small table for later stages."""
 
     def __init__(self, records: DataFrame, write: Callable[[DataFrame, str], DataFrame]):
-        self.all, self.records = records, records.where("src is not null")
+        self.write, self.records = write, records.where("src is not null")
         self.pages = self.records.where(f"n_text <= {PAGE_UNITS}")
         self.confirmed = write(confirmed(self.records), "page-templates")
-        self.aligned = write(self._aligned(page_words(records)), "page-alignments")
+        self.skeletons = write(self._skeletons(write(page_words(records), "page-words")), "page-skeletons")
 
     def _units(self) -> DataFrame:
         both = F.arrays_zip(F.col("keys").alias("key"), F.col("skeletons").alias("skeleton"))
         at = self.pages.select("src", "row_id", "n_text", F.posexplode(both).alias("pos", "u"))
         return at.select("src", "row_id", "n_text", "pos", "u.key", "u.skeleton")
 
-    def _aligned(self, words: DataFrame) -> DataFrame:
-        """(src, row_id, key, whole, template, most, left): units with page words under each template they fit; whole where page templates make up the rest of the page."""
+    def _skeletons(self, words: DataFrame) -> DataFrame:
+        """(key, skeleton, known, n_whole): skeletons with page words, and how many pages each fills, alone or beside page templates."""
         u = self._units().select("*", F.posexplode(F.split("skeleton", " ", -1)).alias("at", "word")).join(words, "word")
-        u = u.groupBy("src", "row_id", "n_text", "pos", "key", "skeleton").agg(F.collect_set(F.struct(F.col("at").alias("pos"), "n_story")).alias("known"))  # the words of a unit
+        u = u.groupBy("src", "row_id", "n_text", "pos", "key", "skeleton").agg(F.collect_set(F.struct("at", "n_story")).alias("known"))  # the words of a unit
         sure = self._units().join(self.confirmed.select("key"), "key", "left_semi").groupBy("src", "row_id").agg(F.collect_set("pos").alias("sure"))  # at most PAGE_UNITS
         u = u.join(sure, ["src", "row_id"], "left")
-        u = u.withColumn("whole", F.col("n_text") - F.coalesce(F.size(F.array_remove("sure", F.col("pos"))), F.lit(0)) <= 1)
-        return u.select("src", "row_id", "key", "whole", F.explode(variants(F.col("skeleton"), F.col("known"))).alias("v")).select("src", "row_id", "key", "whole", "v.template", "v.most", "v.left")
-
-    def induced(self) -> DataFrame:
-        """(template, n_fillings, n_page): templates with a slot that pages share far more often than story can."""
-        t = self.aligned.where("whole").groupBy("template").agg(F.count_distinct("src", "row_id").alias("n_page"), F.count_distinct("left").alias("n_fillings"), F.min("most").alias("most"))
-        t = t.where("2 * n_fillings <= n_page")  # text of its own in each page is story beside a phrase
-        return t.where(evidence(F.col("n_page"), F.col("most")) >= EVIDENCE).select("template", "n_fillings", "n_page")
+        whole = F.col("n_text") - F.coalesce(F.size(F.array_remove("sure", F.col("pos"))), F.lit(0)) <= 1
+        return u.groupBy("key", "skeleton").agg(F.first("known").alias("known"), F.sum(whole.cast("long")).alias("n_whole"))
 
     def page_keys(self) -> DataFrame:
         """(key): skeletons that are page templates, or that fit a template with an induced slot."""
-        fits = self.aligned.join(self.induced().select("template"), "template", "left_semi").select("key").distinct()
+        # a shared template has a filling that comes twice, so templates of skeletons that do are all there can be
+        twice = self.write(_spread(self.skeletons.where("n_whole > 1")).select("template").distinct(), "page-slots")
+        made = self.write(_spread(self.skeletons).join(twice, "template", "left_semi"), "page-fillings")
+        fits = made.join(_shared(made).select("template"), "template", "left_semi").select("key").distinct()
         told = self.records.where(f"n_text > {PAGE_UNITS}").select(F.explode("keys").alias("key"))
         return self.confirmed.select("key").unionByName(fits.join(told, "key", "left_anti")).distinct()
 
@@ -307,7 +356,7 @@ class Residue:
         repeated = self._units().join(self.confirmed, "key").select("skeleton", "n_page").distinct()
         whole = repeated.select(F.col("skeleton").alias("template"), F.lit("none").alias("slot"), none.alias("filling"), F.lit(1).cast("long").alias("n_fillings"), F.col("n_page").alias("n_records"))
         at = F.when(F.startswith("template", F.lit("* ")), "beginning").when(F.endswith("template", F.lit(" *")), "end").otherwise("word")
-        open_ = self.induced().where("n_fillings > 1").select("template", at.alias("slot"), none.alias("filling"), "n_fillings", F.col("n_page").alias("n_records"))
+        open_ = _shared(_spread(self.skeletons, text=True)).where("n_fillings > 1").select("template", at.alias("slot"), none.alias("filling"), "n_fillings", F.col("n_page").alias("n_records"))
         marks = self.pages.select("src", "row_id", "n_text", F.explode(F.array_distinct("slots")).alias("s")).distinct()
         kept = marks.groupBy(F.when(F.col("n_text") == 0, "*").otherwise("text *").alias("template"), F.col("s.kind").alias("slot"), F.col("s.mark").alias("filling")).agg(n)
         return whole.unionByName(open_).unionByName(kept.select("template", "slot", "filling", F.lit(1).cast("long").alias("n_fillings"), "n_records"))

@@ -103,7 +103,7 @@ def test_residue_of_no_rows(spark):
 
 def test_skeleton_slots():
     assert residue.skeleton("Error 404 at a-b.example, id 9f3a516a8c45") == residue.skeleton("Error 503 at c.example, id 0011aabbcc99")
-    assert residue.key(residue.skeleton("The br https://a.example/c/1 idge.")) == residue.key("the bridge")
+    assert residue.key(residue.words_of("The br https://a.example/c/1 idge.")) == residue.key(["the", "bridge"])
 
 
 # 3
