@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliowright.llm import language, leakage, mixing, mojibake, queries, repeated_lines, residue, scans, sentences, textforms
+from foliowright.llm import furniture, language, leakage, mixing, mojibake, queries, repeated_lines, residue, scans, sentences, textforms
 from foliowright.llm.boosting import Booster
 
 DATA = "/root/testdata/sf0.001"
@@ -200,14 +201,39 @@ def test_repeated_lines_of_nothing(spark):
 PAGE = "Chapter 7: The Gate / Oror\n\nThe quartermaster went home to-\ngether with the widow.\n- 12 -\n\f\nTHE HOLLOW TOWER    13\nShe slept.\n\n7\n"
 
 
-def test_page_furniture():
-    page = scans.Page(PAGE, "The Hollow Tower")
+@pytest.fixture(scope="session")
+def furniture_model(spark, sf):
+    clean = spark.read.parquet(f"{sf}/build_pdf.parquet").where("medium <> 'scan' and text is not null").select("novel", "text").distinct()
+    return furniture.Furniture(scans._plain).fit(clean, scans._damage)
+
+
+def test_page_furniture(furniture_model):
+    (page,) = furniture_model.read([(PAGE, "The Hollow Tower")])
     assert [(i + 1, k) for i, k in enumerate(page.kind) if k in ("header", "page_number")] == [(5, "page_number"), (7, "header"), (10, "page_number")]
 
 
+def test_furniture_of_held_out_pages(furniture_model, spark):
+    """Made pages of other texts than those the classifier was fitted on."""
+    rng, good, said, true = np.random.default_rng(99), 0, 0, 0
+    rows = spark.read.parquet("/root/testdata/sf0.01/build_pdf.parquet").where("medium = 'web' and length(text) between 400 and 20000").select("novel", "text").distinct().orderBy("text").limit(200).collect()
+    for novel, text in rows:
+        made, kinds = furniture.make_page(text, novel, rng, scans._damage)
+        (page,) = furniture_model.read([(made, novel)])
+        got = {i: k for i, k in enumerate(page.kind) if k in ("header", "page_number")}
+        good, said, true = good + len(got.items() & kinds.items()), said + len(got), true + len(kinds)
+    assert good >= 0.95 * true and good >= 0.95 * said, (good, said, true)
+
+
 @pytest.mark.parametrize("text", ["", "\f", "\f\n\f", "x", "\n\n12\n\f\n"])
-def test_page_edge_texts(text):
-    scans._tokens(scans.Page(text, None))
+def test_page_edge_texts(text, furniture_model):
+    for page in furniture_model.read([(text, None), (text, "")]):
+        scans._tokens(page)
+
+
+def test_filter_passes_every_misread_word(spark):
+    words = [f"w{i}é" for i in range(3000)]
+    f = scans.bloom(spark.createDataFrame([("en", w) for w in words], "lang string, word string"))
+    assert all(w in f for w in words) and sum(f"x{i}" in f for i in range(3000)) < 30
 
 
 @pytest.mark.parametrize(("printed", "read", "want"), [("the", "tbe", (1, 0)), ("evening", "everiing", (1, 0)), ("silver", "si1ver", (1, 0)), ("widow", "wiclow", (1, 0)), ("house", "mouse", (0, 1)), ("buried", "biiriecl", (2, 0))])
