@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-# Cyrillic and Greek letters beside the Latin letters they pass for.
+# Letters of other scripts above the Latin letters they pass for.
 CYRILLIC_TO_LATIN: dict[str, str] = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝгԍҽ", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwrge"))
 GREEK_TO_LATIN: dict[str, str] = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιγηκνορτυχωϲϳ", "ABEZHIKMNOPTYXaiynkvoptuxwcj"))
-OTHER_TO_LATIN: dict[str, str] = dict(zip("ɑɡıօսԁաⅼℓ", "agiouduwll"[:9]))
-# Latin letters and the Cyrillic and Greek ones they pass for.
+ARMENIAN_TO_LATIN: dict[str, str] = dict(zip("ՍՏՕհոսցօզ", "USOhnugoq"))
+CHEROKEE_TO_LATIN: dict[str, str] = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᏞᎷᏢᎡᏚᎢᏙᎳᎩᏃᎫᏦᏒ", "ABCDEGHLMPRSTVWYZJKR"))
+LISU_TO_LATIN: dict[str, str] = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"))
+# Latin letters of phonetic writing that look like plain ones.
+PHONETIC_TO_LATIN: dict[str, str] = dict(zip("ɑɡᴄᴏꜱᴜᴠᴡᴢ", "agcosuvwz"))
+# Latin letters and the Cyrillic and Greek ones they pass for.
 LATIN_TO_CYRILLIC: dict[str, str] = dict(zip("ABEKMHOPCTYXSIJaecopxysij", "АВЕКМНОРСТУХЅІЈаесорхуѕіј"))
 GREEK_TO_CYRILLIC: dict[str, str] = dict(zip("ΑΒΕΚΜΗΟΡΤΧαορ", "АВЕКМНОРТХаор"))
 LATIN_TO_GREEK: dict[str, str] = dict(zip("ABEZHIKMNOPTYXov", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον"))
 
-TO_LATIN: dict[str, str] = CYRILLIC_TO_LATIN | GREEK_TO_LATIN | OTHER_TO_LATIN
+TO_LATIN: dict[str, str] = CYRILLIC_TO_LATIN | GREEK_TO_LATIN | ARMENIAN_TO_LATIN | CHEROKEE_TO_LATIN | LISU_TO_LATIN
 TO_CYRILLIC: dict[str, str] = LATIN_TO_CYRILLIC | GREEK_TO_CYRILLIC
 TO_GREEK: dict[str, str] = LATIN_TO_GREEK
 LATIN_TWIN = str.maketrans(TO_LATIN)
-CYRILLIC_TWIN = str.maketrans(TO_CYRILLIC)
-GREEK_TWIN = str.maketrans(TO_GREEK)
