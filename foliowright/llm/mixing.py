@@ -1,10 +1,14 @@
 """Problem 8: mixing sources to target weights.
 
-Temperature mixing: a source's weight is ``natural share * (target share / natural share) ** t``, so
-t = 0 is the corpus as it is and t = 1 the targets.  The exponent is bisected: to the targets' entropy
-by ``temperature``, or, for a token budget asked for, to the largest t at which no source needs more
-repeats than it may.  Without a budget, the mix is the largest that meets the targets exactly (t = 1)
-within all limits; if no source is limited, as many tokens as its sources hold.
+Temperature mixing (``by="temperature"``): a source's weight is its token share to the power of t, scaled to
+one; t is bisected until the weights have the entropy of the mix's targets, and, if some source would then
+be repeated more often than it may, on until none is (``flatten``).  The mix has as many tokens as its sources hold,
+or a budget asked for.
+
+The project asks for target shares per source, which one exponent cannot meet, so ``by="targets"`` moves between
+the corpus as it is and the targets: ``natural share * (target share / natural share) ** t``.  Without a budget the
+mix is the largest that meets the targets (t = 1) within all limits; if no source is limited, as many
+tokens as its sources hold.  With one, t is bisected to the largest at which no source needs more repeats than it may.
 
 The weights are realised as budgeted block permutations: documents fall into blocks by a seeded hash,
 blocks are taken in a seeded order, whole passes first, then blocks up to the budget, and in the one
@@ -12,7 +16,7 @@ block where it ends, documents up to it.  So a source is never sorted in one tas
 
 Defined results: sources are compared trimmed and without case; documents of no target, without
 source or without tokens are not drawn; sources without documents keep their target in the report
-with nothing reached, and the others' targets are scaled to one; targets of one source in one mix add up.
+with nothing reached, as do sources that may be taken no time, and the others' targets are scaled to one; targets of one source in one mix add up.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql.window import Window
 from foliowright.session import shared_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-BLOCKS, SEED = 4096, 20240229
+BLOCKS, SEED, MAX_TARGETS = 4096, 20240229, 100_000
 _ENCODERS: dict[str, object] = {}
 
 
@@ -84,16 +88,51 @@ def temperature(natural: np.ndarray, goal: float) -> float:
     return (lo + hi) / 2
 
 
+def limits(own: list[str], size: np.ndarray, cap: dict[str, int | None]) -> np.ndarray:
+    """Tokens of each source at most, with its repeats."""
+    return np.array([math.inf if cap[s] is None else cap[s] * n for s, n in zip(own, size)])
+
+
+def bisect(fits, lo: float, hi: float) -> float:  # noqa: ANN001
+    """The exponent next to ``hi`` that fits, given that ``lo`` does."""
+    if fits(hi):
+        return hi
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if fits(mid) else (lo, mid)
+    return lo
+
+
+def flatten(tokens: dict[str, int], target: dict[str, float], cap: dict[str, int | None], budget: int | None = None) -> tuple[float, dict[str, float]]:
+    """(exponent, tokens to take per source) by temperature: the targets' entropy, as far as no source is repeated too often.
+
+    At exponent 1 every source is taken in its own proportion; from the exponent of the targets' entropy the search goes
+    towards it until all limits hold.  A budget over what the limits allow at all is cut to that.
+    """
+    own = sorted(s for s in target if tokens.get(s) and target[s] > 0 and (cap[s] is None or cap[s] > 0))
+    if not own:
+        return 1.0, {}
+    size = np.array([tokens[s] for s in own], float)
+    natural = size / size.sum()
+    goal = np.array([target[s] for s in own], float)
+    most = limits(own, size, cap)
+    total = min(float(budget or size.sum()), (most / natural).min())
+    share = lambda t: natural**t / (natural**t).sum()
+    fits = lambda t: bool((total * share(t) <= most * (1 + 1e-12)).all())
+    t = bisect(fits, 1.0, temperature(natural, entropy(goal / goal.sum())))
+    return t, dict(zip(own, np.minimum(total * share(t), most).tolist()))
+
+
 def plan(tokens: dict[str, int], target: dict[str, float], cap: dict[str, int | None], budget: int | None = None) -> tuple[float, dict[str, float]]:
-    """(exponent, tokens to take per source) of one mix."""
-    own = sorted(s for s in target if tokens.get(s) and target[s] > 0)
+    """(exponent, tokens to take per source) of one mix by its targets."""
+    own = sorted(s for s in target if tokens.get(s) and target[s] > 0 and (cap[s] is None or cap[s] > 0))
     if not own:
         return 1.0, {}
     size = np.array([tokens[s] for s in own], float)
     natural = size / size.sum()
     goal = np.array([target[s] for s in own], float)
     goal /= goal.sum()
-    most = np.array([math.inf if cap[s] is None else cap[s] * tokens[s] for s in own])
+    most = limits(own, size, cap)
     if budget is None:
         total = (most / goal).min()
         if math.isinf(total):
@@ -101,12 +140,7 @@ def plan(tokens: dict[str, int], target: dict[str, float], cap: dict[str, int |
         t = 1.0
     else:
         total = float(min(budget, most.sum()))
-        fits = lambda x: bool((total * at_temperature(natural, goal, x) <= most * (1 + 1e-12)).all())
-        lo, hi = (1.0, 1.0) if fits(1.0) else (0.0, 1.0)
-        for _ in range(60 if lo < hi else 0):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if fits(mid) else (lo, mid)
-        t = lo
+        t = bisect(lambda x: bool((total * at_temperature(natural, goal, x) <= most * (1 + 1e-12)).all()), 0.0, 1.0)
     want = np.minimum(total * at_temperature(natural, goal, t), most)
     return t, dict(zip(own, want.tolist()))
 
@@ -114,21 +148,24 @@ def plan(tokens: dict[str, int], target: dict[str, float], cap: dict[str, int |
 class Mix:
     """Draws of all mixes of a target table over a corpus."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, budget: int | None = None):
+    def __init__(self, spark: SparkSession, docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, budget: int | None = None, by: str = "targets"):
+        weigh = {"targets": plan, "temperature": flatten}[by]
         path = shared_path(spark, "token-counts")
         token_counts(docs, tokenizer).write.mode("overwrite").parquet(path)
         self.counts = spark.read.schema("doc_id bigint, source string, n_tokens bigint").parquet(path)
-        # targets are a fixed, small table: one row per mix and source
+        # targets are a small table, one row per mix and source, whose size is checked before it is read
         t = targets.select("mix_name", _name(F.col("source")).alias("source"), "target_share", "max_repeats").where("mix_name is not null and source is not null")
         caps = F.min("max_repeats")
-        self.targets = [tuple(r) for r in t.groupBy("mix_name", "source").agg(F.sum("target_share"), caps).orderBy("mix_name", "source").collect()]
+        self.targets = [tuple(r) for r in t.groupBy("mix_name", "source").agg(F.sum("target_share"), caps).orderBy("mix_name", "source").limit(MAX_TARGETS + 1).collect()]
+        if len(self.targets) > MAX_TARGETS:
+            raise ValueError(f"more than {MAX_TARGETS} targets; give the mixes in several runs")
         known = sorted({s for _, s, _, _ in self.targets})
         used = self.counts.where(F.col("source").isin(known))
         have = {s: n for s, n in used.groupBy("source").agg(F.sum("n_tokens")).collect()}
         rows = []
         for mix in sorted({m for m, *_ in self.targets}):
             part = [x for x in self.targets if x[0] == mix]
-            exponent, want = plan(have, {s: w or 0.0 for _, s, w, _ in part}, {s: c for _, s, _, c in part}, budget)
+            exponent, want = weigh(have, {s: w or 0.0 for _, s, w, _ in part}, {s: c for _, s, _, c in part}, budget)
             rows += [(mix, s, float(w or 0.0), c, float(exponent), int(round(want.get(s, 0.0))), have.get(s, 0)) for _, s, w, c in part]
         schema = T.StructType([T.StructField("mix_name", T.StringType()), T.StructField("source", T.StringType()), T.StructField("target_share", T.DoubleType()), T.StructField("max_repeats", T.IntegerType()), T.StructField("exponent", T.DoubleType()), T.StructField("budget", T.LongType()), T.StructField("available", T.LongType())])
         self.plan = spark.createDataFrame(rows, schema)

@@ -116,6 +116,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.excessive_lines(_web(spark, sf))
 
 
+def p5_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of web renders that many of their site's articles hold, republished ones counted once."""
+    return repeated_lines.excessive_lines(_web(spark, sf), by="clusters")
+
+
 def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """Web renders without the lines their site repeats."""
     return repeated_lines.without_lines(_web(spark, sf))
@@ -162,8 +167,8 @@ def p7_proximity(spark: SparkSession, sf: str) -> DataFrame:
 # 8 mixing
 
 
-def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
-    return mixing.Mix(spark, read(spark, sf, "documents", "doc_id", "source", "text"), read(spark, sf, "mix_targets", "mix_name", "source", "target_share", "max_repeats"))
+def _mix(spark: SparkSession, sf: str, by: str = "targets") -> mixing.Mix:
+    return mixing.Mix(spark, read(spark, sf, "documents", "doc_id", "source", "text"), read(spark, sf, "mix_targets", "mix_name", "source", "target_share", "max_repeats"), by=by)
 
 
 def p8_draws(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,6 +181,11 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report()
 
 
+def p8_temperature(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares reached by temperature alone: exponents bisected to the targets' entropy within the repetition limits."""
+    return _mix(spark, sf, "temperature").report()
+
+
 # 9 languages
 
 
@@ -191,6 +201,6 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_templates, p3_found, p3_restored, p4_found, p4_sentences, p5_found, p5_cleaned, p6_found, p6_repaired, p7_found, p7_matches, p7_proximity, p8_draws, p8_report, p9_found, p9_segments)
+    f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_templates, p3_found, p3_restored, p4_found, p4_sentences, p5_found, p5_boilerplate, p5_cleaned, p6_found, p6_repaired, p7_found, p7_matches, p7_proximity, p8_draws, p8_report, p8_temperature, p9_found, p9_segments)
 }
-ORACLES: dict[str, str] = {"p5_found": sql.P5_FOUND}
+ORACLES: dict[str, str] = {"p5_found": sql.P5_FOUND, "p5_boilerplate": sql.P5_BOILERPLATE}

@@ -2,9 +2,12 @@
 
 Duplicate documents are collapsed first: rows of a site with the same text form one cluster that
 carries its number of rows and its publication dates.  Each line is then counted over the clusters it
-stands in, weighted by their rows, with the number of clusters and dates beside it, so a republished
-article can be told from boilerplate.  A line is excessive at ``MIN_ROWS`` rows and ``MIN_SHARE`` of
-the site's rows.
+stands in, with the rows of those clusters and their publication dates beside it.  Two readings decide:
+
+* ``rows``: a line is excessive at ``MIN_ROWS`` rows and ``MIN_SHARE`` of the site's rows, rows of a
+  cluster counted one by one, as the project states it;
+* ``clusters``: a line is boilerplate at ``MIN_ROWS`` clusters on ``MIN_DATES`` dates and ``MIN_SHARE`` of
+  the site's clusters, so the lines of a republished article are not mistaken for it.
 
 Only hashes travel: 64 + 32 bits of the normalised line, 64 + 32 of the text.  Rows are deduplicated
 by id before anything is counted; partial sums are formed before each shuffle; the final look-up is
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_ROWS, MIN_SHARE, SALT = 5, 0.03, 16
+MIN_ROWS, MIN_SHARE, MIN_DATES, SALT = 5, 0.03, 2, 16
 
 
 def normal(line: Column) -> Column:
@@ -39,24 +42,25 @@ def _lines(df: DataFrame) -> DataFrame:
 
 
 def statistics(df: DataFrame, id_col: str = "render_id", site_col: str = "site", text_col: str = "text", time_col: str = "rendered_at") -> DataFrame:
-    """Every line key of every site: rows, clusters and dates it stands in, the site's rows, and whether it is excessive."""
+    """Every line key of a site with enough rows: rows, clusters and dates it stands in, the site's rows and clusters, and both decisions."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.col(text_col).alias("text"), F.to_date(time_col).alias("day"))
     rows = _lines(rows).select("id", "site", "day", F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b")).alias("cluster"), F.array_distinct(F.filter("keys", lambda k: k.isNotNull())).alias("keys"))
     once = rows.groupBy("id", "site").agg(F.first("cluster").alias("cluster"), F.first("keys").alias("keys"), F.min("day").alias("day"))
     # rows of a cluster are summed per date before they meet, so a text copied a million times arrives as a few rows
     dated = once.groupBy("site", "cluster", "day").agg(F.count("*").alias("rows"), F.first("keys").alias("keys"))
     clusters = dated.groupBy("site", "cluster").agg(F.sum("rows").alias("rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.first("keys").alias("keys"))
-    total = clusters.groupBy("site").agg(F.sum("rows").alias("site_rows"))
+    total = clusters.groupBy("site").agg(F.sum("rows").alias("site_rows"), F.count("*").alias("site_clusters"))
     lines = clusters.select("site", "rows", "first_day", F.explode("keys").alias("key"))
     by_day = lines.groupBy("site", "key", "first_day").agg(F.sum("rows").alias("rows"), F.count("*").alias("clusters"))
     counted = by_day.groupBy("site", "key").agg(F.sum("rows").alias("n_rows"), F.sum("clusters").alias("n_clusters"), F.count("first_day").alias("n_dates"))
     excessive = (F.col("n_rows") >= MIN_ROWS) & (F.col("n_rows") >= MIN_SHARE * F.col("site_rows"))
-    return counted.where(F.col("n_rows") >= MIN_ROWS).join(total, "site").withColumn("excessive", excessive)
+    own = (F.col("n_clusters") >= MIN_ROWS) & (F.col("n_dates") >= MIN_DATES) & (F.col("n_clusters") >= MIN_SHARE * F.col("site_clusters"))
+    return counted.where(F.col("n_rows") >= MIN_ROWS).join(total, "site").withColumn("excessive", excessive).withColumn("boilerplate", own)
 
 
-def excessive_lines(df: DataFrame, id_col: str = "render_id", site_col: str = "site", text_col: str = "text", time_col: str = "rendered_at") -> DataFrame:
-    """(id, line_no) of every line to remove."""
-    bad = statistics(df, id_col, site_col, text_col, time_col).where("excessive").select("site", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
+def excessive_lines(df: DataFrame, id_col: str = "render_id", site_col: str = "site", text_col: str = "text", time_col: str = "rendered_at", by: str = "rows") -> DataFrame:
+    """(id, line_no) of every line to remove, by ``rows`` or by ``clusters``."""
+    bad = statistics(df, id_col, site_col, text_col, time_col).where({"rows": "excessive", "clusters": "boilerplate"}[by]).select("site", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
     bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.col(text_col).alias("text"))
     at = _lines(rows).select("id", "site", F.posexplode("keys").alias("n", "key")).where("key is not null")

@@ -406,6 +406,18 @@ def test_temperature_reaches_an_entropy():
     assert abs(mixing.entropy(q / q.sum()) - 1.0) < 1e-6
 
 
+def test_temperature_gives_way_to_repetition_limits():
+    tokens, goal = {"a": 1000, "b": 100, "c": 10}, {"a": 0.4, "b": 0.3, "c": 0.3}
+    t, free = mixing.flatten(tokens, goal, dict.fromkeys(tokens))
+    p = np.array([free[s] for s in "abc"]) / sum(free.values())
+    assert 0 < t < 1 and abs(mixing.entropy(p) - mixing.entropy(np.array([0.4, 0.3, 0.3]))) < 1e-6
+    u, held = mixing.flatten(tokens, goal, {"a": None, "b": None, "c": 3})
+    assert t < u < 1 and abs(held["c"] - 30) < 1e-3 and abs(sum(held.values()) - 1110) < 1e-6
+    assert mixing.flatten({}, goal, dict.fromkeys(tokens)) == (1.0, {})
+    none = mixing.flatten(tokens, goal, {"a": 1, "b": 1, "c": 0}, budget=500)[1]
+    assert "c" not in none and abs(sum(none.values()) - 500) < 1e-6
+
+
 def test_mix_reaches_targets_within_caps(spark):
     docs = spark.createDataFrame([(i, "A " if i % 3 else "b", "some words here " * (1 + i % 5)) for i in range(600)] + [(900, None, "x"), (901, "a", None), (902, "a", "")], "doc_id bigint, source string, text string")
     targets = spark.createDataFrame([("m", "a", 0.25, 2), ("m", "B", 0.75, 3), ("m", "none", 0.1, None)], "mix_name string, source string, target_share double, max_repeats int")
