@@ -130,6 +130,12 @@ def unique_paths(df: DataFrame, folder: str, name: str, order: list[str], taken:
     return rows.withColumn("output_path", path(free)).drop("_stem", "_folder", "_key", "_n", "_busy")
 
 
+def next_numbers(existing: DataFrame, name: str) -> DataFrame:
+    """(base, next_number) of all folders: the next free number of those called ``base-N``, 1 where none has one."""
+    base, n = F.regexp_replace(name, r"-\d{1,18}$", ""), F.regexp_extract(name, r"-(\d{1,18})$", 1)
+    return existing.groupBy(base.alias("base")).agg((F.coalesce(F.max(F.when(n != "", n.cast("bigint"))), F.lit(0).cast("bigint")) + 1).alias("next_number"))
+
+
 def next_number(existing: DataFrame, name: str, base: str) -> DataFrame:
     """One row: the next free number of folders called ``base-N``."""
     pattern = "(?i)^" + "".join("\\" + c if not c.isalnum() else c for c in base) + r"-(\d{1,18})$"

@@ -31,10 +31,12 @@ SPLIT_WORDS = (
     "a bout", "a gain", "a fter", "a ll", "e very", "e ven", "a ny", "k now",
 )
 GLUED_WORDS = {"aspell": "a spell", "aline": "a line", "alot": "a lot", "afew": "a few", "alittle": "a little"}
+# Characters taken for apostrophes and for long dashes.
 APOSTROPHES = "['’‘ʼ´`]"
 DASHES = "[–—―⸺]"
 # Site markers, in the order they are looked for.
 MARKERS = ("@@novelbin@@", "Free■ebnovel.c■m", "Free■ebn■vel.c■m", "All ■■■■■ full.com", "■■■■w■■■ov■■.co■")
+# Patterns of markers and links.
 AT_MARKER = r"@@[^@\n]{1,40}@@"
 URL = r"(?iU)\bhttps?://\S+"
 WWW = r"(?iU)\bwww\.[^\s,;)]+"
@@ -43,6 +45,7 @@ ERROR_SIGNALS = (
     ("ray-id", r"(?iU)cloudflare\s+ray\s+id"), ("security-footer", r"(?iU)performance\s*&\s*security\s+by"),
     ("error-url", r"(?i)developers\.cloudflare\.com|cloudflare-1xxx-errors"), ("rate-limited", r"(?iU)you\s+are\s+being\s+rate\s+limited"), ("error-code", r"(?iU)error\s+code[:\s]+10\d\d"),
 )
+# A promotional line, the start of a heading, and the least text of a readable file.
 PROMO_LINE = r"(?iU)(read\s+(?:the\s+)?(?:latest|more|full)\s+chapter|visit\s+(?:us|our\s+site)|support\s+(?:the|us\s+on)|translator'?s?\s+note|donat|discord\.gg|ko-fi\.com|paypal\.me|\bAN:)"
 HEADING_START = r"(?iU)^\s*Chapter\s+\d"
 MIN_CHARS = 100
@@ -197,6 +200,7 @@ def page_breaks(c: Column) -> Column:
 
 # headings
 
+# The verbs that tell a body fused onto a heading, and the longest title.
 _VERBS = "had|was|were|said|noticed|stood|gestured|thought|realized|found|saw|heard|felt|knew|told|asked|turned|looked|moved|began"
 MAX_TITLE = 120
 
@@ -337,13 +341,6 @@ def articles(c: Column) -> Column:
     return chain(c, (r"(?U)\b([Aa])\s+(?=(?!one\b|once\b|eu|ew)[aeio][a-z])", "$1n "), (r"(?U)\b([Aa])n\s+(?=[bcdfgjklmnpqrstvwxyz][a-z])", "$1 "))
 
 
-def forced_fixes(c: Column, fixes: dict[str, str]) -> Column:
-    """Literal replacements, longest first, then alphabetical."""
-    for bad in sorted(fixes, key=lambda k: (-len(k), k)):
-        c = F.replace(c, F.lit(bad), F.lit(fixes[bad]))
-    return c
-
-
 # site junk
 
 
@@ -357,18 +354,36 @@ def drop_links(c: Column) -> Column:
     return chain(c, (AT_MARKER, ""), (URL, ""), (WWW, ""))
 
 
-_RUN = r"(?<!\S)[~\\\-=*#](?:[ \t]*[~\\\-=*#]){2,}(?!\S)"
+def _decoration(terms: tuple[str, ...]) -> tuple[str, str]:
+    """Patterns of a standalone run that is no term, and of the run with the blank its removal closes."""
+    shield = "".join(rf"(?!{_quote(t)}(?!\S))" for t in sorted(terms) if t and all(x in "~\\-=*# \t" for x in t))
+    run = rf"(?<!\S){shield}[~\\\-=*#](?:[ \t]*[~\\\-=*#]){{2,}}(?!\S)"
+    return run, rf"(?: (?>{run})(?=[.,;:!?])|(?<= )(?>{run}) |(?>{run}))"
 
 
 def drop_decoration(c: Column, terms: tuple[str, ...] = ()) -> Column:
     """Without standalone runs of three or more decorative symbols; a line that held nothing else goes. Runs that are terms stay."""
-    shield = "".join(rf"(?!{_quote(t)}(?!\S))" for t in sorted(terms) if t and all(x in "~\\-=*# \t" for x in t))
-    run = rf"(?<!\S){shield}[~\\\-=*#](?:[ \t]*[~\\\-=*#]){{2,}}(?!\S)"
-    seam = rf"(?: (?>{run})(?=[.,;:!?])|(?<= )(?>{run}) |(?>{run}))"
+    run, seam = _decoration(terms)
     lines = F.transform(F.split(c, "\n", -1), lambda x: F.when(x.rlike(run), F.nullif(strip(F.regexp_replace(x, seam, "")), F.lit(""))).otherwise(x))
     return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
 
 
+def decorations(c: Column, terms: tuple[str, ...] = ()) -> Column:
+    """array<struct(run, line)>: the runs that ``drop_decoration`` removes, each with its line as it then is."""
+    run, seam = _decoration(terms)
+
+    def of_line(line: Column) -> Column:
+        start = F.struct(line.alias("line"), F.array().cast("array<struct<run:string,line:string>>").alias("found"))
+
+        def step(acc: Column, x: Column) -> Column:
+            found = F.array_append(acc["found"], F.struct(x.alias("run"), acc["line"].alias("line")))
+            return F.struct(strip(F.regexp_replace(acc["line"], rf"(?s)^(.*?){seam}", "$1")).alias("line"), found.alias("found"))
+
+        return F.aggregate(F.regexp_extract_all(line, F.lit(run), F.lit(0)), start, step, lambda acc: acc["found"])
+
+    return F.flatten(F.transform(F.filter(F.split(c, "\n", -1), lambda x: x.rlike(run)), of_line))
+
+
 def _quote(s: str) -> str:
     return "".join("\\" + ch if ch in r"\^$.|?*+()[]{}-" else ch for ch in s)
 
@@ -382,7 +397,7 @@ def drop_promo_lines(c: Column, terms: tuple[str, ...] = ()) -> Column:
 def error_page(c: Column) -> Column:
     """A reason where at least two signals of an error page agree, else null."""
     hits = F.filter(F.array(*[F.when(c.rlike(rx), F.lit(name)) for name, rx in ERROR_SIGNALS]), lambda x: x.isNotNull())
-    return F.when(F.size(hits) >= 2, F.concat(F.lit("error page detected (signals: "), F.array_join(hits, ", "), F.lit(")")))
+    return F.when(F.size(hits) >= 2, F.concat(F.lit("Cloudflare error page detected (signals: "), F.array_join(hits, ", "), F.lit(")")))
 
 
 def low_confidence(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliowright.functions import text as T
 
+# The longest heading, the four patterns of headings, and what an empty page says.
 MAX_HEADING = 500
 EXACT = r"(?iUd)^Chapter\s+\d[\d,]*:\s*.*?[.?!]\s*$"
 LOOSE = r"(?iUd)^Chapter\s+\d[\d,]*:\s*.*?[.?!]?\s*$"

@@ -13,12 +13,15 @@ from foliowright.operators import audit, layout, lexicon, lines
 from foliowright.operators.watermark import site_gate, strip_watermarks
 from foliowright.plans import batch
 from foliowright.plans.clean import clean
-from foliowright.plans.oracles import DIRTY, ORACLES  # noqa: F401
+from foliowright.plans.oracles import CASES, DIRTY, SIGNALS
+from foliowright.plans.oracles import ORACLES as RULES
+from foliowright.plans.pipeline_sql import PLANS
 from foliowright.session import spread
 from foliowright.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = RULES | PLANS
 
 
 def query(f: Query) -> Query:
@@ -85,10 +88,16 @@ def numbered_headings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def duplicate_titles(spark: SparkSession, sf: str) -> DataFrame:
-    t = dirty(spark, sf).select("doc_id", T.normalize_titles(F.col("text")).alias("text"))
+    t = dirty(spark, sf).select("doc_id", T.normalize_titles(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text"))
     return lines.duplicate_titles(t, "doc_id", "text")
 
 
+@query
+def drop_repeated_titles(spark: SparkSession, sf: str) -> DataFrame:
+    t = T.normalize_titles(F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return dirty(spark, sf).select("doc_id", T.drop_repeated_titles(t).alias("text"))
+
+
 @query
 def page_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return lines.pages(dirty(spark, sf), "doc_id", "text")
@@ -123,8 +132,13 @@ def heading_only_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def error_pages(spark: SparkSession, sf: str) -> DataFrame:
-    both = table(spark, sf, "edits").select(F.col("edit_id").alias("id"), F.col("context").alias("text")).unionByName(table(spark, sf, "build_pdf").select(F.col("render_id").alias("id"), "text"))
-    return both.select("id", T.error_page(F.col("text")).alias("reason")).where("reason is not null")
+    """Error pages among snippets, chapters and documents with signals put behind their text."""
+    parts = (("edits", "edit_id", F.col("context")), ("build_pdf", "render_id", F.col("text")), ("documents", "doc_id", F.expr(SIGNALS)))
+    found = None
+    for name, key, text in parts:
+        part = table(spark, sf, name).select(F.lit(name).alias("src"), F.col(key).alias("id"), T.error_page(text).alias("reason"))
+        found = part if found is None else found.unionByName(part)
+    return found.where("reason is not null")
 
 
 @query
@@ -147,6 +161,16 @@ def site_watermarks(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", "text", F.size("watermark_edits").cast("long").alias("n_removed"))
 
 
+@query
+def junk_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document behind one of the pinned watermark cases: what is left of both, and what was logged."""
+    case = F.element_at(F.array(*[F.lit(c[1]) for c in CASES]), (F.pmod("doc_id", F.lit(len(CASES))) + 1).cast("int"))
+    src = table(spark, sf, "documents").select("doc_id", F.concat(case, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    t = strip_watermarks(src, "text", "found")
+    names = F.array(*[F.lit(c[0]) for c in CASES])
+    return t.select("doc_id", F.element_at(names, (F.pmod("doc_id", F.lit(len(CASES))) + 1).cast("int")).alias("kind"), "text", F.array_join(F.transform("found", lambda e: F.concat(e["rule"], F.lit(": "), e["original"])), "|").alias("log"))
+
+
 # protected terms and dispatch
 
 
@@ -208,10 +232,13 @@ def dispatch_novels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dispatch_agrees(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs whose recorded mode or pipeline is not what dispatch gives."""
+    """Recorded mode and pipeline of every run beside what dispatch gives for its selection and for its novel."""
     reg = batch.registry(table(spark, sf, "dispatch_cases"))
-    m = table(spark, sf, "run_metadata").select("run_id", "selected", F.col("mode").alias("was_mode"), F.col("pipeline").alias("was_pipeline"))
-    return batch.dispatch(m, "selected", reg).where("mode <> was_mode or pipeline <> was_pipeline").select("run_id", "was_mode", "mode", "was_pipeline", "pipeline")
+    m = table(spark, sf, "run_metadata").select("run_id", "selected", "novel", F.col("mode").alias("was_mode"), F.col("pipeline").alias("was_pipeline"))
+    own = batch.dispatch(m, "selected", reg).select("run_id", "novel", "was_mode", "was_pipeline", "mode", "pipeline")
+    again = batch.dispatch(own.select("run_id", "novel", "was_mode", "was_pipeline", F.col("mode").alias("own_mode"), F.col("pipeline").alias("own_pipeline")), "novel", reg)
+    same = (F.col("own_mode") == F.col("was_mode")) & (F.col("own_pipeline") == F.col("was_pipeline"))
+    return again.select("run_id", "was_mode", "own_mode", "was_pipeline", "own_pipeline", F.col("pipeline").alias("novel_pipeline"), same.alias("agrees"))
 
 
 @query
@@ -252,8 +279,9 @@ def natural_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def missing_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "batch_inputs").select("run_id", "seq", "path", "file_exists")
-    return b.join(b.where("file_exists").select("run_id", "seq"), ["run_id", "seq"], "left_anti").select("run_id", "seq", "path")
+    b = table(spark, sf, "batch_inputs").select(F.concat_ws("/", "run_id", "seq").alias("item"), "run_id", "seq", "path", "file_exists")
+    there = b.where("file_exists").select(F.col("item").alias("path"))
+    return files.missing(b.select("run_id", "seq", F.col("path").alias("file"), F.col("item").alias("path")), there).select("run_id", "seq", F.col("file").alias("path"))
 
 
 @query
@@ -268,8 +296,7 @@ def output_names(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def next_batch_number(spark: SparkSession, sf: str) -> DataFrame:
     runs = table(spark, sf, "summary").select(N.basename(F.col("output_dir")).alias("folder"))
-    base = F.regexp_replace("folder", r"-\d+$", "")
-    return runs.groupBy(base.alias("base")).agg((F.max(F.regexp_extract("folder", r"-(\d{1,18})$", 1).cast("bigint")) + 1).alias("next_number"))
+    return N.next_numbers(runs, "folder")
 
 
 # batches and audit

@@ -11,6 +11,12 @@ from foliowright.operators.lexicon import Mask
 from foliowright.operators.watermark import strip_watermarks
 
 
+# Rule, category and note of the rows that sum up a profiled run.
+QUOTES_NOTE = ("quote_normalize", "quote", "curly doubles -> straight")
+RATIOS_NOTE = ("slash_replace", "slash", "numeric ratio -> out of")
+DASHES_NOTE = ("em_dash", "dash", "spaced em/en dash -> , or .")
+
+
 def _repairs(c: Column) -> Column:
     """Repairs that must not touch protected spans."""
     for rule in (T.repair_ocr, T.join_split_words, T.collapse_spaces, T.ratios, T.spaced_dashes):
@@ -19,10 +25,7 @@ def _repairs(c: Column) -> Column:
 
 
 def _removed_runs(before: Column, terms: tuple[str, ...]) -> Column:
-    found = F.regexp_extract_all(before, F.lit(T._RUN), F.lit(0))
-    held = [t.lower() for t in terms]
-    kept = F.filter(found, lambda x: ~F.lower(x).isin(*held)) if held else found
-    return F.transform(kept, lambda x: audit.entry(x, F.lit(""), F.lit("junk_strip.decorative_run"), "fingerprint", x))
+    return F.transform(T.decorations(before, terms), lambda x: audit.entry(x["run"], F.lit(""), F.lit("junk_strip.decorative_run"), "fingerprint", x["line"]))
 
 
 def clean(df: DataFrame, text_col: str, terms: tuple[str, ...] = (), fixes: dict[str, str] | None = None, profiled: bool = False, tier2: bool = False) -> DataFrame:
@@ -52,14 +55,15 @@ def clean(df: DataFrame, text_col: str, terms: tuple[str, ...] = (), fixes: dict
     d = d.withColumn("_dashes", F.regexp_count(t, F.lit(rf"(?U)(?<!\S)\S++\s++{T.DASHES}\s++\S++"))).withColumn("_t", T.paragraphs(t))
     mask = Mask(terms)
     d = d.withColumn("_slashes", _slashes(t)).withColumn("_t", mask.apply(t, _repairs)).withColumn("_slashes", F.col("_slashes") - _slashes(t))
+    if profiled:
+        quotes = F.regexp_count(raw, F.lit(f"[{T.DOUBLE_QUOTES}]"))
+        d = d.withColumn("_e", F.concat("_e", audit.summary(quotes, *QUOTES_NOTE)))
     for bad in sorted(fixes, key=lambda k: (-len(k), k)):
         d = _force(d, mask, bad, fixes[bad])
     for rule in (T.normalize_titles, T.repair_punctuation, T.articles, T.spaced_dashes, T.drop_repeated_titles, T.tidy, T.page_breaks):
         d = d.withColumn("_t", rule(t))
     if profiled:
-        quotes = F.regexp_count(raw, F.lit(f"[{T.DOUBLE_QUOTES}]"))
-        for count, rule, note in ((quotes, "quote_normalize", "double quotes made straight"), (F.col("_dashes"), "em_dash", "spaced dashes replaced"), (F.col("_slashes"), "slash_replace", "ratios written out")):
-            d = d.withColumn("_e", F.concat("_e", audit.summary(count, rule, "summary", note)))
+        d = d.withColumn("_e", F.concat("_e", audit.summary(F.col("_slashes"), *RATIOS_NOTE), audit.summary(F.col("_dashes"), *DASHES_NOTE)))
     d = d.withColumn("clean_text", t).withColumn("edits", audit.effective(F.col("_e"))).withColumn("heading_violations", T.heading_violations(t))
     return d.drop("_raw", "_t", "_e", "_marks", "_dashes", "_slashes")
 

@@ -13,6 +13,9 @@ from foliowright.operators.watermark import ORDINARY, STEMS
 WS = r"\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 NW = r"[^\p{L}\p{N}\p{M}_]"  # no part of a word
 
+_GAPS = rf"[{WS}_\-]+"
+_STEM = (("^.*/", ""), (r"(.)[.][^.]*$", r"\1"))  # a file name without its folder and ending
+
 DIRTY = """concat('chapter ', cast(doc_id % 5 + 1 as varchar(10)), ' - The Gate', chr(10),
  case doc_id % 8 when 0 then 'He said “stop” and left.' when 1 then 'The oﬁce was ■closed�.' when 2 then 'He scored 6/7  today.' when 3 then 'He ran — and fell. It stopped — Then ran.' when 4 then 'Well.It was good ,really,, yes..' when 5 then 'It was a explosion in an book.' when 6 then 'See https://x.example/a and @@mark@@ here.' else 'tbe b0dy of V|adion in h.i.p.s shape' end, chr(10),
  case doc_id % 6 when 0 then '* * *' when 1 then 'The sur-' when 2 then 'A well-' when 3 then '12Sunny went on.' when 4 then '' else 'chapter 9 nine chapter 9 nine' end, chr(10),
@@ -21,6 +24,31 @@ DIRTY = """concat('chapter ', cast(doc_id % 5 + 1 as varchar(10)), ' - The Gate'
  coalesce(text, ''),
  case when doc_id % 4 = 0 then concat(chr(10), 'chapter ', cast(doc_id % 5 + 1 as varchar(10)), ' - The Gate', chr(10), 'Again.') else '' end)"""
 
+# Signals of error pages behind the text of some documents.
+SIGNALS = """concat(coalesce(text, ''), case doc_id % 7 when 0 then ' You are being rate limited. Cloudflare Ray ID: 7a1' when 1 then ' Error code: 1015' when 2 then concat(chr(10), 'Performance & security by X, error code 1020, developers.cloudflare.com') when 3 then ' the ray id of a rate limited cloud' else '' end)"""
+
+_MATH = "".join(chr(0x1D41A + ord(c) - 97) if c.isalpha() else c for c in "freewebnovel.com")  # bold mathematical letters
+# Watermark cases: kind, text, what is left, what is logged.
+CASES = (
+    ("exact", "Kelia stuttered noelfire.net, then smiled.", "Kelia stuttered, then smiled.", "junk_strip.domain: noelfire.net"),
+    ("template", "She hung the lantern on novelfirenet", "She hung the lantern", "junk_strip.domain: on novelfirenet"),
+    ("cross-line", 'Flint clicked his tongue. Official source s\nnovelfire.net\n"I did not!"', 'Flint clicked his tongue.\n"I did not!"', "junk_strip.domain: novelfire.net|junk_strip.domain: Official source s"),
+    ("cross-line guard", "she wrote the novel\nnovelfirenet\nand smiled.", "she wrote the novel\nand smiled.", "junk_strip.domain: novelfirenet"),
+    ("survivor", "She mentioned webnovel.com in passing.", "She mentioned webnovel.com in passing.", ""),
+    ("spaced", "ran f r e e w e b n o v e l. c o m now", "ran now", "junk_strip.spaced_domain: f r e e w e b n o v e l. c o m"),
+    ("promo", "He left. Do you want to read more chapters? Come to p a n d a - n o v e l . c o m Then she slept.", "He left. Then she slept.", "junk_strip.promo: Do you want to read more chapters? Come to p a n d a - n o v e l . c o m"),
+    ("homoglyph", f"end {_MATH} here", "end here", f"junk_strip.homoglyph_domain: {_MATH}"),
+    ("fuzzy", "hire.com and dell.com", "and", "junk_strip.domain: hire.com|junk_strip.domain: dell.com"),
+    ("glued", "...novelfire.netShe smiled", "...She smiled", "junk_strip.domain: novelfire.net"),
+    ("seam", "She left novelfire.net ; and slept", "She left; and slept", "junk_strip.domain: novelfire.net"),
+    ("full stop", "He slept. Check latest chapters at novelfire.net. Then", "He slept. Then", "junk_strip.domain: Check latest chapters at novelfire.net."),
+    ("misspelled", "He slept. Orginally published at n0velfire.net", "He slept.", "junk_strip.domain: Orginally published at n0velfire.net"),
+    ("two", "A visit novelfire.net B nicenovel.com C", "A B C", "junk_strip.domain: visit novelfire.net|junk_strip.domain: nicenovel.com"),
+    ("twelve words", "x " + "read " * 13 + "novelfire.net", "x read", "junk_strip.domain: " + "read " * 12 + "novelfire.net"),
+    ("comma", "He slept. Chaptrs, at novelfire.net now", "He slept. now", "junk_strip.domain: Chaptrs, at novelfire.net"),
+    ("mark in a word", "he said.Read at novelfire.net", "he said.", "junk_strip.domain: Read at novelfire.net"),
+)
+
 SRC = f"(SELECT doc_id, {DIRTY} AS text FROM documents) AS d"
 
 
@@ -61,6 +89,8 @@ def words(x: str, pairs: dict[str, str], flags: str = "") -> str:
     return x
 
 
+_case = lambda k: "[" + ", ".join(q(c[k]) for c in CASES) + f"][doc_id % {len(CASES)} + 1]"
+_text, _context = "coalesce(text, '')", "coalesce(context, '')"
 _quotes = f"translate(text, {q('“”„‟❝❞〝〞＂«»')}, {q(chr(34) * 11)})"
 _A = T.APOSTROPHES
 _E = ""
@@ -93,15 +123,17 @@ _markers = swap("text", dict.fromkeys(T.MARKERS, ""))
 _lines = "string_split(text, chr(10))"
 _promo = T.PROMO_LINE.replace("(?iU)", "(?i)").replace(r"\s", f"[{WS}]")
 _is_chapter = lambda x: f"starts_with(lower({strip(x)}), 'chapter ')"
-_unicode = rr(f"nfc_normalize({rr('text', (chr(91) + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0b' + chr(92) + 'x0e-' + chr(92) + 'x1f' + chr(92) + 'x7f-' + chr(92) + 'x{9f}' + chr(92) + 'p{Cf}]', ''))})", (r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]", " "))
+_CONTROL = r"[\x00-\x08\x0b\x0e-\x1f\x7f-\x{9f}\p{Cf}]"
+_unicode = rr(f"nfc_normalize({rr('text', (_CONTROL, ''))})", (r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]", " "))
 
+_SMALL = r"^[\p{Ll}ªº]"
 _ends = r"""[.!?…:]["'’”)\]]*$"""
 _head = rf"(?i)^[{WS}]*Chapter[{WS}]+\d"
 _para_rows = f"""
 WITH l AS (SELECT doc_id, {strip('line')} AS line, n FROM (SELECT doc_id, unnest({_lines}) AS line, generate_subscripts({_lines}, 1) AS n FROM {SRC})),
 p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY n) AS prev FROM l),
 b AS (SELECT *, CASE WHEN line <> '' AND (prev IS NULL OR prev = '' OR regexp_matches(line, {q(_head)}) OR regexp_matches(prev, {q(_head)})
-        OR (regexp_matches(prev, {q(_ends)}) AND NOT regexp_matches(line, {q(chr(94) + '[' + chr(92) + 'p{Ll}ªº]')}))) THEN 1 ELSE 0 END AS fresh FROM p),
+        OR (regexp_matches(prev, {q(_ends)}) AND NOT regexp_matches(line, {q(_SMALL)}))) THEN 1 ELSE 0 END AS fresh FROM p),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY n) AS para_no FROM b),
 rows_ AS (SELECT doc_id, CAST(para_no AS BIGINT) AS para_no, string_agg(line, ' ' ORDER BY n) AS paragraph FROM s WHERE line <> '' GROUP BY doc_id, para_no)"""
 
@@ -165,7 +197,7 @@ _cut = f"""(SELECT doc_id, string_agg(CASE WHEN j IS NULL THEN line ELSE {rr("co
   FROM (SELECT doc_id, unnest({_lines}) AS line, generate_subscripts({_lines}, 1) AS n FROM {SRC})))) GROUP BY doc_id)"""
 _sold = "'Check latest chapters at novelfire.net'"
 
-_norm = lambda x: f"lower({strip(rr(x, (f'[{WS}_' + chr(92) + '-]+', ' ')))})"
+_norm = lambda x: f"lower({strip(rr(x, (_GAPS, ' ')))})"
 _registry = f"""(SELECT norm_key, profile, max(display_name) AS display_name FROM (SELECT {_norm('input_name')} AS norm_key, profile, {strip('input_name')} AS display_name FROM dispatch_cases WHERE has_profile AND profile IS NOT NULL) GROUP BY norm_key, profile)"""
 _index = lambda x: f"CASE WHEN {_norm(x)} = '' THEN '' ELSE replace({_norm(x)}, ' ', '-') || '.txt' END"
 _signals = [(n, p.replace("(?iU)", "(?i)").replace(r"[:\s]", f"[:{WS}]").replace(r"\s", f"[{WS}]")) for n, p in T.ERROR_SIGNALS]
@@ -179,12 +211,18 @@ _gate = (
     + " OR ".join(f"levenshtein(f, '{t}') <= 1" for t in _tails)
     + "))))"
 )
-_words_of = lambda x: f"list_filter(string_split_regex({x}, {q(f'[{WS}_' + chr(92) + '-]+')}), lambda w: w <> '')"
+_words_of = lambda x: f"list_filter(string_split_regex({x}, {q(_GAPS)}), lambda w: w <> '')"
 _once = "(SELECT DISTINCT * FROM edits)"
 _safe = lambda x: f"""CASE WHEN {rr(f"substring({rr(rr(x, ('^.*/', '')), (ILLEGAL, '_'), ('^[ .]+|[ .]+$', ''))}, 1, {MAX_STEM})", ('[ .]+$', ''))} = '' THEN 'untitled' ELSE {rr(f"substring({rr(rr(x, ('^.*/', '')), (ILLEGAL, '_'), ('^[ .]+|[ .]+$', ''))}, 1, {MAX_STEM})", ('[ .]+$', ''))} END"""
 _natural = r"""list_transform(string_split(path, '/'), lambda x, i: CASE WHEN i = len(string_split(path, '/')) THEN '0' ELSE '1' END
  || list_aggregate(list_transform(regexp_extract_all(lower(x), '\d+|\D+'), lambda r: CASE WHEN regexp_matches(r, '^\d') THEN lpad(regexp_replace(r, '^0+(\d)', '\1'), 20, '0') ELSE r END), 'string_agg', ''))"""
 
+_SPACED = f"(SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM {SRC}) AS d"
+_NUMBERED = rf"(?i)^Chapter[{WS}]+([\d,]+):"
+_numbered = lambda p: f"CASE WHEN regexp_matches({strip(p)}, {q(_NUMBERED)}) THEN replace(regexp_extract({strip(p)}, {q(_NUMBERED)}, 1), ',', '') END"
+_paras = "string_split(text, chr(10) || chr(10))"
+_once_titled = f"list_aggregate(list_filter({_paras}, lambda p, i: {_numbered('p')} IS NULL OR list_position(list_transform({_paras}, lambda y: {_numbered('y')}), {_numbered('p')}) = i), 'string_agg', chr(10) || chr(10))"
+
 ORACLES: dict[str, str] = {
     "straight_quotes": on_dirty(_quotes),
     "build_quotes": on_build(_quotes),
@@ -233,7 +271,8 @@ ORACLES: dict[str, str] = {
       FROM (SELECT doc_id, unnest({_lines}) AS line, generate_subscripts({_lines}, 1) AS n FROM {SRC}) WHERE regexp_matches(line, {q(_head)})""",
     "duplicate_titles": rf"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS n FROM {_titled}),
       h AS (SELECT doc_id, n, replace(regexp_extract({strip('p')}, {q(rf'(?i)^Chapter[{WS}]+([\d,]+):')}, 1), ',', '') AS chapter FROM p WHERE regexp_matches({strip('p')}, {q(rf'(?i)^Chapter[{WS}]+([\d,]+):')}))
-      SELECT doc_id, CAST(n AS BIGINT) AS para_no, chapter FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY n) AS r FROM h) WHERE r > 1""",
+      SELECT doc_id, CAST(n AS BIGINT) AS para_no, chapter FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY n) AS r FROM h) WHERE r > 1""".replace(SRC, _SPACED),
+    "drop_repeated_titles": f"SELECT doc_id, {_once_titled} AS text FROM {_titled}".replace(SRC, _SPACED),
     "page_sizes": f"""SELECT doc_id, page_no, count(*) AS n_lines FROM (SELECT doc_id, CAST(greatest(sum(CASE WHEN {_is_chapter('line')} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n), 1) AS BIGINT) AS page_no
       FROM (SELECT doc_id, unnest({_lines}) AS line, generate_subscripts({_lines}, 1) AS n FROM {SRC})) GROUP BY doc_id, page_no""",
     "heading_violations": rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {strip('x')}),
@@ -243,10 +282,11 @@ ORACLES: dict[str, str] = {
     "page_layout": _layout.replace("SOURCE_ROWS", f"(SELECT doc_id AS render_id, {_breaks} AS text FROM {_rows_titled})").replace("SELECT render_id, CAST(page_no", "SELECT render_id AS doc_id, CAST(page_no"),
     "cut_repeated_heading": f"SELECT doc_id, text FROM {_cut}",
     "site_watermarks": f"SELECT doc_id, list_aggregate(list_filter({_lines}, lambda x: x <> {_sold}), 'string_agg', chr(10)) AS text, CAST(len(list_filter({_lines}, lambda x: x = {_sold})) AS BIGINT) AS n_removed FROM {SRC}",
-    "error_pages": "SELECT id, reason FROM (SELECT id, CASE WHEN len(h) >= 2 THEN 'error page detected (signals: ' || list_aggregate(h, 'string_agg', ', ') || ')' END AS reason FROM (SELECT id, list_filter(["
+    "error_pages": "SELECT src, id, reason FROM (SELECT src, id, CASE WHEN len(h) >= 2 THEN 'Cloudflare error page detected (signals: ' || list_aggregate(h, 'string_agg', ', ') || ')' END AS reason FROM (SELECT src, id, list_filter(["
     + ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN {q(n)} END" for n, p in _signals)
-    + "], lambda x: x IS NOT NULL) AS h FROM (SELECT edit_id AS id, context AS text FROM edits UNION ALL SELECT render_id, text FROM build_pdf))) WHERE reason IS NOT NULL",
-    "low_confidence": f"SELECT render_id, CAST(coalesce(length({strip('text')}), 0) AS BIGINT) AS n_chars FROM build_pdf WHERE length({strip(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}) < 100",
+    + f"], lambda x: x IS NOT NULL) AS h FROM (SELECT 'edits' AS src, edit_id AS id, context AS text FROM edits UNION ALL SELECT 'build_pdf', render_id, text FROM build_pdf UNION ALL SELECT 'documents', doc_id, {SIGNALS} FROM documents))) WHERE reason IS NOT NULL",
+    "junk_cases": f"SELECT doc_id, {_case(0)} AS kind, {_case(2)} || chr(10) || chr(10) || coalesce(text, '') AS text, {_case(3)} AS log FROM documents",
+    "low_confidence": f"SELECT render_id, CAST(coalesce(length({strip('text')}), 0) AS BIGINT) AS n_chars FROM build_pdf WHERE length({strip(_text)}) < 100",
     "near_site_names": f"""WITH t AS (SELECT unnest(regexp_extract_all(text, '([A-Za-z0-9]+)\\.(?:net|com)', 1)) AS name FROM (SELECT text FROM {SRC} UNION ALL SELECT original FROM edits)),
       c AS (SELECT name, count(*) AS n, lower(translate(name, '013I()[]-', 'olel')) AS f FROM t GROUP BY name) SELECT name, n, {_gate} AS junk FROM c""",
     "lexicon_order": f"SELECT profile, term, row_number() OVER (PARTITION BY profile ORDER BY CASE WHEN contains(term, ' ') THEN 0 ELSE 1 END, length(term) DESC, term) AS rank FROM {_terms}",
@@ -254,20 +294,20 @@ ORACLES: dict[str, str] = {
     "floor_outside_index": "SELECT DISTINCT f.profile, f.term FROM lexicon_terms f WHERE origin = 'floor' AND NOT EXISTS (SELECT 1 FROM lexicon_terms i WHERE i.origin = 'index' AND i.profile = f.profile AND i.term = f.term)",
     "dispatch_novels": f"""SELECT run_id, {_norm("coalesce(selected, '')")} AS norm_key, coalesce(r.profile, 'universal') AS pipeline, CASE WHEN r.profile IS NULL THEN 'universal-only' ELSE 'novel-profile' END AS mode, r.profile IS NOT NULL AS has_profile,
       CASE WHEN r.profile IS NULL THEN {_index("coalesce(selected, '')")} ELSE {_index('r.display_name')} END AS index_filename FROM run_metadata LEFT JOIN {_registry} r ON r.norm_key = {_norm("coalesce(selected, '')")}""",
-    "dispatch_agrees": f"""SELECT run_id, m.mode AS was_mode, CASE WHEN r.profile IS NULL THEN 'universal-only' ELSE 'novel-profile' END AS mode, m.pipeline AS was_pipeline, coalesce(r.profile, 'universal') AS pipeline
-      FROM run_metadata m LEFT JOIN {_registry} r ON r.norm_key = {_norm("coalesce(selected, '')")} WHERE m.mode <> CASE WHEN r.profile IS NULL THEN 'universal-only' ELSE 'novel-profile' END OR m.pipeline <> coalesce(r.profile, 'universal')""",
-    "novel_roster": rf"""WITH n AS (SELECT DISTINCT list_aggregate(list_transform({_words_of(rr('index_filename', ('^.*/', ''), ('(.)[.][^.]*$', chr(92) + '1')))}, lambda w, i: CASE WHEN i > 1 AND lower(w) IN ({', '.join(q(w) for w in SMALL_WORDS)}) THEN lower(w) ELSE upper(substring(lower(w), 1, 1)) || substring(lower(w), 2) END), 'string_agg', ' ') AS name
+    "dispatch_agrees": f"""SELECT run_id, was_mode, own_mode, was_pipeline, own_pipeline, novel_pipeline, own_mode = was_mode AND own_pipeline = was_pipeline AS agrees FROM (SELECT run_id, m.mode AS was_mode, CASE WHEN r.profile IS NULL THEN 'universal-only' ELSE 'novel-profile' END AS own_mode, m.pipeline AS was_pipeline, coalesce(r.profile, 'universal') AS own_pipeline, coalesce(n.profile, 'universal') AS novel_pipeline
+      FROM run_metadata m LEFT JOIN {_registry} r ON r.norm_key = {_norm("coalesce(selected, '')")} LEFT JOIN {_registry} n ON n.norm_key = {_norm("coalesce(novel, '')")})""",
+    "novel_roster": rf"""WITH n AS (SELECT DISTINCT list_aggregate(list_transform({_words_of(rr('index_filename', *_STEM))}, lambda w, i: CASE WHEN i > 1 AND lower(w) IN ({', '.join(q(w) for w in SMALL_WORDS)}) THEN lower(w) ELSE upper(substring(lower(w), 1, 1)) || substring(lower(w), 2) END), 'string_agg', ' ') AS name
         FROM dispatch_cases WHERE index_filename IS NOT NULL AND ends_with(lower(index_filename), '.txt'))
       SELECT CAST(0 AS INTEGER) AS "group", {q(UNIVERSAL)} AS entry UNION ALL SELECT CAST(1 AS INTEGER), CASE WHEN r.profile IS NULL THEN name || {q(NO_PROFILE)} ELSE name END FROM n LEFT JOIN {_registry} r ON r.norm_key = {_norm('name')}""",
     "editing_notes": f"SELECT input_name AS novel, CASE WHEN r.profile IS NULL THEN 'Base rules.' ELSE 'Base rules.' || chr(10) || chr(10) || 'Layer of ' || r.profile END AS combined, r.profile IS NULL AS universal_only FROM dispatch_cases LEFT JOIN {_registry} r ON r.norm_key = {_norm('input_name')}",
     "name_forms": f"""SELECT input_name, {_norm('input_name')} AS norm_key, coalesce(list_aggregate(regexp_extract_all(lower(input_name), '[a-z0-9]+'), 'string_agg', '-'), '') AS kebab, {_index('input_name')} AS index_name,
       coalesce(list_aggregate(list_transform({_words_of(strip('input_name'))}, lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), 'string_agg', '-'), '') || '.md' AS markdown_name,
-      coalesce(list_aggregate(list_transform({_words_of(rr("coalesce(index_filename, '')", ('^.*/', ''), ('(.)[.][^.]*$', chr(92) + '1')))}, lambda w, i: CASE WHEN i > 1 AND lower(w) IN ({', '.join(q(w) for w in SMALL_WORDS)}) THEN lower(w) ELSE upper(substring(lower(w), 1, 1)) || substring(lower(w), 2) END), 'string_agg', ' '), '') AS display_name,
+      coalesce(list_aggregate(list_transform({_words_of(rr("coalesce(index_filename, '')", *_STEM))}, lambda w, i: CASE WHEN i > 1 AND lower(w) IN ({', '.join(q(w) for w in SMALL_WORDS)}) THEN lower(w) ELSE upper(substring(lower(w), 1, 1)) || substring(lower(w), 2) END), 'string_agg', ' '), '') AS display_name,
       {_safe('input_name')} AS safe_name, input_name AS unmarked FROM dispatch_cases""",
     "upload_scan": "SELECT run_id, seq, path FROM batch_inputs WHERE ends_with(lower(path), '.pdf')",
     "natural_order": f"SELECT path, list_aggregate({_natural}, 'string_agg', '|') AS natural_key FROM (SELECT DISTINCT path FROM batch_inputs)",
     "missing_inputs": "SELECT run_id, seq, path FROM batch_inputs b WHERE NOT EXISTS (SELECT 1 FROM batch_inputs o WHERE o.file_exists AND o.run_id = b.run_id AND o.seq = b.seq)",
-    "next_batch_number": r"SELECT regexp_replace(folder, '-\d+$', '') AS base, max(CAST(nullif(regexp_extract(folder, '-(\d{1,18})$', 1), '') AS BIGINT)) + 1 AS next_number FROM (SELECT regexp_replace(output_dir, '^.*/', '') AS folder FROM summary) GROUP BY 1",
+    "next_batch_number": r"SELECT regexp_replace(folder, '-\d{1,18}$', '') AS base, coalesce(max(CAST(nullif(regexp_extract(folder, '-(\d{1,18})$', 1), '') AS BIGINT)), 0) + 1 AS next_number FROM (SELECT regexp_replace(output_dir, '^.*/', '') AS folder FROM summary) GROUP BY 1",
     "input_statuses": f"SELECT run_id, seq, path, {_status} AS status FROM batch_inputs",
     "batch_summary": f"SELECT run_id, count(*) AS total, CAST(count(*) FILTER (status = 'succeeded') AS BIGINT) AS succeeded, CAST(count(*) FILTER (status = 'failed') AS BIGINT) AS failed, CAST(count(*) FILTER (starts_with(status, 'skipped')) AS BIGINT) AS skipped FROM (SELECT run_id, {_status} AS status FROM batch_inputs) GROUP BY run_id",
     "run_reports": f"""SELECT b.*, s.total AS said_total, CAST(len(s.outputs) AS BIGINT) AS n_outputs, s.profile_applied FROM (SELECT run_id, count(*) AS total, CAST(count(*) FILTER (status = 'succeeded') AS BIGINT) AS succeeded, CAST(count(*) FILTER (status = 'failed') AS BIGINT) AS failed,
@@ -279,5 +319,5 @@ ORACLES: dict[str, str] = {
     )
     + " UNION ALL "
     + " UNION ALL ".join(f"SELECT doc_id, {q(m)} AS original, 'junk_strip.marker' AS rule FROM {SRC} WHERE contains(text, {q(m)})" for m in T.MARKERS),
-    "log_snippets": f"SELECT edit_id, substring({strip(rr(chr(99) + 'oalesce(context, ' + chr(39) * 2 + ')', (f'[{WS}]+', ' ')))}, 1, 160) AS snippet FROM edits",
+    "log_snippets": f"SELECT edit_id, substring({strip(rr(_context, (f'[{WS}]+', ' ')))}, 1, 160) AS snippet FROM edits",
 }

@@ -38,13 +38,30 @@ def test_watermark_gate_column_equals_python(spark):
     assert got == {n: watermark.is_site(n) for n in names}
 
 
-def test_watermark_long_line_is_fast():
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [("word " * 12_800, None), ("x novelfire.netNovel " * 3_200, None), ("read latest chapters at novelfire.net " * 1_684, ""), ("novel" * 12_800, None), ("f " * 32_000, None), ("want to read " * 4_900, None), ("((((" * 16_000, None), ("ire.net." * 8_000, None)],
+)
+def test_watermark_long_line_is_fast(line, want):
     import time
 
-    line = "word " * 12_800
     t = time.time()
-    assert watermark.clean(line.strip())[0] == line.strip()
+    got = watermark.clean(line.strip())[0]
     assert time.time() - t < 5
+    assert want is None or got == want
+    assert watermark.clean(got)[0] == got
+
+
+def test_watermark_spans_are_logged():
+    text, edits = watermark.clean("He left. Check latest chapters at novelfire.net. She slept, novlfire.net, and read on nicenovel.com")
+    assert text == "He left. She slept,, and"
+    assert [(e["original"], e["rule"]) for e in edits] == [("Check latest chapters at novelfire.net.", "junk_strip.domain"), ("novlfire.net", "junk_strip.domain"), ("read on nicenovel.com", "junk_strip.domain")]
+
+
+def test_watermark_lines_that_hold_none_stay_in_the_jvm(spark):
+    lines = ["webnovel.com", "a tower.com", "x.net", "panda", "novel fire net", "visit hire.com", "n0velfire.net", "f r e e w e b n o v e l. c o m", "\U0001d427x"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(watermark.holds(F.col("t"))).collect()]
+    assert got == [False, False, False, False, False, True, True, True, True]
 
 
 def test_prefilter_passes_every_recorded_spelling(spark):
@@ -141,7 +158,7 @@ TEXT = "chapter 1 - The Gate\nHe said “stop” and ran — and fell. He scored
 def test_clean_plan_and_audit(spark):
     done = clean(one(spark, TEXT), "text", profiled=True).first()
     assert done.clean_text == 'Chapter 1: The Gate.\n\nHe said "stop" and ran, and fell. He scored 6 out of 7.\n\nSee  now.\n\nIt was an explosion of the body, really.'.replace("See  now", "See now")
-    assert [e.rule for e in done.edits] == ["junk_strip.url", "junk_strip.domain", "junk_strip.decorative_run", "quote_normalize", "em_dash", "slash_replace"]
+    assert [e.rule for e in done.edits] == ["junk_strip.url", "junk_strip.domain", "junk_strip.decorative_run", "quote_normalize", "slash_replace", "em_dash"]
 
 
 def test_clean_is_idempotent_and_keeps_columns(spark):
