@@ -388,10 +388,19 @@ def _quote(s: str) -> str:
     return "".join("\\" + ch if ch in r"\^$.|?*+()[]{}-" else ch for ch in s)
 
 
+def _promotional(x: Column, terms: tuple[str, ...]) -> Column:
+    held = F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower(x), t)) if terms else F.lit(False)
+    return x.rlike(PROMO_LINE) & ~held
+
+
+def promo_lines(c: Column, terms: tuple[str, ...] = ()) -> Column:
+    """The promotional lines that hold no protected term."""
+    return F.filter(F.split(c, "\n", -1), lambda x: _promotional(x, terms))
+
+
 def drop_promo_lines(c: Column, terms: tuple[str, ...] = ()) -> Column:
     """Without promotional lines, unless the line holds a protected term."""
-    held = lambda x: F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower(x), t)) if terms else F.lit(False)
-    return F.array_join(F.filter(F.split(c, "\n", -1), lambda x: ~x.rlike(PROMO_LINE) | held(x)), "\n")
+    return F.array_join(F.filter(F.split(c, "\n", -1), lambda x: ~_promotional(x, terms)), "\n")
 
 
 def error_page(c: Column) -> Column:

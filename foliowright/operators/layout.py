@@ -46,10 +46,19 @@ def layout(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return part.select(id_col, number("page").alias("page_no"), number("para").alias("para_no"), number("part").alias("part_no"), F.col("x.kind").alias("kind"), F.col("x.text").alias("text"))
 
 
+def heading_only(text: Column) -> Column:
+    """array<int>: numbers of the pages whose only line is a heading, in a text of two pages or more."""
+
+    def of(sheets: Column) -> Column:
+        def lone(sheet: Column, i: Column) -> Column:
+            rows = F.filter(F.transform(F.split(sheet, "\n", -1), T.strip), lambda x: x != "")
+            return F.when((F.size(rows) == 1) & F.get(rows, F.lit(0)).rlike(LOOSE), i + 1)
+
+        return F.when(F.size(sheets) >= 2, F.filter(F.transform(sheets, lone), lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))
+
+    return T.let(F.filter(F.split(text, "\f", -1), lambda x: T.strip(x) != ""), of)
+
+
 def heading_only_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, page_no) of pages whose only line is a heading, in documents of two pages or more; nothing is removed."""
-    sheets = F.filter(F.split(text_col, "\f", -1), lambda x: T.strip(x) != "")
-    at = df.where(F.col(text_col).isNotNull()).select(id_col, F.size(sheets).alias("n_pages"), F.posexplode(sheets).alias("n", "sheet"))
-    rows = F.filter(F.transform(F.split("sheet", "\n", -1), T.strip), lambda x: x != "")
-    lone = (F.size(rows) == 1) & F.get(rows, F.lit(0)).rlike(LOOSE)
-    return at.where((F.col("n_pages") >= 2) & lone).select(id_col, (F.col("n") + 1).cast("long").alias("page_no"))
+    return df.where(F.col(text_col).isNotNull()).select(id_col, F.explode(F.transform(heading_only(F.col(text_col)), lambda x: x.cast("long"))).alias("page_no"))

@@ -16,6 +16,7 @@ from foliowright.plans.clean import clean
 from foliowright.plans.oracles import CASES, DIRTY, SIGNALS
 from foliowright.plans.oracles import ORACLES as RULES
 from foliowright.plans.pipeline_sql import PLANS
+from foliowright.plans.run import Run
 from foliowright.session import spread
 from foliowright.sources import files
 
@@ -192,35 +193,27 @@ def floor_outside_index(spark: SparkSession, sf: str) -> DataFrame:
     return part("floor").distinct().join(part("index"), ["profile", "term"], "left_anti")
 
 
-def _profiles(terms: DataFrame) -> list[str]:
-    return [r.profile for r in terms.select("profile").where("profile is not null").distinct().orderBy("profile").collect()] or [""]
+def _profiled(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters of profiled novels with their profile."""
+    d = batch.dispatch(table(spark, sf, "build_pdf").select("render_id", "novel", "text"), "novel", batch.registry(table(spark, sf, "dispatch_cases")))
+    return d.where("profile is not null").select("render_id", "profile", "text")
 
 
 @query
 def protected_terms(spark: SparkSession, sf: str) -> DataFrame:
     """How often each protected term of each profile stands in each chapter."""
-    terms, out = table(spark, sf, "lexicon_terms"), None
-    src = spread(table(spark, sf, "build_pdf").select("render_id", "text")).distinct()
-    for profile in _profiles(terms):
-        mask = lexicon.Mask(lexicon.load(terms, profile), headings=False)
-        part = lexicon.term_counts(src, "render_id", "text", mask).select("render_id", F.lit(profile).alias("profile"), "term", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    terms = lexicon.load_all(table(spark, sf, "lexicon_terms"))
+    # a repeated row repeats its counts: those are shuffled, not the texts
+    return lexicon.term_counts(table(spark, sf, "build_pdf").select("render_id", "text"), "render_id", "text", terms).distinct()
 
 
 @query
 def terms_kept(spark: SparkSession, sf: str) -> DataFrame:
-    """Chapters of profiled novels in which cleaning lost a protected term of their profile; none should."""
-    all_terms, out = table(spark, sf, "lexicon_terms"), None
-    src = batch.dispatch(table(spark, sf, "build_pdf"), "novel", batch.registry(table(spark, sf, "dispatch_cases"))).select("render_id", "profile", "text").distinct()
-    for profile in _profiles(all_terms):
-        terms = lexicon.load(all_terms, profile)
-        mask = lexicon.Mask(terms, headings=False)
-        n = lambda c, mask=mask: F.size(mask.hits(c)).cast("long")
-        done = clean(src.where(F.col("profile") == profile), "text", terms)
-        part = done.select("render_id", "profile", n(F.coalesce("text", F.lit(""))).alias("before"), n(F.col("clean_text")).alias("after")).where("after < before")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Protected spans of every chapter of a profiled novel before and after cleaning; none should be lost."""
+    terms = lexicon.load_all(table(spark, sf, "lexicon_terms"))
+    done = clean(_profiled(spark, sf), "text", terms, profiled=True, profile_col="profile")
+    n = lexicon.span_counts(done, "render_id", "profile", "text", "clean_text", terms)
+    return n.distinct().withColumn("kept", F.col("after") >= F.col("before"))
 
 
 @query
@@ -367,15 +360,44 @@ def clean_universal(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def clean_profiled(spark: SparkSession, sf: str) -> DataFrame:
-    """Chapters of profiled novels, each profile with its own terms; the few profiles are planned as branches of one query."""
-    cases, terms = table(spark, sf, "dispatch_cases"), table(spark, sf, "lexicon_terms")
-    src = batch.dispatch(spread(table(spark, sf, "build_pdf").select("render_id", "novel", "text")), "novel", batch.registry(cases)).select("render_id", "profile", "text")
-    out = None
-    for (profile,) in terms.select("profile").where("profile is not null").distinct().orderBy("profile").collect():
-        own = clean(src.where(F.col("profile") == profile), "text", lexicon.load(terms, profile), profiled=True)
-        part = own.select("render_id", "profile", "clean_text", audit.edit_count(F.col("edits")).alias("n_edits"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Chapters of profiled novels, each with the terms of its profile, all profiles in one pass."""
+    own = clean(_profiled(spark, sf), "text", lexicon.load_all(table(spark, sf, "lexicon_terms")), profiled=True, profile_col="profile")
+    return own.select("render_id", "profile", "clean_text", audit.edit_count(F.col("edits")).alias("n_edits"))
+
+
+def _batch(spark: SparkSession, sf: str, dry_run: bool = False) -> Run:
+    inputs = table(spark, sf, "batch_inputs").distinct()
+    terms = lexicon.load_all(table(spark, sf, "lexicon_terms"))
+    return Run(inputs, table(spark, sf, "run_metadata").select("run_id", "selected"), batch.registry(table(spark, sf, "dispatch_cases")), terms, "out", "in", dry_run)
+
+
+@query
+def batch_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Every input of every run: its fate, its output and its clean text."""
+    return _batch(spark, sf).results()
+
+
+@query
+def batch_dry_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without outputs."""
+    return _batch(spark, sf, dry_run=True).results().select("run_id", "seq", "path", "status", "n_edits", "output_path")
+
+
+@query
+def batch_log(spark: SparkSession, sf: str) -> DataFrame:
+    """What each run says, in order."""
+    return _batch(spark, sf).log()
+
+
+@query
+def batch_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return _batch(spark, sf).summary()
+
+
+@query
+def batch_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit entries of all outputs, with page flags."""
+    return _batch(spark, sf).entries().select("run_id", "seq", "n", "original", "replacement", "rule", "category", "context")
 
 
 @query

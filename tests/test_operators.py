@@ -196,4 +196,79 @@ def test_terms_of_every_profile_are_counted(spark, sf):
     got = {r.profile: r.k for r in QUERIES["protected_terms"](spark, sf).groupBy("profile").agg(F.count("*").alias("k")).collect()}
     profiles = {r.profile for r in spark.read.parquet(f"{sf}/lexicon_terms.parquet").select("profile").distinct().collect()}
     assert set(got) == profiles and len(profiles) > 1
-    assert QUERIES["terms_kept"](spark, sf).columns == ["render_id", "profile", "before", "after"]
+    kept = QUERIES["terms_kept"](spark, sf)
+    assert kept.columns == ["render_id", "profile", "before", "after", "kept"] and kept.where("not kept").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Sunny and sunny’s", ["sunny", "sunny’s"]), ("Bright\nCastle, brightcastle", ["bright castle"]), ("unsunny sunnyx", []), ("xBright Castlesunny", ["bright castle", "sunny"]), ("V|adion Reach V|adion", ["v|adion reach"]), ("", []), ("Chapter", [])],
+)
+def test_term_spans(spark, text, want):
+    terms = ("Sunny", "Bright Castle", "V|adion Reach", "Chapter", "x")
+    assert sorted(lexicon.Finder(terms).spans(text)) == want
+    d = one(spark, text).select(lexicon.Mask(terms, headings=False).hits(F.col("text")).alias("h"))
+    plain = [" ".join(h.translate({0xE001: None, 0xE002: None}).lower().split()) for h in d.first().h]
+    assert sorted(plain) == want
+
+
+def test_clean_by_profile_equals_clean_of_each(spark):
+    texts = ["b0dy of Sunny b0dy — and B0dyguard 3/4", "Kai b0dy ~~~ “x”", None]
+    rows = [(i, p, t) for i, (p, t) in enumerate((p, t) for p in ("a", "b", None) for t in texts)]
+    d = spark.createDataFrame(rows, "id int, profile string, text string")
+    terms = {"a": ("B0dyguard", "~~~"), "b": ("b0dy",)}
+    got = {r.id: (r.clean_text, r.edits) for r in clean(d, "text", terms, profiled=True, profile_col="profile").collect()}
+    want = {}
+    for p in ("a", "b", None):
+        part = d.where(F.col("profile").eqNullSafe(p))
+        want |= {r.id: (r.clean_text, r.edits) for r in clean(part, "text", terms.get(p, ()), profiled=p is not None).collect()}
+    assert got == want and got[0][0] == "body of Sunny body, and B0dyguard 3 out of 4" and got[1][0].startswith("Kai body ~~~")
+
+
+def batch_of(spark, dry_run=False):
+    from foliowright.plans.run import Run
+
+    page = "Chapter 1: A.\n" + "word " * 30 + ".\nChapter 2: B\nChapter 3: C\nEnd."
+    rows = [
+        (1, 1, "in/a/x.pdf", True, page, None), (1, 2, "in/b/x.pdf", True, "short", None), (1, 3, "in/a/gone.pdf", False, None, None), (1, 4, "in/a/bad.pdf", True, None, "PDFSyntaxError: no"),
+        (1, 5, "in/a/x.pdf", True, page + " b0dy of “Sunny” b0dy", None), (2, 1, "y.pdf", None, None, None),
+    ]
+    inputs = spark.createDataFrame(rows, "run_id long, seq int, path string, file_exists boolean, text string, raises string")
+    cases = spark.createDataFrame([("My Novel", "p", True, None)], "input_name string, profile string, has_profile boolean, index_filename string")
+    return Run(inputs, spark.createDataFrame([(1, "my-novel")], "run_id long, selected string"), batch.registry(cases), {"p": ("b0dy",)}, "out", "in", dry_run)
+
+
+def test_batch_fates_and_outputs(spark):
+    got = {(r.run_id, r.seq): r for r in batch_of(spark).results().collect()}
+    assert [got[1, k].status for k in range(1, 6)] == ["succeeded", "skipped (image-only/empty)", "skipped (not found)", "failed", "succeeded"] and got[2, 1].status == "skipped (not found)"
+    assert got[1, 1].output_path == "out/in/a/x.pdf" and got[1, 5].output_path == "out/in/a/x_2.pdf" and got[1, 4].output_path is None
+    assert got[1, 5].clean_text.endswith('b0dy of "Sunny" b0dy') and got[1, 4].reason == "PDFSyntaxError: no" and got[1, 5].pipeline == "p"
+    assert {(r.run_id, r.total, r.succeeded, r.failed, r.skipped, r.novel, r.profile_applied) for r in batch_of(spark).summary().collect()} == {(1, 5, 2, 1, 2, "My Novel", True), (2, 1, 0, 0, 1, "Universal", False)}
+
+
+def test_batch_flags_lone_headings_and_logs(spark):
+    run = batch_of(spark)
+    flags = [(r.seq, r.original, r.context, r.category) for r in run.entries().where("rule = 'pdf.heading_only_page_flag'").orderBy("seq").collect()]
+    assert flags == [(1, "heading-only page(s): 2", "x.pdf", "integrity_flag"), (5, "heading-only page(s): 2", "x_2.pdf", "integrity_flag")]
+    log = [r.message for r in run.log().where("run_id = 1").orderBy("part", "seq", "n").collect()]
+    assert log[:6] == ["Starting batch: 5 file(s).", "Output folder: out", "Selected novel: my-novel", "Loaded universal editor rules (UNIVERSAL.md).", "Applied novel-specific editing layer for My Novel (built-in profile).", "Loaded 1 protected term(s) for My Novel."]
+    assert "[4/5] bad.pdf — FAILED (PDFSyntaxError: no)" in log and "[3/5] gone.pdf — skipped (not found)" in log
+    assert any(m.startswith("        ⚠ heading-only page(s) 2 in x.pdf") for m in log) and "Batch complete: 2 done, 1 failed, 2 skipped of 5." in log
+    assert log[-5:] == ["Failed:", "  - bad.pdf (PDFSyntaxError: no)", "Skipped:", "  - x.pdf (image-only/empty)", "  - gone.pdf (not found)"]
+
+
+def test_batch_writes_tables_and_dry_run_none(spark, tmp_path):
+    batch_of(spark).write(f"file://{tmp_path}/out")
+    audit_lines = [(r.file, r.line) for r in spark.read.parquet(f"file://{tmp_path}/out/audit").orderBy("file", "line_no").collect()]
+    assert {f for f, _ in audit_lines} == {"out/in/a/x_replacements.jsonl", "out/in/a/x_2_replacements.jsonl"} and '"record":"run_metadata"' in audit_lines[0][1]
+    assert {r.file for r in spark.read.parquet(f"file://{tmp_path}/out/debug").collect()} == {"out/in/a/DEBUG_x.txt", "out/in/a/DEBUG_x_2.txt"}
+    assert spark.read.parquet(f"file://{tmp_path}/out/layout").count() > 4
+    batch_of(spark, dry_run=True).write(f"file://{tmp_path}/dry")
+    assert sorted(p.name for p in (tmp_path / "dry").iterdir()) == ["files", "log", "summary"]
+    assert spark.read.parquet(f"file://{tmp_path}/dry/log").where("message like '%(dry run, %'").count() == 2
+
+
+def test_watermark_errors_are_a_column(spark):
+    d = spark.createDataFrame([(1, "at novelfire.net now"), (2, None)], "id int, text string")
+    r = watermark.strip_watermarks(d, "text", error_col="why").orderBy("id").collect()
+    assert [(x.text, x.why) for x in r] == [("now", None), (None, None)]
