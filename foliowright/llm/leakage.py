@@ -1,14 +1,15 @@
 """Problem 7: passages of evaluation items inside a training corpus.
 
 A distributed positional inverted index: the corpus is cut into segments (the batches of its
-partitions), and each segment stores, for every term, the postings (document, position) of its
-tokens as delta-coded bytes.  The index is written as a table; document frequencies are summed from
-it, and a search intersects offset-adjusted posting lists, starting from the rarest test terms.
+partitions), and each segment stores every term of its documents, in order, with the delta-coded
+places of its tokens.  The index knows nothing of the items: it is written as a table once, and any set
+of items is searched in it without another pass over the texts.  Document frequencies of the test terms
+are summed from it, and a search intersects offset-adjusted posting lists, rarest test terms first.
 
 Terms are words (runs of letters and digits, case ignored), and single letters or digits for items in
-scripts written without spaces.  Only terms of the items are stored: no other token can take part in
-a match, so nothing is lost.  The items are a fixed table of a few hundred passages whose size is
-checked against ``MAX_QUERY_TERMS`` before they are shipped to the executors.
+scripts written without spaces; those are indexed for documents that hold such a script, or, where an
+item has a passage without one, for all (``chars="all"``).  Items are searched in blocks of at most
+``MAX_QUERY_CHARS``, whose number follows their size.
 
 Defined results: null and empty documents or items match nothing; items shorter than the least
 passage match nothing exactly; repeated rows of a document give one row.
@@ -30,10 +31,10 @@ WORDS, CHARS = 16, 24  # least passage in words, and in letters of scripts witho
 MISSES = 3  # terms of a least passage that a proximity match may lack
 NEAR = 3  # rarest terms of a window whose lists are intersected before the rest is looked at
 UNSPACED = ("zh", "ja")
-MAX_QUERY_TERMS = 5_000_000
+MAX_QUERY_CHARS = 20_000_000  # characters of the items that are searched at once
 SEGMENT_CHARS = 3_000_000  # characters of a segment; documents are never split
 STRIDE = 1 << 32  # a posting is document number * STRIDE + position
-INDEX_SCHEMA = "segment bigint, docs array<bigint>, terms array<int>, counts array<int>, postings array<binary>"
+INDEX_SCHEMA = "segment bigint, kind string, docs array<bigint>, starts binary, terms binary, counts binary, postings binary"
 MATCH_SCHEMA = "doc_id bigint, item_id bigint, longest int, item_from int, doc_from int, kind string"
 
 
@@ -131,15 +132,12 @@ class Query:
                 han = _han(np.array(raw, np.uint32)).astype(int)
                 run = np.convolve(han, np.ones(CHARS, int), "valid") if len(han) >= CHARS else np.ones(1, int)
                 self.only_han &= bool((run > 0).all())
-        size = sum(len(x) for _, _, x in self.items)
-        if size > MAX_QUERY_TERMS:
-            raise ValueError(f"{size} query terms; split the items into runs of at most {MAX_QUERY_TERMS}")
         self.size = len(vocab)
-        words = sorted((t, i) for (chars, t), i in vocab.items() if not chars)
-        self.word_hash = np.array([t for t, _ in words], np.uint64)
-        self.word_term = np.array([i for _, i in words], np.int32)
-        self.char_code = np.array([t for (chars, t), _ in vocab.items() if chars], np.int64)
-        self.char_term = np.array([i for (chars, _), i in vocab.items() if chars], np.int32)
+        by_kind = {False: [], True: []}
+        for (chars, t), i in vocab.items():
+            by_kind[chars].append((t, i))
+        self.hashes = {k: np.array([t for t, _ in sorted(v)], np.uint64) for k, v in by_kind.items()}
+        self.numbers = {k: np.array([i for _, i in sorted(v)], np.int64) for k, v in by_kind.items()}
 
     def plan(self, df: np.ndarray) -> list[list[tuple[int, ...]]]:
         """Per item the sets of offsets to start from: the rarest terms of each window of the least length."""
@@ -176,89 +174,87 @@ class Query:
         return out
 
 
+def blocks(items: DataFrame) -> list[DataFrame]:
+    """The items in as many parts as their size asks for; each part fits a task."""
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), "lang", "text").where("item_id is not null")
+    size = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = size // MAX_QUERY_CHARS + 1
+    return [own] if n == 1 else [own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
 def read_items(items: DataFrame) -> Query:
     rows = items.select(F.col("item_id").cast("long"), "lang", "text").where("item_id is not null").distinct().orderBy("item_id", "lang", "text").collect()
     return Query([tuple(r) for r in rows])
 
 
-def _encode(values: np.ndarray) -> bytes:
-    """Delta coding of ascending numbers, in the fewest bytes; gaps between documents go beside."""
-    d = np.diff(values, prepend=0)
+def _pack(d: np.ndarray) -> bytes:
+    """Gaps in two bytes each, larger ones beside."""
     big = np.flatnonzero(d > 0xFFFF)
     small = np.where(d > 0xFFFF, 0, d).astype("<u2")
-    return len(big).to_bytes(4, "little") + big.astype("<u4").tobytes() + d[big].astype("<u8").tobytes() + small.tobytes()
+    return len(big).to_bytes(4, "little") + big.astype("<u4").tobytes() + d[big].astype("<u4").tobytes() + small.tobytes()
 
 
-def _decode(b: bytes) -> np.ndarray:
+def _unpack(b: bytes) -> np.ndarray:
     n = int.from_bytes(b[:4], "little")
     big = np.frombuffer(b, "<u4", n, 4)
-    gaps = np.frombuffer(b, "<u8", n, 4 + 4 * n)
-    d = np.frombuffer(b, "<u2", offset=4 + 12 * n).astype(np.int64)
+    gaps = np.frombuffer(b, "<u4", n, 4 + 4 * n)
+    d = np.frombuffer(b, "<u2", offset=4 + 8 * n).astype(np.int64)
     d[big] = gaps
-    return np.cumsum(d)
+    return d
+
 
+def _inverted(doc: np.ndarray, term: np.ndarray, n_docs: int) -> tuple[bytes, bytes, bytes, bytes]:
+    """(first token of each document, terms, their counts, gaps between their places) of a segment's tokens in order."""
+    starts = np.searchsorted(doc, np.arange(n_docs + 1))
+    order = np.argsort(term, kind="stable")
+    sorted_ = term[order]
+    cuts = np.flatnonzero(np.diff(sorted_, prepend=sorted_[:1] ^ np.uint64(1))) if len(term) else np.zeros(0, np.int64)
+    gaps = np.diff(order, prepend=0)
+    gaps[cuts] = order[cuts]  # a term's first place stands whole
+    counts = np.diff(np.append(cuts, len(term)))
+    return starts.astype("<u4").tobytes(), sorted_[cuts].astype("<u8").tobytes(), counts.astype("<u4").tobytes(), _pack(gaps)
 
-def _segment(q: Query, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and postings of a segment's documents."""
+
+def _segment(texts: list[str], every: bool) -> Iterator[tuple[str, list[int], tuple[bytes, bytes, bytes, bytes]]]:
+    """Of a segment: (kind, which of its documents, the inverted lists), words first."""
     joined = [unfolded(t) for t in texts]
     codes = codes_of("\n".join(joined))
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in joined), np.int64, len(joined)))
-    terms, keys = [], []
-    if len(q.word_hash):
-        start, h = word_hashes(codes)
-        doc = np.searchsorted(ends, start, "right")
-        first = np.searchsorted(doc, np.arange(len(texts)))
-        pos = np.arange(len(doc)) - first[doc]
-        j = np.searchsorted(q.word_hash, h)
-        j[j == len(q.word_hash)] = 0
-        ok = q.word_hash[j] == h
-        terms.append(q.word_term[j[ok]])
-        keys.append(doc[ok] * STRIDE + pos[ok])
-    if len(q.char_code):
-        fold, alnum, _ = _tables()
-        at = np.flatnonzero(alnum[codes])
-        doc = np.searchsorted(ends, at, "right")
-        if q.only_han:
-            with_han = np.zeros(len(texts), bool)
-            with_han[np.unique(np.searchsorted(ends, np.flatnonzero(_han(codes)), "right"))] = True
-            keep = with_han[doc]
-            at, doc = at[keep], doc[keep]
-        first = np.searchsorted(doc, np.arange(len(texts)))
-        pos = np.arange(len(doc)) - first[doc] if len(doc) else doc
-        lut = np.full(0x110000, -1, np.int32)
-        lut[q.char_code] = q.char_term
-        t = lut[fold[codes[at]]]
-        ok = t >= 0
-        terms.append(t[ok])
-        keys.append(doc[ok] * STRIDE + pos[ok])
-    t, k = np.concatenate(terms), np.concatenate(keys)
-    order = np.argsort(t, kind="stable")
-    return t[order], k[order]
-
-
-def build_index(docs: DataFrame, query: Query, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index: one row per segment with its documents, its terms and the delta-coded postings of each."""
-    shared = docs.sparkSession.sparkContext.broadcast(query)
+    start, h = word_hashes(codes)
+    yield "words", list(range(len(texts))), _inverted(np.searchsorted(ends, start, "right"), h, len(texts))
+    fold, alnum, _ = _tables()
+    at = np.flatnonzero(alnum[codes])
+    doc = np.searchsorted(ends, at, "right")
+    held = np.ones(len(texts), bool)
+    if not every:
+        held[:] = False
+        held[np.unique(np.searchsorted(ends, np.flatnonzero(_han(codes)), "right"))] = True
+    keep = held[doc]
+    number = np.cumsum(held) - 1
+    if keep.any():
+        yield "chars", np.flatnonzero(held).tolist(), _inverted(number[doc[keep]], fold[codes[at[keep]]].astype(np.uint64), int(held.sum()))
+
+
+def build_index(docs: DataFrame, chars: str = "unspaced", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index: for each segment and kind of term its documents and inverted lists."""
+    every = chars == "all"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        q, part, count = shared.value, TaskContext.get().partitionId(), 0
+        part, count = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         texts: list[str] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal count
-            t, k = _segment(q, texts)
-            cuts = np.flatnonzero(np.diff(t, prepend=-1))
-            parts = [_encode(x) for x in np.split(k, cuts[1:])] if len(t) else []
-            row = ([(part << 32) + count], [list(ids)], [t[cuts].tolist()], [np.diff(np.append(cuts, len(t))).tolist()], [parts])
+            rows = [((part << 32) + count, kind, [ids[i] for i in held], *lists) for kind, held, lists in _segment(texts, every)]
             count += 1
             ids.clear()
             texts.clear()
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(row, types)], names=["segment", "docs", "terms", "counts", "postings"])
+            types = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate(types)], names=["segment", "kind", "docs", "starts", "terms", "counts", "postings"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -275,11 +271,71 @@ def build_index(docs: DataFrame, query: Query, id_col: str = "doc_id", text_col:
     return src.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).mapInArrow(run, INDEX_SCHEMA)
 
 
+class Lists:
+    """The posting lists of a query's terms in one segment, decoded when they are first used."""
+
+    def __init__(self, q: Query, chars: bool, starts: bytes, terms: bytes, counts: bytes, postings: bytes | None = None):
+        own = np.frombuffer(terms, "<u8")
+        self.counts = np.frombuffer(counts, "<u4").astype(np.int64)
+        want = q.hashes[chars]
+        j = np.searchsorted(own, want)
+        ok = np.zeros(len(want), bool)
+        inside = j < len(own)
+        ok[inside] = own[j[inside]] == want[inside]
+        self.at = dict(zip(q.numbers[chars][ok].tolist(), j[ok].tolist()))
+        self.ends = np.cumsum(self.counts)
+        self.starts = np.frombuffer(starts, "<u4").astype(np.int64)
+        self.postings = postings
+        self.gaps: np.ndarray | None = None
+        self.cache: dict[int, np.ndarray] = {}
+
+    def __contains__(self, t: int) -> bool:
+        return t in self.at
+
+    def size(self, t: int) -> int:
+        return int(self.counts[self.at[t]])
+
+    def of(self, t: int) -> np.ndarray:
+        """Documents and positions of a term, ascending."""
+        if t not in self.cache:
+            if self.gaps is None:
+                self.gaps = _unpack(self.postings)
+            end = int(self.ends[self.at[t]])
+            token = np.cumsum(self.gaps[end - self.size(t) : end])
+            doc = np.searchsorted(self.starts, token, "right") - 1
+            self.cache[t] = doc * STRIDE + token - self.starts[doc]
+        return self.cache[t]
+
+
+def _segments(q: Query, b: pa.RecordBatch) -> Iterator[tuple[bool, list[int], Lists]]:
+    """(whether of characters, documents, lists) of the segments of a batch that hold terms of the query."""
+    for kind, docs, starts, terms, counts, postings in zip(*(b.column(k) for k in range(6))):
+        chars = kind.as_py() == "chars"
+        if len(q.hashes[chars]):
+            lists = Lists(q, chars, starts.as_py(), terms.as_py(), counts.as_py(), postings.as_py())
+            if lists.at:
+                yield chars, docs.as_py(), lists
+
+
+_COLUMNS = ("kind", "docs", "starts", "terms", "counts", "postings")
+
+
 def frequencies(index: DataFrame, query: Query) -> np.ndarray:
     """Postings of each query term in the whole corpus; as many numbers as the items have terms."""
+    shared = index.sparkSession.sparkContext.broadcast(query)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shared.value.size, np.int64)
+        for b in batches:
+            for kind, starts, terms, counts in zip(*(b.column(k) for k in range(4))):
+                lists = Lists(shared.value, kind.as_py() == "chars", starts.as_py(), terms.as_py(), counts.as_py())
+                for t, j in lists.at.items():
+                    total[t] += lists.counts[j]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
+
     out = np.zeros(query.size, np.int64)
-    pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("p"))
-    for term, n in pairs.groupBy("p.terms").agg(F.sum("p.counts")).collect():
+    for term, n in index.select("kind", "starts", "terms", "counts").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect():
         out[term] = n
     return out
 
@@ -303,31 +359,25 @@ def search(index: DataFrame, query: Query, plan: list[list[tuple[int, ...]]], le
         names = ["doc_id", "item_id", "longest", "item_from", "doc_from", "kind"]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
         for b in batches:
-            for r in range(b.num_rows):
-                ids = b.column(0)[r].as_py()
-                lists = dict(zip(b.column(1)[r].as_py(), b.column(2)[r].as_py()))
-                rows = list(_search(q, sets, ids, lists, least_words, least_chars))
+            for kind, ids, lists in _segments(q, b):
+                rows = list(_search(q, sets, kind, ids, lists, least_words, least_chars))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=names)
 
-    return index.select("docs", "terms", "postings").mapInArrow(run, MATCH_SCHEMA)
+    return index.select(*_COLUMNS).mapInArrow(run, MATCH_SCHEMA)
 
 
-def _search(q: Query, sets: list[list[tuple[int, ...]]], ids: list[int], lists: dict[int, bytes], least_words: int, least_chars: int) -> Iterator[tuple]:
-    cache: dict[int, np.ndarray] = {}
-
-    def of(t: int) -> np.ndarray | None:
-        if t not in cache:
-            cache[t] = _decode(lists[t])
-        return cache[t]
-
+def _search(q: Query, sets: list[list[tuple[int, ...]]], kind: bool, ids: list[int], lists: Lists, least_words: int, least_chars: int) -> Iterator[tuple]:
+    of = lists.of
     for (item_id, chars, ts), own in zip(q.items, sets):
+        if chars != kind:
+            continue
         least = least_chars if chars else least_words
         found = []
         for offsets in own:
             terms = [int(ts[i]) for i in offsets]
             if not all(t in lists for t in terms):
                 continue
-            order = sorted(range(len(offsets)), key=lambda i: len(lists[terms[i]]))
+            order = sorted(range(len(offsets)), key=lambda i: lists.size(terms[i]))
             diag = of(terms[order[0]]) - offsets[order[0]]
             for i in order[1:]:
                 diag = diag[_within(of(terms[i]), diag + offsets[i])]
@@ -349,7 +399,7 @@ def _search(q: Query, sets: list[list[tuple[int, ...]]], ids: list[int], lists:
 
 
 def search_near(index: DataFrame, query: Query, plan: list[list[tuple[int, ...]]], misses: int) -> DataFrame:
-    """Alignments with at least all but ``misses`` terms of a least passage in place, whatever stands between: best one per document and item."""
+    """Passages with at least all but ``misses`` terms of a least passage, each at most ``misses`` places from where the others put it: best one per document and item."""
     shared = index.sparkSession.sparkContext.broadcast((query, plan))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,31 +407,27 @@ def search_near(index: DataFrame, query: Query, plan: list[list[tuple[int, ...]]
         names = ["doc_id", "item_id", "matched", "of", "item_from", "doc_from"]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         for b in batches:
-            for r in range(b.num_rows):
-                ids = b.column(0)[r].as_py()
-                lists = dict(zip(b.column(1)[r].as_py(), b.column(2)[r].as_py()))
-                rows = list(_search_near(q, sets, ids, lists, misses))
+            for kind, ids, lists in _segments(q, b):
+                rows = list(_search_near(q, sets, kind, ids, lists, misses))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=names)
 
-    return index.select("docs", "terms", "postings").mapInArrow(run, "doc_id bigint, item_id bigint, matched int, of int, item_from int, doc_from int")
-
-
-def _search_near(q: Query, sets: list[list[tuple[int, ...]]], ids: list[int], lists: dict[int, bytes], misses: int) -> Iterator[tuple]:
-    cache: dict[int, np.ndarray] = {}
+    return index.select(*_COLUMNS).mapInArrow(run, "doc_id bigint, item_id bigint, matched int, of int, item_from int, doc_from int")
 
-    def of(t: int) -> np.ndarray:
-        if t not in cache:
-            cache[t] = _decode(lists[t])
-        return cache[t]
 
+def _search_near(q: Query, sets: list[list[tuple[int, ...]]], kind: bool, ids: list[int], lists: Lists, misses: int) -> Iterator[tuple]:
+    of = lists.of
     for (item_id, chars, ts), own in zip(q.items, sets):
+        if chars != kind:
+            continue
         w = CHARS if chars else WORDS
         found = []
         for offsets in own:
             shifted = [of(int(ts[i])) - i for i in offsets if int(ts[i]) in lists]
             if len(shifted) >= 2:
-                diag, n = np.unique(np.concatenate(shifted), return_counts=True)
-                found.append(diag[n >= 2])
+                # words put in or left out shift what follows by at most ``misses``: two of the terms agree within that
+                diag = np.sort(np.concatenate(shifted))
+                near = np.searchsorted(diag, diag + misses, "right") - np.searchsorted(diag, diag - misses, "left")
+                found.append(diag[near >= 2])
         if not found:
             continue
         diag = np.unique(np.concatenate(found))
@@ -390,9 +436,14 @@ def _search_near(q: Query, sets: list[list[tuple[int, ...]]], ids: list[int], li
         hit = np.zeros((len(ts) + 1, len(diag)), np.int32)
         for i, t in enumerate(ts.tolist()):
             if t in lists:
-                hit[i + 1] = _within(of(t), diag + i)
+                p = of(t)
+                j = np.searchsorted(p, diag + i - misses)
+                hit[i + 1] = p[np.minimum(j, len(p) - 1)] - (diag + i - misses) <= 2 * misses
+                hit[i + 1] &= j < len(p)
         total = np.cumsum(hit, axis=0)
         windows = total[w:] - total[:-w]
+        if not len(windows):
+            continue
         best, start = windows.max(0), windows.argmax(0)
         for d in np.flatnonzero(best >= w - misses):
             k = int(diag[d]) + int(start[d])
@@ -411,30 +462,57 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, start
 
 
-def indexed(spark: SparkSession, docs: DataFrame, query: Query) -> DataFrame:
+def indexed(spark: SparkSession, docs: DataFrame, chars: str = "unspaced") -> DataFrame:
     """Build the index, write it to the shared folder and read it back: later stages survive lost executors."""
     path = shared_path(spark, "postings")
-    build_index(docs, query).write.mode("overwrite").parquet(path)
+    build_index(docs, chars).write.mode("overwrite").parquet(path)
     return spark.read.schema(INDEX_SCHEMA).parquet(path)
 
 
+class Searcher:
+    """An indexed corpus, searched for any number of item sets."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame):
+        self.spark, self.docs = spark, docs
+        self.index: dict[str, DataFrame] = {}
+
+    def _of(self, query: Query) -> DataFrame:
+        """The index that holds all terms a query needs."""
+        chars = "unspaced" if query.only_han else "all"
+        if chars not in self.index:
+            self.index[chars] = self.index.get("all") or indexed(self.spark, self.docs, chars)
+        return self.index[chars]
+
+    def _union(self, items: DataFrame, one) -> DataFrame:  # noqa: ANN001
+        out = None
+        for part in blocks(items):
+            query = read_items(part)
+            index = self._of(query)
+            found = one(index, query, frequencies(index, query))
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    def matches(self, items: DataFrame) -> DataFrame:
+        """All exact phrase matches: (doc_id, item_id, longest, item_from, doc_from, kind), one row per pair."""
+        found = self._union(items, lambda index, query, df: search(index, query, query.plan(df)))
+        best = F.max(F.struct("longest", F.struct(-F.col("doc_from"), -F.col("item_from")).alias("at"), "kind"))
+        return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.longest").alias("longest"), (-F.col("b.at.col2")).alias("item_from"), (-F.col("b.at.col1")).alias("doc_from"), F.col("b.kind").alias("kind"))
+
+    def near_matches(self, items: DataFrame, misses: int = MISSES) -> DataFrame:
+        """Proximity matches: (doc_id, item_id, matched, of, item_from, doc_from), the fullest window of each pair.
+
+        A window of the least length counts if all but ``misses`` of its terms stand in the document, each at most ``misses``
+        places from where the others put it; so words may be changed, put in or left out.
+        """
+        found = self._union(items, lambda index, query, df: search_near(index, query, query.near_plan(df, misses), misses))
+        best = F.max(F.struct("matched", "of", (-F.col("doc_from")).alias("d"), (-F.col("item_from")).alias("i"))).alias("b")
+        pairs = found.groupBy("doc_id", "item_id").agg(best)
+        return pairs.select("doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.of").alias("of"), (-F.col("b.i")).alias("item_from"), (-F.col("b.d")).alias("doc_from"))
+
+
 def matches(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """All exact phrase matches: (doc_id, item_id, longest, item_from, doc_from, kind), one row per pair."""
-    query = read_items(items)
-    index = indexed(spark, docs, query)
-    found = search(index, query, query.plan(frequencies(index, query)))
-    best = F.max(F.struct("longest", F.struct(-F.col("doc_from"), -F.col("item_from")).alias("at"), "kind"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.longest").alias("longest"), (-F.col("b.at.col2")).alias("item_from"), (-F.col("b.at.col1")).alias("doc_from"), F.col("b.kind").alias("kind"))
+    return Searcher(spark, docs).matches(items)
 
 
 def near_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, misses: int = MISSES) -> DataFrame:
-    """Proximity matches: (doc_id, item_id, matched, of, item_from, doc_from), the fullest window of each pair.
-
-    A window of the least length counts if all but ``misses`` of its terms stand at their places in the document.
-    """
-    query = read_items(items)
-    index = indexed(spark, docs, query)
-    found = search_near(index, query, query.near_plan(frequencies(index, query), misses), misses)
-    best = F.max(F.struct("matched", "of", (-F.col("doc_from")).alias("d"), (-F.col("item_from")).alias("i"))).alias("b")
-    pairs = found.groupBy("doc_id", "item_id").agg(best)
-    return pairs.select("doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.of").alias("of"), (-F.col("b.i")).alias("item_from"), (-F.col("b.d")).alias("doc_from"))
+    return Searcher(spark, docs).near_matches(items, misses)
