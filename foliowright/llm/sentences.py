@@ -6,8 +6,8 @@ placeholders, the text is split with terminator patterns per script, and the pla
 back.  No Python runs on a row, and nothing leaves the row before the sentences are exploded.
 
 Defined results: null and empty texts have no sentence; a line without a terminator is a sentence of
-its own paragraph; private-use characters U+E001 to U+E010 of the input are treated as the marks
-they mask (they are no text).
+its own paragraph; private-use characters that the placeholders use are put aside where an input holds
+them, and come back as they were.
 """
 
 from __future__ import annotations
@@ -15,10 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliowright.functions.text import let
+
 # Terminators and the placeholders that stand for them, in the same order.
 TERMINATORS = ".!?…。！？।؟"
 MASKS = "\ue001\ue002\ue003\ue004\ue005\ue006\ue007\ue008\ue009"
 CUT = "\ue010"
+# The placeholders' own characters in an input stand aside as those of the last plane while the text is cut.
+_OWN = MASKS + CUT
+_ASIDE = "".join(chr(0x10FF00 + i) for i in range(len(_OWN)))
 
 # Abbreviations that never end a sentence, because a name or number follows them.
 BEFORE_NAMES = (
@@ -37,19 +42,20 @@ _QUOTED = "|".join(
     )
 ).replace("{{", "{").replace("}}", "}")
 _OPEN, _CLOSE = "“„«「『\"(（‘¿¡\\[", "”»」』\"'’)）\\]"
-_PIECES = f'(?s)({_QUOTED}|[^“„«「『"(（‘]++|.)'
+_PIECES = f'(?s)([\\x00-!#-\'\\x29-\\x7f]++|{_QUOTED}|[^“„«「『"(（‘]++|.)'  # plain runs first: the class is a table look-up
 
 
 def masked(text: Column) -> Column:
     """The text with every terminator that ends nothing replaced by its placeholder; as long as before."""
+    text = F.when(text.rlike(f"[{_OWN}]"), F.translate(text, _OWN, _ASIDE)).otherwise(text)
     for mark, mask in ((r"\.", MASKS[0]), (r"\?", MASKS[2]), ("!", MASKS[1])):  # addresses, decimals, letters run together
         text = F.regexp_replace(text, mark + r"(?=[\p{L}\p{N}/=&#_%])", mask)
-    text = F.regexp_replace(text, r"(?<=\d)\.(?=\n\d)", MASKS[0])  # a decimal wrapped over a line
+    text = F.regexp_replace(text, r"\.(?<=\d\.)(?=\n\d)", MASKS[0])  # a decimal wrapped over a line
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}\p{M}])([\p{Lu}\p{Lo}&&[^぀-ヿ㐀-鿿]]\p{M}*)\.", "$1" + MASKS[0])  # initials
     names = "|".join(a.replace(".", "[." + MASKS[0] + "]") for a in sorted(BEFORE_NAMES, key=lambda a: (-len(a), a)))
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}\p{{M}}])({names})\.", "$1" + MASKS[0])
-    german = text.rlike(r"\b(und|der|das|die|den|im)\b") & text.rlike("[äöüß„]")
-    text = F.when(german, F.regexp_replace(text, r"(?<=\d)\.(?=\s+\p{Lu})", MASKS[0])).otherwise(text)  # ordinals
+    german = lambda x: x.rlike(r"\b(und|der|das|die|den|im)\b") & x.rlike("[äöüß„]")
+    text = let(text, lambda x: F.when(german(x), F.regexp_replace(x, r"\.(?<=\d\.)(?=\s+\p{Lu})", MASKS[0])).otherwise(x))  # ordinals
     pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(1))
     inside = F.transform(pieces, lambda p: F.when((F.length(p) > 1) & p.rlike('^[“„«「『"(（‘]'), F.translate(p, TERMINATORS, MASKS)).otherwise(p))
     return F.array_join(inside, "")
@@ -60,26 +66,28 @@ def cut(text: Column) -> Column:
     t = masked(text)
     t = F.regexp_replace(t, r"\n[^\S\n]*\n\s*|\f", CUT)
     begins = rf"(?=\s+(?:[{_OPEN}]|\p{{Lu}}|\p{{Lt}}|[-–—]\s*\p{{Lu}}"
-    t = F.regexp_replace(t, rf"(?<![.…])(\.|[!?؟]+\.*)([{_CLOSE}]*){begins}|[\p{{Lo}}&&[^\p{{IsDevanagari}}]]))", "$1$2" + CUT)
+    t = F.regexp_replace(t, rf"(?=[.!?؟])(?<![.…])(\.|[!?؟]+\.*)([{_CLOSE}]*){begins}|[\p{{Lo}}&&[^\p{{IsDevanagari}}]]))", "$1$2" + CUT)
     t = F.regexp_replace(t, rf"([!?؟]+)([{_CLOSE}]*)(?=\s+\p{{IsDevanagari}})", "$1$2" + CUT)
-    t = F.regexp_replace(t, rf"(?<=\p{{L}}{{4}})([.!?؟])([{_CLOSE}]*)(?=\s+\d)", "$1$2" + CUT)
+    t = F.regexp_replace(t, rf"(?=[.!?؟])(?<=\p{{L}}{{4}})([.!?؟])([{_CLOSE}]*)(?=\s+\d)", "$1$2" + CUT)
     t = F.regexp_replace(t, rf"(\.{{2,}}|…+)([{_CLOSE}]*){begins}))", "$1$2" + CUT)
     t = F.regexp_replace(t, r"([。！？]+)([”」』’）)]*)", "$1$2" + CUT)
     t = F.regexp_replace(t, rf"([।॥]+)([{_CLOSE}]*)", "$1$2" + CUT)
     ended = MASKS.replace(MASKS[3], "")
     t = F.regexp_replace(t, rf"([{ended}][”“»\"’])(?=\s+[{_OPEN}]*\p{{Lu}})", "$1" + CUT)  # a quotation that stands alone
     t = F.regexp_replace(t, rf"([{ended}][”」』])(?=[“「『])", "$1" + CUT)
-    return F.regexp_replace(t, r"(?<=[฀-๿])[  ]+(?=\S)|(?<=\S)[  ]+(?=[฀-๿])", CUT)
+    return F.regexp_replace(t, r"(?=[  ])(?:(?<=[฀-๿])[  ]+(?=\S)|(?<=\S)[  ]+(?=[฀-๿]))", CUT)
+
+
+_WIDE = rf"[\u3000-\u30ff\u3400-\u9fff\uff00-\uffef\u0e00-\u0e7f{MASKS[4:7]}]"
 
 
 def sentence_array(text: Column) -> Column:
     """The sentences of a text in reading order, restored, line breaks as blanks (none in scripts without spaces)."""
-    parts = F.split(cut(text), CUT, -1)
-    plain = F.transform(parts, lambda p: F.translate(p, MASKS, TERMINATORS))
-    wide = r"[\u3000-\u30ff\u3400-\u9fff\uff00-\uffef\u0e00-\u0e7f]"
-    joined = F.transform(plain, lambda p: F.regexp_replace(p, rf"(?<={wide}\d{{0,9}})\s*\n\s*(?=[\d.,]{{0,9}}{wide})", ""))
-    clean = F.transform(joined, lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " ")))
-    return F.filter(clean, lambda p: F.length(p) > 0)
+    join = lambda t: F.when(t.rlike(_WIDE), F.regexp_replace(t, rf"(?<={_WIDE}\d{{0,9}})\s*\n\s*(?=[\d.,{MASKS[0]}]{{0,9}}{_WIDE})", "")).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(let(cut(text), join), r"(?U)\s+", " "), f" ?{CUT} ?", CUT)
+    own = lambda t: F.when(t.rlike(f"[{_ASIDE}]"), F.translate(t, _ASIDE, _OWN)).otherwise(t)
+    parts = F.transform(F.split(F.translate(t, MASKS, TERMINATORS), CUT, -1), lambda p: F.trim(p))
+    return F.transform(F.filter(parts, lambda p: F.length(p) > 0), own)
 
 
 def end_array(text: Column) -> Column:

@@ -184,6 +184,11 @@ def test_sentences_of_null_and_long(spark):
     assert sentences.ends(d).count() == 5000
 
 
+def test_private_use_characters_of_the_input_come_back(spark):
+    d = spark.createDataFrame([("One \ue001 two\ue010. Three 3.5!\n\n\ue004",)], "t string")
+    assert d.select(sentences.sentence_array(F.col("t"))).first()[0] == ["One \ue001 two\ue010.", "Three 3.5!", "\ue004"]
+
+
 # 5
 
 
