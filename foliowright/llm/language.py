@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 BUCKETS, DIM, EPOCHS, SEED = 1 << 15, 24, 30, 7
 SHORT = 12  # words under which a paragraph is held to the stricter threshold
 MAX_SAMPLES = 5000  # bound on labelled rows read for fitting
-PARA_SCHEMA = "doc_id bigint, para_no int, lang string, confidence double, n_letters int"
+PARA_SCHEMA = "doc_id bigint, para_no int, lang string, confidence double, n_letters int, rejected boolean"
 
 # ISO codes of the sampled languages and the spellings labels come in.
 NAMES: dict[str, tuple[str, ...]] = {
@@ -134,7 +134,6 @@ class Model:
                 ids, weights = bags[i]
                 if not len(ids):
                     continue
-                # a random part of the words, so that short paragraphs are learnt too
                 h = (emb[ids] * weights[:, None]).sum(0)
                 p = self._softmax(h @ w + b)
                 p[y[i]] -= 1
@@ -225,8 +224,8 @@ def _tagger(model: Model) -> Tagger:
 _BREAK = re.compile(r"\n[^\S\n]*\n\s*")
 
 
-def _tag(texts: list[str], tagger: Tagger) -> Iterator[tuple[int, list[tuple[int, int, float, int]]]]:
-    """Per text its paragraphs with (number, language, confidence, letters); short or doubtful ones follow the document."""
+def _tag(texts: list[str], tagger: Tagger) -> Iterator[tuple[int, list[tuple[int, int, float, int, bool]]]]:
+    """Per text its paragraphs with (number, language, confidence, letters, rejected); those rejected as doubtful follow the document."""
     paras, owner = [], []
     for i, t in enumerate(texts):
         ps = _BREAK.split(t)
@@ -247,24 +246,27 @@ def _tag(texts: list[str], tagger: Tagger) -> Iterator[tuple[int, list[tuple[int
         for j in range(a, b):
             if sizes[j]:
                 l = int(best[j]) if sure[j] else int(known[p[j, known].argmax()])
-                out.append((j - a + 1, l, float(p[j, l]), int(letters[j])))
+                out.append((j - a + 1, l, float(p[j, l]), int(letters[j]), not sure[j]))
         yield int(owner[a]), out
 
 
 def segments(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph with letters: language, confidence (1 at most) and letters."""
+    """One row per paragraph with letters: language, confidence (1 at most), letters, and whether its own language was rejected as doubtful.
+
+    A rejected paragraph has the likeliest of the languages that its document is surely in, with its own confidence in that.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(shared.value)
         langs = shared.value.langs
         for b in batches:
-            ids, out = b.column(0).to_pylist(), [[], [], [], [], []]
+            ids, out = b.column(0).to_pylist(), [[], [], [], [], [], []]
             for i, ps in _tag(b.column(1).to_pylist(), tagger):
-                for no, l, c, n in ps:
-                    for col, x in zip(out, (ids[i], no, langs[l], round(c, 4), n)):
+                for no, l, c, n, rejected in ps:
+                    for col, x in zip(out, (ids[i], no, langs[l], round(c, 4), n, bool(rejected))):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.int32())], names=["doc_id", "para_no", "lang", "confidence", "n_letters"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.bool_())], names=["doc_id", "para_no", "lang", "confidence", "n_letters", "rejected"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, PARA_SCHEMA)
 
@@ -281,10 +283,10 @@ def documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             ids, labels, out = b.column(0).to_pylist(), b.column(2).to_pylist(), [[], [], [], [], []]
             for i, ps in _tag(b.column(1).to_pylist(), tagger):
                 share: dict[int, float] = {}
-                for _, l, c, n in ps:
+                for _, l, c, n, _ in ps:
                     share[l] = share.get(l, 0) + n
                 main = min(share, key=lambda x: (-share[x], x))
-                conf = sum(c * n for _, l, c, n in ps if l == main) / max(1, sum(share.values()))
+                conf = sum(c * n for _, l, c, n, _ in ps if l == main) / max(1, sum(share.values()))
                 for col, x in zip(out, (ids[i], labels[i], names[main], round(conf, 4), sorted(names[x] for x in share))):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.list_(pa.string()))], names=["doc_id", "label", "main_lang", "confidence", "langs"])

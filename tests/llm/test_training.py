@@ -485,3 +485,84 @@ def test_empty_tables(spark, garble, tongues, samples):
     assert leakage.matches(spark, docs, items).count() == 0
     assert mixing.Mix(spark, docs, targets).draws().count() == 0
     assert language.documents(docs, tongues).count() == 0
+
+
+# what the second queries give, measured on made cases
+
+
+def test_restored_texts_equal_their_originals(garble, samples, spark):
+    """Of texts garbled whole and in part, at least nine in ten come back letter by letter; clean ones are not touched."""
+    rows, truth = [], {}
+    for n, r in enumerate(samples.where("lang in ('fr', 'de', 'es', 'ru', 'pt')").orderBy("lang", "sample_id").collect()):
+        k = n % 8
+        bad = mojibake.garble(r.text * 2, k)
+        if bad is None or bad == r.text * 2 or mojibake.ungarble(bad, k) is None or mojibake.ungarble(bad, k)[0] != r.text * 2:
+            continue
+        head = "" if n % 2 else "The old ferryman crossed the river before dawn and said nothing.\n\n"
+        truth[n] = head + r.text * 2
+        rows.append((n, head + bad))
+    rows += [(1000 + i, r.text) for i, r in enumerate(samples.orderBy("sample_id").collect())]
+    got = {r.row_id: r for r in mojibake.restore(spark.createDataFrame(rows, "render_id bigint, text string"), garble).collect()}
+    assert not [i for i in got if i >= 1000]
+    right = sum(i in got and got[i][1] == t for i, t in truth.items())
+    assert len(truth) > 20 and right >= 0.9 * len(truth), (right, len(truth))
+
+
+def test_twins_become_equal(samples):
+    """Texts spelled with other characters of the same look give the text they were made from."""
+    rng, n, same = random.Random(3), 0, 0
+    back: dict[str, list[str]] = {}
+    for c, plain in textforms.forms().items():
+        if len(plain) == 1 and plain.isascii() and plain.isalpha():
+            back.setdefault(plain, []).append(c)
+    for c, plain in textforms.TO_LATIN.items():
+        back.setdefault(plain, []).append(c)
+    for r in samples.where("lang in ('en', 'de', 'nl')").orderBy("sample_id").collect():
+        out = []
+        for w in r.text.split(" "):
+            i = rng.randrange(len(w)) if w else 0
+            if len(w) > 3 and rng.random() < 0.4 and w[i] in back:
+                w = w[:i] + rng.choice(back[w[i]]) + w[i + 1 :]
+            out.append(w + ("\u200b" if rng.random() < 0.05 else ""))
+        n, same = n + 1, same + (textforms.unify("\u00a0".join(out)) == textforms.unify(r.text))
+    assert same >= 0.98 * n and n > 50, (same, n)
+
+
+def test_segments_of_made_documents(tongues, samples, spark):
+    """Paragraphs of held-in samples in documents of one to three languages: nearly all get their own language."""
+    own = {}
+    for r in samples.orderBy("sample_id").collect():
+        own.setdefault(r.lang, []).append(r.text)
+    rng, docs, truth = random.Random(8), [], {}
+    for i in range(120):
+        langs = [rng.choice(sorted(own)) for _ in range(rng.randrange(1, 4))]
+        docs.append((i, "\n\n".join(rng.choice(own[x]) for x in langs)))
+        truth |= {(i, n + 1): x for n, x in enumerate(langs)}
+    got = language.segments(spark.createDataFrame(docs + [(999, None), (998, "1 2 3")], "doc_id bigint, text string"), tongues).collect()
+    assert len(got) == len(truth) and sum(truth[r.doc_id, r.para_no] == r.lang for r in got) >= 0.97 * len(truth)
+    assert all(isinstance(r.rejected, bool) and 0 < r.confidence <= 1 for r in got)
+
+
+def test_repaired_scans_read_like_their_originals(spark, samples):
+    """Pages cut, numbered and misread: at least 97 of 100 words of the repaired text are those printed, and no furniture is left."""
+    rng = np.random.default_rng(21)
+    base = [r.text for r in samples.where("lang = 'en'").orderBy("sample_id").collect()]
+    clean = [(i, "web", "The Hollow Tower", "\n".join(base[i % 40 : i % 40 + 12])) for i in range(200)]
+    scan, truth = [], {}
+    for i in range(200, 230):
+        printed = " ".join(base[(i * 3) % 30 : (i * 3) % 30 + 8])
+        read = " ".join(scans._damage(w, rng, 1) if len(w) > 5 and w.isalpha() and rng.random() < 0.08 else w for w in printed.split())
+        made, _ = furniture.make_page("Chapter 3: A Gate\n\n" + read, "The Hollow Tower", rng, lambda s, *_: s)
+        scan.append((i, "scan", "The Hollow Tower", made))
+        truth[i] = printed.split()
+    d = spark.createDataFrame(clean + scan, "render_id bigint, medium string, novel string, text string")
+    got = {r.render_id: r.clean_text.split() for r in scans.Analysis(spark, d, samples).repaired().collect()}
+    import difflib
+
+    good = total = 0
+    for i, words in truth.items():
+        m = difflib.SequenceMatcher(None, words, got[i], autojunk=False)
+        good += sum(b.size for b in m.get_matching_blocks())
+        total += len(words)
+        assert "THE HOLLOW TOWER" not in " ".join(got[i])
+    assert good >= 0.97 * total, (good, total)
