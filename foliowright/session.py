@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,7 +27,8 @@ def session(app: str = "foliowright", cores: int | str = "*", **conf: str) -> Sp
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder named by ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one.
 
-    Tables written there are intermediate results: they are read by later stages, also after executors are lost.
+    Tables written there are intermediate results: they are read by later stages, also after executors are lost.  All of an
+    application lie in one folder, which ``remove_shared`` takes away; it runs by itself when the driver's Python ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -33,11 +36,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "foliowright")
         os.makedirs(root.removeprefix("file://"), exist_ok=True)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/foliowright-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(remove_shared, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_FOLDERS: set[str] = set()
+
+
+def remove_shared(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete the intermediate tables of an application; results that are not yet computed need them."""
+    for f in {folder} if folder else set(_FOLDERS):
+        if f.startswith("file://"):
+            shutil.rmtree(f.removeprefix("file://"), ignore_errors=True)
+            continue
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may have ended first
+            pass
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input has fewer splits than there are; at scale, inputs have more and stay as they are."""
+    """Rows over all cores where the input has fewer splits than cores, as one small file has; no other input is shuffled.
+
+    It changes where rows are worked on, never which.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
