@@ -23,12 +23,17 @@ def is_pdf(path: Column) -> Column:
 def natural_key(path: Column) -> Column:
     """Sorts as people do: case ignored, numbers by value, a folder's own files before its subfolders.
 
-    The key of each level is its name with digit runs padded to 20 places; files are marked before folders.
+    The key of each level is its name with digit runs padded to 20 places, longer ones behind their length; files are
+    marked before folders.
     """
 
+    def number(r: Column) -> Column:
+        d = F.regexp_replace(r, r"^0+(?=\d)", "")
+        return F.when(F.length(d) <= 20, F.lpad(d, 20, "0")).otherwise(F.concat(F.lit(":"), F.lpad(F.length(d).cast("string"), 9, "0"), d))
+
     def level(name: Column, i: Column, n: Column) -> Column:
         runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-        padded = F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), 20, "0")).otherwise(r))
+        padded = F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), number(r)).otherwise(r))
         return F.concat(F.when(i + 1 == n, F.lit("0")).otherwise(F.lit("1")), F.array_join(padded, ""))
 
     parts = F.split(path, "/", -1)
@@ -103,17 +108,27 @@ def mirrored(path: Column, root: str, output_dir: Column) -> Column:
     return F.when(inside, F.concat(output_dir, F.lit("/" + name), below)).otherwise(output_dir)
 
 
-def unique_paths(df: DataFrame, folder: str, name: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:
+def unique_paths(df: DataFrame, folder: str, name: str, order: list[str], taken: DataFrame | None = None, block: Column | None = None) -> DataFrame:
     """Add ``output_path``: the first of a stem keeps it, others get _2, _3 ... in order.
 
+    A stem that a third of all rows share would be ranked in one task; with ``block``, a column that never falls along the
+    order, rows are ranked within their block and moved on by what the blocks before hold.
+
     Numbers that ``taken`` (output_path) or another row's own stem already uses are passed over: free numbers
     and waiting rows are ranked and joined rank to rank, so no row waits for another.
     """
     rows = df.withColumn("_stem", stem(F.col(name)))
     key = ["_folder", "_key"]
     rows = rows.withColumn("_folder", F.col(folder)).withColumn("_key", F.col("_stem"))
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    rows = rows.withColumn("_n", n)
+    if block is None:
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    else:
+        rows = rows.withColumn("_block", block)
+        held = rows.groupBy(*key, "_block").agg(F.count("*").alias("_size"))
+        before = F.sum("_size").over(Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # as many rows as a stem has blocks
+        held = held.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_size")
+        local = F.row_number().over(Window.partitionBy(*key, "_block").orderBy(*order))
+        rows = rows.withColumn("_n", local).join(held, [*key, "_block"]).withColumn("_n", (F.col("_n") + F.col("_before")).cast("int")).drop("_block", "_before")
     path = lambda k: F.concat("_folder", F.lit("/"), "_stem", F.when(k > 1, F.concat(F.lit("_"), k.cast("string"))).otherwise(""), F.lit(".pdf"))
     used = rows.select("_folder", F.col("_stem").alias("_name")).distinct()
     if taken is not None:

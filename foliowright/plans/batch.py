@@ -19,7 +19,7 @@ def registry(cases: DataFrame) -> DataFrame:
 def dispatch(df: DataFrame, novel_col: str, reg: DataFrame) -> DataFrame:
     """Add norm_key, profile, display_name, index_filename, has_profile and pipeline; names without a profile are universal."""
     key = N.norm_key(F.coalesce(F.col(novel_col), F.lit("")))
-    r = F.broadcast(reg.withColumnRenamed("display_name", "_display").withColumnRenamed("index_filename", "_index"))  # one row per profiled novel, a fixed table
+    r = reg.withColumnRenamed("display_name", "_display").withColumnRenamed("index_filename", "_index")  # broadcast if its measured size allows
     d = df.withColumn("norm_key", key).join(r, "norm_key", "left")
     shown = F.coalesce(F.nullif(T.strip(F.col(novel_col)), F.lit("")), F.lit(N.UNIVERSAL))
     d = d.withColumn("has_profile", F.col("profile").isNotNull()).withColumn("display_name", F.coalesce("_display", shown))

@@ -13,7 +13,7 @@ from foliowright.operators import audit, layout, lexicon, lines
 from foliowright.operators.watermark import site_gate, strip_watermarks
 from foliowright.plans import batch
 from foliowright.plans.clean import clean
-from foliowright.plans.oracles import CASES, DIRTY, SIGNALS
+from foliowright.plans.oracles import CASES, DIRTY, FIXES, SIGNALS
 from foliowright.plans.oracles import ORACLES as RULES
 from foliowright.plans.pipeline_sql import PLANS
 from foliowright.plans.run import Run
@@ -282,7 +282,7 @@ def output_names(spark: SparkSession, sf: str) -> DataFrame:
     """Every input's output path without a collision, in processing order."""
     b = table(spark, sf, "batch_inputs").select("run_id", "seq", "path").distinct()
     b = b.withColumn("folder", N.mirrored(F.col("path"), "in", F.lit("out"))).withColumn("name", N.basename(F.col("path")))
-    named = N.unique_paths(b, "folder", "name", ["run_id", "seq", "path"])
+    named = N.unique_paths(b, "folder", "name", ["run_id", "seq", "path"], block=F.floor(F.col("run_id") / 64))
     return named.select("run_id", "seq", "path", "output_path", N.debug_path(F.col("output_path")).alias("debug_path"))
 
 
@@ -365,6 +365,14 @@ def clean_profiled(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("render_id", "profile", "clean_text", audit.edit_count(F.col("edits")).alias("n_edits"))
 
 
+@query
+def forced_fixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents cleaned with forced substitutions, which headings are spared."""
+    done = clean(spread(dirty(spark, sf)), "text", fixes=FIXES)
+    n = F.size(F.filter("edits", lambda e: e["rule"] == "special_fixes")).cast("long")
+    return done.select("doc_id", "clean_text", n.alias("n_fixes"))
+
+
 def _batch(spark: SparkSession, sf: str, dry_run: bool = False) -> Run:
     inputs = table(spark, sf, "batch_inputs").distinct()
     terms = lexicon.load_all(table(spark, sf, "lexicon_terms"))

@@ -75,7 +75,7 @@ _SPAN = f"{_OPEN}[^{_CLOSE}]*{_CLOSE}"
 _spans_of = lambda x: f"list_filter(list_transform(regexp_extract_all({x}, {q(_SPAN)}), lambda h: lower({rr('h', (f'[{_OPEN}{_CLOSE}]', ''), (f'[{WS}]+', ' '))})), lambda h: h <> '')"
 
 
-def plan(source: str, tier2: bool = False, profiled: bool = False, terms: bool = False, summed: str = "true") -> str:
+def plan(source: str, tier2: bool = False, profiled: bool = False, terms: bool = False, summed: str = "true", fixes: dict[str, str] | None = None) -> str:
     """CTEs ending in ``done``: (doc_id, id, text, entries, reason, n_violations) of the plan over ``source`` (id, text).
 
     With ``terms``, the source also has the patterns p and w of its row's profile; rows that are ``summed`` get the rows of a profiled run.
@@ -134,6 +134,13 @@ def plan(source: str, tier2: bool = False, profiled: bool = False, terms: bool =
     steps.append(f"{new}m AS MATERIALIZED (SELECT doc_id, translate(text, {q(_OPEN + _CLOSE)}, '') AS before, {bare} AS text, e, n_dash FROM {name})")
     steps.append(f"{new} AS MATERIALIZED (SELECT doc_id, text, e, n_dash, {_slashes.replace('text', 'before')} - {_slashes} AS n_slash FROM {new}m)")
     name = new
+    for bad in sorted(fixes or {}, key=lambda k: (-len(k), k)):
+        new = f"s{len(steps) + 1}"
+        parts = f"string_split_regex(text, {q(_HEADING)})"
+        put = f"list_aggregate(list_transform({parts}, lambda g, i: replace(g, {q(bad)}, {q(fixes[bad])}) || coalesce(regexp_extract_all(text, {q(_HEADING)})[i], '')), 'string_agg', '')"
+        log = f"CASE WHEN len(list_filter({parts}, lambda g: contains(g, {q(bad)}))) > 0 THEN [{_entry(q(bad), 'special_fixes', q(bad), 'forced_substitution', q(fixes[bad]))}] ELSE {_NO_ENTRY} END"
+        steps.append(f"{new} AS MATERIALIZED (SELECT doc_id, {put} AS text, list_concat(e, {log}) AS e, n_dash, n_slash FROM {name})")
+        name = new
     whole(f"SELECT doc_id, string_agg({O._titles('line')}, chr(10) ORDER BY n) AS text FROM (SELECT doc_id, unnest({_lines}) AS line, generate_subscripts({_lines}, 1) AS n FROM {O.SRC}) GROUP BY doc_id")
     step(O._punctuation)
     step(O._articles)
@@ -188,5 +195,6 @@ PLANS: dict[str, str] = {
     "join_split_words": O.on_dirty(_split_words("text")),
     "audit_jsonl": f"""{plan(_DIRTY_ROWS)} SELECT id AS doc_id, CAST(0 AS BIGINT) AS line_no, '{{"record":"run_metadata","pipeline":"universal"}}' AS line FROM done
       UNION ALL SELECT id, CAST(n AS BIGINT), CAST(to_json(x) AS VARCHAR) FROM {_unnested}""",
+    "forced_fixes": f"{plan(_DIRTY_ROWS, fixes=O.FIXES)} SELECT id AS doc_id, text AS clean_text, CAST(len(list_filter(entries, lambda x: x.rule = 'special_fixes')) AS BIGINT) AS n_fixes FROM done",
     "audit_rows": f"{plan(_DIRTY_ROWS)} SELECT id AS doc_id, CAST(n - 1 AS INTEGER) AS seq, x.original AS original, x.replacement AS replacement, x.rule AS rule, x.category AS category, x.context AS context FROM {_unnested}",
 }

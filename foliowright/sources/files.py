@@ -71,28 +71,30 @@ def term_file(spark: SparkSession, path: str, profile: str) -> DataFrame:
     """(profile, term) of a term file: lines with # comments, or JSON; a missing or broken file has none."""
     from foliowright.operators.lexicon import cleaned, from_json
 
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import AnalysisException
+
+    json = path.lower().endswith(".json")
     try:
-        if path.lower().endswith(".json"):
-            text = spark.read.text(path, wholetext=True).select(F.lit(profile).alias("profile"), F.col("value").alias("json"))
-            return cleaned(from_json(text, "json"))
-        return cleaned(spark.read.text(path).select(F.lit(profile).alias("profile"), F.col("value").alias("term")))
-    except Exception:  # noqa: BLE001 - an unreadable file is an empty one
+        text = spark.read.text(path, wholetext=json).select(F.lit(profile).alias("profile"), F.col("value").alias("json" if json else "term"))
+    except (AnalysisException, Py4JJavaError):  # no such file
         return spark.createDataFrame([], "profile string, term string")
+    return cleaned(from_json(text, "json") if json else text)
 
 
 def notes(universal: DataFrame, layers: DataFrame, novels: DataFrame, novel_col: str = "novel") -> DataFrame:
     """(novel, combined, universal_only): the base notes (name, text) with the novel's layer, if one matches its name."""
-    base = F.broadcast(universal.select(F.col("text").alias("base")))  # one row
+    base = F.lit(universal.agg(F.max("text")).first()[0] or "")  # one row by the aggregate, one text
     own = layers.select(N.norm_key(F.regexp_replace("name", r"(?i)\.md$", "")).alias("key"), F.col("text").alias("layer")).where("key <> 'universal'").groupBy("key").agg(F.min("layer").alias("layer"))
-    d = novels.withColumn("key", N.norm_key(F.coalesce(F.col(novel_col), F.lit("")))).join(own, "key", "left").join(base)
-    combined = T.strip(F.concat_ws("\n\n", F.nullif(F.col("base"), F.lit("")), "layer"))
+    d = novels.withColumn("key", N.norm_key(F.coalesce(F.col(novel_col), F.lit("")))).join(own, "key", "left")
+    combined = T.strip(F.concat_ws("\n\n", F.nullif(base, F.lit("")), "layer"))
     return d.select(novel_col, combined.alias("combined"), F.col("layer").isNull().alias("universal_only"))
 
 
 def roster(index_files: DataFrame, reg: DataFrame, name_col: str = "index_filename") -> DataFrame:
     """(position, entry): the universal entry, then every novel with an index file by name, marked where it has no profile."""
     shown = index_files.where(F.col(name_col).isNotNull() & F.lower(name_col).endswith(".txt")).select(N.display_name(F.col(name_col)).alias("name")).distinct()
-    d = shown.withColumn("norm_key", N.norm_key(F.col("name"))).join(F.broadcast(reg.select("norm_key", "profile")), "norm_key", "left")
+    d = shown.withColumn("norm_key", N.norm_key(F.col("name"))).join(reg.select("norm_key", "profile"), "norm_key", "left")
     entries = d.select(F.lit(1).alias("group"), "name", F.when(F.col("profile").isNull(), F.concat("name", F.lit(N.NO_PROFILE))).otherwise(F.col("name")).alias("entry"))
     first = index_files.sparkSession.createDataFrame([(0, N.UNIVERSAL, N.UNIVERSAL)], "group int, name string, entry string")
     return first.unionByName(entries).select("group", "name", "entry")

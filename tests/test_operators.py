@@ -272,3 +272,18 @@ def test_watermark_errors_are_a_column(spark):
     d = spark.createDataFrame([(1, "at novelfire.net now"), (2, None)], "id int, text string")
     r = watermark.strip_watermarks(d, "text", error_col="why").orderBy("id").collect()
     assert [(x.text, x.why) for x in r] == [("now", None), (None, None)]
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["x9" + "0" * 24, "x1" + "0" * 24, "x" + "9" * 20, "x2", "x10", "x" + "0" * 30 + "3"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(N.natural_key(F.col("n"))).collect()]
+    assert got == ["x2", "x" + "0" * 30 + "3", "x10", "x" + "9" * 20, "x1" + "0" * 24, "x9" + "0" * 24]
+
+
+def test_ranks_by_block_equal_ranks(spark):
+    rows = [(i, "out", "a.pdf" if i % 3 else "b.pdf") for i in range(40)] + [(100, "out", "a_5.pdf")]
+    d = spark.createDataFrame(rows, "k int, folder string, name string")
+    taken = spark.createDataFrame([("out/a_3.pdf",)], "output_path string")
+    one = {(r.k, r.output_path) for r in N.unique_paths(d, "folder", "name", ["k"], taken).collect()}
+    assert one == {(r.k, r.output_path) for r in N.unique_paths(d, "folder", "name", ["k"], taken, block=F.floor(F.col("k") / 7)).collect()}
+    assert len({p for _, p in one}) == 41 and ("out/a_3.pdf" not in {p for _, p in one})
