@@ -158,7 +158,7 @@ flagged AS MATERIALIZED (SELECT * EXCLUDE (text), CASE WHEN len({hits}) >= 2 THE
         for n, (rule, category, note) in ((count, ("quote_normalize", "quote", "curly doubles -> straight")), (f"{name}.n_slash", ("slash_replace", "slash", "numeric ratio -> out of")), (f"{name}.n_dash", ("em_dash", "dash", "spaced em/en dash -> , or ."))):
             note_entry = _ENTRY.format(f"CAST({n} AS VARCHAR) || ' occurrence(s)'", q(note), q(rule), q(category), q(note))
             entries = f"list_concat({entries}, CASE WHEN {n} > 0 AND {summed} THEN [{note_entry}] ELSE {_NO_ENTRY} END)"
-    done = f"done AS (SELECT flagged.doc_id, flagged.id, {name}.text AS text, list_filter({entries}, lambda x: x.original <> x.replacement) AS entries, reason, CAST(len({_violations.replace('text', name + '.text')}) AS BIGINT) AS n_violations FROM {name} JOIN flagged ON flagged.doc_id = {name}.doc_id)"
+    done = f"done AS (SELECT flagged.doc_id, flagged.id, {name}.text AS text, list_filter({entries}, lambda x: x.original <> x.replacement) AS entries, reason, list_transform({_violations.replace('text', name + '.text')}, lambda x: substring(x, 1, 120)) AS violations, len(violations) AS n_violations FROM {name} JOIN flagged ON flagged.doc_id = {name}.doc_id)"
     return "WITH " + ",\n".join([flagged, first, *steps, done])
 
 
@@ -180,11 +180,44 @@ _NAMES = f"""named AS (SELECT run_id, seq, path, folder || '/' || stem || CASE W
 _done = f"(SELECT n.*, d.text AS clean_text, d.entries AS entries FROM numbered n JOIN done d ON d.doc_id = n.doc_id)"
 _edits = f"CASE WHEN status = 'succeeded' THEN {_n_edits.removesuffix(' AS n_edits')} ELSE 0 END AS n_edits"
 
+_TOTALS = f"""SELECT b.*, 'out' AS output_dir, CASE WHEN m.profile IS NOT NULL THEN m.display_name ELSE coalesce(nullif({O.strip('m.selected')}, ''), {q(O.UNIVERSAL)}) END AS novel, m.profile IS NOT NULL AS profile_applied FROM ({O.ORACLES['batch_summary']}) b LEFT JOIN {_RUNS} m ON m.run_id = b.run_id"""
+
+
+def _log() -> str:
+    """What each run says: head, inputs, end, and the failed and skipped by name."""
+    line = lambda n, level, text: f"{{'n': {n}, 'level': {level}, 'message': {text}}}"
+    label = f"coalesce(nullif(selected, ''), '(none — universal-only)')"
+    layer = f"""CASE WHEN profile_applied THEN 'Applied novel-specific editing layer for ' || novel || ' (built-in profile).' WHEN lower(trim(coalesce(selected, ''))) = 'universal'
+      THEN 'Universal editing selected — applying the standard universal-only editing (no novel-specific layer).' ELSE 'No novel-specific profile for ''' || {label} || ''' — universal-only editing.' END"""
+    head = ", ".join(line(n, q(level), text) for n, (level, text) in enumerate((
+        ("accent", "'Starting batch: ' || total || ' file(s).'"), ("muted", "'Output folder: ' || output_dir"), ("accent", f"'Selected novel: ' || {label}"), ("muted", q("Loaded universal editor rules (UNIVERSAL.md).")), ("muted", layer),
+        ("muted", "'Loaded ' || n_terms || ' protected term(s) for ' || novel || '.'"),
+    )))
+    edits = f"len(list_filter(entries, lambda x: x.category <> 'integrity_flag'))"
+    state = f"""'[' || i || '/' || total || '] ' || regexp_replace(path, '^.*/', '') || ' — ' || CASE WHEN starts_with(status, 'skipped') THEN status WHEN status = 'failed' THEN 'FAILED (' || raises || ')' ELSE 'done (' || {edits} || CASE WHEN {edits} = 1 THEN ' edit)' ELSE ' edits)' END END"""
+    level = "CASE WHEN starts_with(status, 'skipped') THEN 'warn' WHEN status = 'failed' THEN 'error' ELSE 'success' END"
+    listed = "CASE WHEN status = 'failed' THEN {0} ELSE {1} END"
+    part, loud = listed.format(3, 5), listed.format("'error'", "'warn'")
+    return f"""{_batch}, f AS (SELECT n.*, d.entries, d.reason AS page_reason, d.violations, row_number() OVER (PARTITION BY n.run_id ORDER BY seq, path) AS i FROM numbered n JOIN done d ON d.doc_id = n.doc_id),
+t AS ({_TOTALS}), k AS (SELECT profile, count(*) AS c FROM {O._terms} GROUP BY profile),
+r AS (SELECT t.*, m.selected, coalesce(k.c, 0) AS n_terms FROM t LEFT JOIN {_RUNS} m ON m.run_id = t.run_id LEFT JOIN k ON k.profile = m.profile),
+g AS (SELECT f.*, t.total FROM f JOIN t ON t.run_id = f.run_id),
+said AS (SELECT run_id, 0 AS part, 0 AS seq, unnest([{head}]) AS m FROM r
+  UNION ALL SELECT run_id, 1, i, {line(0, "'warn'", "'  ⚠ ' || page_reason || ' — chapter text missing; file needs re-scrape'")} FROM g WHERE status = 'succeeded' AND page_reason IS NOT NULL
+  UNION ALL SELECT run_id, 1, i, unnest(list_transform(violations, lambda h: {line(1, "'warn'", "'  ⚠ Non-normalized chapter line: ' || h || '...'")})) FROM g WHERE status = 'succeeded'
+  UNION ALL SELECT run_id, 1, i, {line(2, level, state)} FROM g
+  UNION ALL SELECT run_id, 2, 0, {line(0, "CASE WHEN failed = 0 THEN 'success' ELSE 'warn' END", "'Batch complete: ' || succeeded || ' done, ' || failed || ' failed, ' || skipped || ' skipped of ' || total || '.'")} FROM r
+  UNION ALL SELECT DISTINCT run_id, {part}, 0, {line(-1, loud, listed.format("'Failed:'", "'Skipped:'"))} FROM (SELECT run_id, CASE WHEN status = 'failed' THEN status ELSE 'skipped' END AS status FROM g WHERE status <> 'succeeded')
+  UNION ALL SELECT run_id, {part}, i, {line(0, loud, "'  - ' || regexp_replace(path, '^.*/', '') || ' (' || " + listed.format("raises", r"regexp_extract(status, '\((.*)\)$', 1)") + " || ')'")} FROM g WHERE status <> 'succeeded')
+SELECT run_id, CAST(part AS INTEGER) AS part, CAST(seq AS BIGINT) AS seq, CAST(m.n AS INTEGER) AS n, m.level AS level, m.message AS message FROM said"""
+
+
 PLANS: dict[str, str] = {
     "batch_results": f"{_batch}, {_NAMES} SELECT f.run_id, f.seq, f.path, status, raises AS reason, coalesce(profile, 'universal') AS pipeline, output_path, {_edits}, CASE WHEN status = 'succeeded' THEN clean_text END AS clean_text FROM {_done} f LEFT JOIN named o ON o.run_id = f.run_id AND o.seq = f.seq AND o.path = f.path",
     "batch_dry_run": f"{_batch} SELECT run_id, seq, path, status, {_edits}, CAST(NULL AS VARCHAR) AS output_path FROM {_done}",
     "batch_entries": f"{_batch} SELECT run_id, seq, CAST(n - 1 AS INTEGER) AS n, x.original AS original, x.replacement AS replacement, x.rule AS rule, x.category AS category, x.context AS context FROM (SELECT run_id, seq, unnest(entries) AS x, generate_subscripts(entries, 1) AS n FROM {_done} WHERE status = 'succeeded')",
-    "batch_totals": f"""SELECT b.*, 'out' AS output_dir, CASE WHEN m.profile IS NOT NULL THEN m.display_name ELSE coalesce(nullif({O.strip('m.selected')}, ''), {q(O.UNIVERSAL)}) END AS novel, m.profile IS NOT NULL AS profile_applied FROM ({O.ORACLES['batch_summary']}) b LEFT JOIN {_RUNS} m ON m.run_id = b.run_id""",
+    "batch_totals": _TOTALS,
+    "batch_log": _log(),
     "clean_profiled": f"{_profiled_plan} SELECT done.id AS render_id, profile, done.text AS clean_text, {_n_edits} FROM done JOIN numbered ON numbered.doc_id = done.doc_id",
     "terms_kept": f"""{_profiled_plan} SELECT DISTINCT render_id, profile, before, after, after >= before AS kept FROM (SELECT numbered.id AS render_id, profile, CAST(len({_spans_of(_marked('numbered.raw', 'p', 'w'))}) AS BIGINT) AS before, CAST(len({_spans_of(_marked('done.text', 'p', 'w'))}) AS BIGINT) AS after
       FROM done JOIN numbered ON numbered.doc_id = done.doc_id)""",

@@ -111,4 +111,4 @@ def test_paragraphs_sequential(spark):
 def test_error_page_needs_two_signals(spark):
     df = spark.createDataFrame([("You are being rate limited. Cloudflare Ray ID: 1",), ("Cloudflare Ray ID only",)], "t string")
     a, b = [r[0] for r in df.select(T.error_page(F.col("t"))).collect()]
-    assert a == "error page detected (signals: ray-id, rate-limited)" and b is None
+    assert a == "Cloudflare error page detected (signals: ray-id, rate-limited)" and b is None
