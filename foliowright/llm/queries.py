@@ -118,7 +118,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of web renders that many of their site's articles hold, republished ones counted once."""
-    return repeated_lines.excessive_lines(_web(spark, sf), by="clusters")
+    return repeated_lines.excessive_lines(_web(spark, sf), by="clusters", period="hour")  # small tables span one day
 
 
 def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,8 +6,8 @@ stands in, with the rows of those clusters and their publication dates beside it
 
 * ``rows``: a line is excessive at ``MIN_ROWS`` rows and ``MIN_SHARE`` of the site's rows, rows of a
   cluster counted one by one, as the project states it;
-* ``clusters``: a line is boilerplate at ``MIN_ROWS`` clusters on ``MIN_DATES`` dates and ``MIN_SHARE`` of
-  the site's clusters, so the lines of a republished article are not mistaken for it.
+* ``clusters``: a line is boilerplate at ``MIN_ROWS`` clusters on ``MIN_DATES`` dates (or hours, by ``period``) and
+  ``MIN_SHARE`` of the site's clusters, so the lines of a republished article are not mistaken for it.
 
 Only hashes travel: 64 + 32 bits of the normalised line, 64 + 32 of the text.  Rows are deduplicated
 by id before anything is counted; partial sums are formed before each shuffle; the final look-up is
@@ -41,9 +41,9 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.withColumn("keys", F.when(F.col("text").isNull(), F.array().cast("array<struct<a:bigint,b:int>>")).otherwise(keys))
 
 
-def statistics(df: DataFrame, id_col: str = "render_id", site_col: str = "site", text_col: str = "text", time_col: str = "rendered_at") -> DataFrame:
+def statistics(df: DataFrame, id_col: str = "render_id", site_col: str = "site", text_col: str = "text", time_col: str = "rendered_at", period: str = "day") -> DataFrame:
     """Every line key of a site with enough rows: rows, clusters and dates it stands in, the site's rows and clusters, and both decisions."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.col(text_col).alias("text"), F.to_date(time_col).alias("day"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.col(text_col).alias("text"), F.date_trunc(period, time_col).alias("day"))
     rows = _lines(rows).select("id", "site", "day", F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b")).alias("cluster"), F.array_distinct(F.filter("keys", lambda k: k.isNotNull())).alias("keys"))
     once = rows.groupBy("id", "site").agg(F.first("cluster").alias("cluster"), F.first("keys").alias("keys"), F.min("day").alias("day"))
     # rows of a cluster are summed per date before they meet, so a text copied a million times arrives as a few rows
@@ -58,9 +58,9 @@ def statistics(df: DataFrame, id_col: str = "render_id", site_col: str = "site",
     return counted.where(F.col("n_rows") >= MIN_ROWS).join(total, "site").withColumn("excessive", excessive).withColumn("boilerplate", own)
 
 
-def excessive_lines(df: DataFrame, id_col: str = "render_id", site_col: str = "site", text_col: str = "text", time_col: str = "rendered_at", by: str = "rows") -> DataFrame:
+def excessive_lines(df: DataFrame, id_col: str = "render_id", site_col: str = "site", text_col: str = "text", time_col: str = "rendered_at", by: str = "rows", period: str = "day") -> DataFrame:
     """(id, line_no) of every line to remove, by ``rows`` or by ``clusters``."""
-    bad = statistics(df, id_col, site_col, text_col, time_col).where({"rows": "excessive", "clusters": "boilerplate"}[by]).select("site", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
+    bad = statistics(df, id_col, site_col, text_col, time_col, period).where({"rows": "excessive", "clusters": "boilerplate"}[by]).select("site", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
     bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.col(text_col).alias("text"))
     at = _lines(rows).select("id", "site", F.posexplode("keys").alias("n", "key")).where("key is not null")

@@ -14,7 +14,7 @@ SELECT DISTINCT n.render_id, CAST(n.line_no AS BIGINT) AS line_no FROM n JOIN ba
 """
 
 P5_BOILERPLATE = r"""
-WITH w AS (SELECT render_id, coalesce(site, '') AS site, text, min(CAST(rendered_at AS DATE)) AS day FROM build_pdf WHERE medium = 'web' GROUP BY 1, 2, 3),
+WITH w AS (SELECT render_id, coalesce(site, '') AS site, text, min(date_trunc('hour', rendered_at)) AS day FROM build_pdf WHERE medium = 'web' GROUP BY 1, 2, 3),
 cluster AS (SELECT site, text, min(day) AS day FROM w GROUP BY site, text),
 total AS (SELECT site, count(*) AS site_clusters FROM cluster GROUP BY site),
 l AS (SELECT render_id, site, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM w WHERE text IS NOT NULL),

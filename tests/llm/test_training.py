@@ -217,6 +217,19 @@ def test_repeated_lines_of_nothing(spark):
     assert repeated_lines.excessive_lines(d).count() == 0
 
 
+def test_republished_articles_are_no_boilerplate(spark):
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2024, 1, 1 + n)
+    story = "The same chapter.\nIts second line."
+    rows = [(i, "s", story, day(i % 3)) for i in range(20)] + [(100 + i, "s", f"Share this!\nLine {chr(97 + i)} {chr(98 + i)}.", day(i % 4)) for i in range(12)]
+    rows += [(200 + i, "t", f"Today only!\nWord {chr(97 + i)}.", day(0)) for i in range(8)]
+    d = spark.createDataFrame(rows, "render_id bigint, site string, text string, rendered_at timestamp")
+    lines = lambda by: {(r.render_id, r.line_no) for r in repeated_lines.excessive_lines(d, by=by).collect()}
+    assert lines("clusters") == {(100 + i, 1) for i in range(12)}
+    assert lines("rows") == {(i, n) for i in range(20) for n in (1, 2)} | {(100 + i, 1) for i in range(12)} | {(200 + i, 1) for i in range(8)}
+
+
 # 6
 
 
