@@ -247,8 +247,10 @@ def evidence(n_page: Column, n_story: Column) -> Column:
 def confirmed(records: DataFrame) -> DataFrame:
     """(key, n_page, n_story) of the units of pages that repeat as wholes, however they are laid out, and that story does not hold."""
     pages = records.where(f"n_text between 1 and {PAGE_UNITS}").select("src", "row_id", "whole", "keys").distinct()
-    wholes = pages.groupBy("whole").agg(F.count("*").alias("n_page")).where(evidence(F.col("n_page"), F.lit(0)) >= EVIDENCE)
-    each = pages.join(wholes, "whole").select("keys", "n_page").distinct().select("keys", "n_page", F.explode(F.array_distinct("keys")).alias("key"))
+    # pages of the same layout are summed before they meet, so a page that a third of all rows repeat is one row
+    alike = pages.groupBy("whole", "keys").agg(F.count("*").alias("n"))
+    wholes = alike.groupBy("whole").agg(F.sum("n").alias("n_page")).where(evidence(F.col("n_page"), F.lit(0)) >= EVIDENCE)
+    each = alike.join(wholes, "whole").select("keys", "n_page", F.explode(F.array_distinct("keys")).alias("key"))
     told = records.where(f"n_text > {PAGE_UNITS}").select("src", "row_id", F.explode("keys").alias("key"))
     told = told.join(each.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count_distinct("src", "row_id").alias("n_story"))
     units = each.join(told, "key", "left").fillna(0, ["n_story"])
