@@ -195,7 +195,7 @@ def floor_outside_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def _profiled(spark: SparkSession, sf: str) -> DataFrame:
     """Chapters of profiled novels with their profile."""
-    d = batch.dispatch(table(spark, sf, "build_pdf").select("render_id", "novel", "text"), "novel", batch.registry(table(spark, sf, "dispatch_cases")))
+    d = batch.dispatch(spread(table(spark, sf, "build_pdf").select("render_id", "novel", "text")), "novel", batch.registry(table(spark, sf, "dispatch_cases")))
     return d.where("profile is not null").select("render_id", "profile", "text")
 
 
@@ -204,7 +204,7 @@ def protected_terms(spark: SparkSession, sf: str) -> DataFrame:
     """How often each protected term of each profile stands in each chapter."""
     terms = lexicon.load_all(table(spark, sf, "lexicon_terms"))
     # a repeated row repeats its counts: those are shuffled, not the texts
-    return lexicon.term_counts(table(spark, sf, "build_pdf").select("render_id", "text"), "render_id", "text", terms).distinct()
+    return lexicon.term_counts(spread(table(spark, sf, "build_pdf").select("render_id", "text")), "render_id", "text", terms).distinct()
 
 
 @query

@@ -26,6 +26,15 @@ def _repairs(c: Column) -> Column:
     return c
 
 
+# Private-use characters that rules mark spans with stand aside, as those of the last plane, where an input holds them.
+_OWN = "\ue000\ue001\ue002"
+_ASIDE = "\U0010fe00\U0010fe01\U0010fe02"
+
+
+def _swap(c: Column, a: str, b: str) -> Column:
+    return T.let(c, lambda x: F.when(x.rlike(f"[{a}]"), F.translate(x, a, b)).otherwise(x))
+
+
 def _removed_runs(before: Column, terms: tuple[str, ...]) -> Column:
     return F.transform(T.decorations(before, terms), lambda x: audit.entry(x["run"], F.lit(""), F.lit("junk_strip.decorative_run"), "fingerprint", x["line"]))
 
@@ -63,7 +72,7 @@ def clean(df: DataFrame, text_col: str, terms: tuple[str, ...] | dict[str, tuple
     d = df.withColumn("_raw", F.coalesce(F.col(text_col), F.lit(""))).withColumn("error_reason", T.error_page(raw))
     flag = audit.entry(F.col("error_reason"), F.lit("[FLAGGED: whole-file error page - re-scrape needed]"), F.lit("junk_strip.error_page_flag"), "integrity_flag", F.substring_index(raw, "\n", 1))
     d = d.withColumn("_e", audit.only(F.col("error_reason").isNotNull(), flag))
-    d = d.withColumn("_t", T.expand_ligatures(T.straight_quotes(T.normalize_unicode(raw))))
+    d = d.withColumn("_t", T.expand_ligatures(T.straight_quotes(T.normalize_unicode(_swap(raw, _OWN, _ASIDE)))))
     # site junk, before the scanner's squares go, because markers are spelled with them
     d = d.withColumn("_e", F.concat("_e", audit.markers(t))).withColumn("_t", T.drop_markers(t))
     for pattern, rule in ((T.AT_MARKER, "junk_strip.at_marker"), (T.URL, "junk_strip.url"), (T.WWW, "junk_strip.url")):
@@ -87,7 +96,7 @@ def clean(df: DataFrame, text_col: str, terms: tuple[str, ...] | dict[str, tuple
         d = d.withColumn("_t", rule(t))
     if profiled:
         d = d.withColumn("_e", F.concat("_e", audit.summary(F.when(summed, F.col("_slashes")), *RATIOS_NOTE), audit.summary(F.when(summed, F.col("_dashes")), *DASHES_NOTE)))
-    d = d.withColumn("clean_text", t).withColumn("edits", audit.effective(F.col("_e"))).withColumn("heading_violations", T.heading_violations(t))
+    d = d.withColumn("clean_text", _swap(t, _ASIDE, _OWN)).withColumn("edits", audit.effective(F.col("_e"))).withColumn("heading_violations", T.heading_violations(t))
     return d.drop("_raw", "_t", "_e", "_marks", "_dashes", "_slashes")
 
 

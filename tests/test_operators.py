@@ -287,3 +287,8 @@ def test_ranks_by_block_equal_ranks(spark):
     one = {(r.k, r.output_path) for r in N.unique_paths(d, "folder", "name", ["k"], taken).collect()}
     assert one == {(r.k, r.output_path) for r in N.unique_paths(d, "folder", "name", ["k"], taken, block=F.floor(F.col("k") / 7)).collect()}
     assert len({p for _, p in one}) == 41 and ("out/a_3.pdf" not in {p for _, p in one})
+
+
+def test_private_use_characters_survive_cleaning(spark):
+    text = "Go \ue000on\ue001 b0dy\ue002 of the sur-\nface."
+    assert clean(one(spark, text), "text", terms=("Sunny",)).first().clean_text == "Go \ue000on\ue001 body\ue002 of the surface."
