@@ -203,4 +203,4 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_templates, p3_found, p3_restored, p4_found, p4_sentences, p5_found, p5_boilerplate, p5_cleaned, p6_found, p6_repaired, p7_found, p7_matches, p7_proximity, p8_draws, p8_report, p8_temperature, p9_found, p9_segments)
 }
-ORACLES: dict[str, str] = {"p5_found": sql.P5_FOUND, "p5_boilerplate": sql.P5_BOILERPLATE}
+ORACLES: dict[str, str] = {"p5_found": sql.P5_FOUND, "p5_boilerplate": sql.P5_BOILERPLATE, "p5_cleaned": sql.P5_CLEANED}

@@ -24,3 +24,12 @@ c AS (SELECT n.site, k, count(DISTINCT n.text) AS n_clusters, count(DISTINCT day
 bad AS (SELECT c.site, c.k FROM c JOIN total USING (site) WHERE n_clusters >= 5 AND n_dates >= 2 AND n_clusters >= 0.03 * site_clusters)
 SELECT DISTINCT n.render_id, CAST(n.line_no AS BIGINT) AS line_no FROM n JOIN bad ON n.site = bad.site AND n.k = bad.k
 """
+
+_FOUND = P5_FOUND.strip().removesuffix("\n")
+P5_CLEANED = f"""
+WITH gone AS ({_FOUND}), one AS (SELECT DISTINCT render_id, site, text FROM build_pdf WHERE medium = 'web'),
+cut AS (SELECT render_id, list(line_no) AS n FROM gone GROUP BY render_id)
+SELECT one.render_id, one.site, list_aggregate(list_filter(string_split(text, chr(10)), lambda x, i: NOT coalesce(list_contains(n, i), false)), 'string_agg', chr(10)) AS joined,
+  CASE WHEN text IS NULL THEN NULL ELSE coalesce(joined, '') END AS clean_text, CAST(coalesce(len(n), 0) AS INTEGER) AS n_removed FROM one LEFT JOIN cut ON cut.render_id = one.render_id
+"""
+P5_CLEANED = f"SELECT render_id, site, clean_text, n_removed FROM ({P5_CLEANED})"
