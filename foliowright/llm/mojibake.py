@@ -3,8 +3,8 @@
 A hidden Markov model labels every non-ASCII character of a text with either the *clean* state or the
 state of one encoding pair (true encoding -> encoding wrongly used to decode).  ASCII characters are
 the same bytes in all those encodings, so they carry no evidence and are skipped.  Emissions are the
-character distributions of clean sample text and of the same text passed through each pair; the
-samples are a bounded, fixed table (``lang_samples`` and ``eval_items``, about a thousand short texts).
+character distributions of clean sample text and of the same text passed through each pair, counted
+over every row of the sample tables (``lang_samples`` and ``eval_items``).
 Each labelled span is then inverted with its state's transform, and accepted when the inversion is
 valid and reads more like clean text under a character-bigram model of the same samples.
 
@@ -18,7 +18,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowright.llm.lookalikes import LATIN_TWIN
+from foliowright.session import spread
 
 # Fixed values: (true encoding, encoding it was read in); "twice" marks a double round.
 PAIRS: tuple[tuple[str, str], ...] = (
@@ -134,46 +135,65 @@ def typographic(text: str) -> str:
     return re.sub(r"(?<=\w)'(?=\w)", "\u2019", text)
 
 
+# Forms of the samples that are counted, and their weights: as they are, in capitals, with printers' marks.
+FORMS = (1.0, 0.1, 0.5)
+UNI, BI = 2 * len(FORMS), 2 * len(FORMS) + 1  # kinds of counts after the characters and the sizes of each form
+COUNT_SCHEMA = "lang string, kind int, state int, key bigint, n bigint"
+
+
+def tally(lang: str, texts: list[str]) -> Iterator[tuple[str, int, int, np.ndarray, np.ndarray]]:
+    """(language, kind, state, keys, counts) of clean texts of one language; counts of parts of a table add up to those of the whole.
+
+    Kind ``f`` counts the characters of form ``f`` with their neighbourhoods, in state 0 as they are, in state j as pair j - 1 makes them;
+    kind ``len(FORMS) + f`` holds sizes: the length, and in state 0 the lines that the form changes, else those the pair cannot hold.
+    """
+    plain = "\n".join(texts)
+    t = f"\n{plain}\n".translate(_SAME)
+    codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    yield "", UNI, 0, *np.unique(codes[1:], return_counts=True)
+    yield "", BI, 0, *np.unique(codes[:-1] << 21 | codes[1:], return_counts=True)
+    for f, s in enumerate((plain, plain.upper(), typographic(plain))):
+        for j in range(len(PAIRS) + 1):
+            g, odd = (s, int(s != plain)) if j == 0 else (garble(s, j - 1), 0)
+            if g is None:  # some character is not in the true encoding: take the lines that are
+                lines = [garble(y, j - 1) for y in s.split("\n")]
+                g, odd = "\n".join(x for x in lines if x), lines.count(None)
+            yield lang, len(FORMS) + f, j, np.arange(2), np.array([len(g) + bool(g), odd])
+            codes = np.frombuffer(g.encode("utf-32-le", "surrogatepass"), "<u4")
+            at = np.flatnonzero(codes > 127)
+            if len(at):
+                yield lang, f, j, *np.unique(codes[at].astype(np.int64) * N_CTX + contexts(codes, at), return_counts=True)
+
+
 class Model:
-    """Emission tables of the HMM and the clean-text bigram model, fitted on clean samples (lang, text).
+    """Emission tables of the HMM and the clean-text bigram model, from the counts of clean samples (``tally``), summed.
 
     A state's emission of a character with its neighbourhood is its likelihood in the sample language
     that fits best, in the clean state as in the others, so that no state wins by being of one language.
     """
 
-    def __init__(self, samples: Iterable[tuple[str, str]]):
-        by: dict[str, list[str]] = {}
-        for lang, s in samples:
-            if s:
-                by.setdefault(lang, []).append(s)
-        self.uni, self.bi = Counter(), Counter()
+    def __init__(self, tallies: dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray]]):
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, n = tallies.get(("", UNI, 0), none)
+        self.uni = Counter(dict(zip(map(chr, keys.tolist()), n.tolist())))
+        keys, n = tallies.get(("", BI, 0), none)
+        self.bi = Counter({(chr(k >> 21), chr(k & 0x1FFFFF)): x for k, x in zip(keys.tolist(), n.tolist())})
         counts: list[dict[str, Counter]] = [{} for _ in range(len(PAIRS) + 1)]
-        for lang, texts in by.items():
-            plain = "\n".join(texts)
-            self.uni.update(plain.translate(_SAME))
-            t = plain.translate(_SAME)
-            self.bi.update(zip(t, t[1:]))
-            for weight, s in ((1.0, plain), (0.1, plain.upper()), (0.5, typographic(plain))):
-                if weight < 1 and s == plain:
+        for lang, kind, j in sorted(tallies):
+            if kind >= len(FORMS):
+                continue
+            size, odd = tallies[lang, len(FORMS) + kind, j][1]
+            whole, changed = tallies[lang, len(FORMS) + kind, 0][1]
+            if kind and not changed or j and odd and size < 0.3 * whole:
+                continue
+            keys, n = tallies[lang, kind, j]
+            if j:  # a pair that leaves a language as it is has nothing to tell about it
+                own, other = (_by_char(*tallies.get((lang, kind, i), none)) for i in (0, j))
+                if sum((own & other).values()) > 0.5 * sum(own.values()):
                     continue
-                for j in range(len(PAIRS) + 1):
-                    g = s if j == 0 else garble(s, j - 1)
-                    if g is None:  # some character is not in the true encoding: take the texts that are
-                        g = "\n".join(x for x in (garble(y, j - 1) for y in s.split("\n")) if x)
-                        if len(g) < 0.3 * len(s):
-                            continue
-                    if j:  # a pair that leaves a language as it is has nothing to tell about it
-                        own, other = Counter(c for c in s if ord(c) > 127), Counter(c for c in g if ord(c) > 127)
-                        if sum((own & other).values()) > 0.5 * sum(own.values()):
-                            continue
-                    codes = np.frombuffer(g.encode("utf-32-le", "surrogatepass"), "<u4")
-                    at = np.flatnonzero(codes > 127)
-                    if not len(at):
-                        continue
-                    keys, n = np.unique(codes[at].astype(np.int64) * N_CTX + contexts(codes, at), return_counts=True)
-                    c = counts[j].setdefault(lang, Counter())
-                    for key, x in zip(keys.tolist(), n.tolist()):
-                        c[key] += weight * x
+            c = counts[j].setdefault(lang, Counter())
+            for key, x in zip(keys.tolist(), n.tolist()):
+                c[key] += FORMS[kind] * x
         for c in counts[0].values():
             total = sum(c.values())
             for mark in MARKS + SYMBOLS + "\u00a0\u00ad\u00ac":
@@ -404,10 +424,36 @@ class Decoder:
         return (start, stop, None, k) if traces >= 2 else None
 
 
-def fit(samples: DataFrame, limit: int = 5000) -> Model:
-    """Fit on (lang, text) of a fixed sample table; ``limit`` is the documented bound on samples read."""
-    rows = samples.select("lang", "text").where(F.col("text").isNotNull()).orderBy("lang", "text").limit(limit).collect()
-    return Model((r[0] or "", r[1]) for r in rows)
+def _by_char(keys: np.ndarray, n: np.ndarray) -> Counter:
+    """Counts of characters in any neighbourhood."""
+    out: Counter = Counter()
+    for key, x in zip((keys // N_CTX).tolist(), n.tolist()):
+        out[key] += x
+    return out
+
+
+def fit(samples: DataFrame) -> Model:
+    """Fit on all (lang, text) of a table of clean samples: counted where the rows are, so only sums reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                parts = list(tally(lang, texts))
+                sizes = [len(keys) for *_, keys, _ in parts]
+                cols = [np.repeat(np.array([x[i] for x in parts]), sizes) for i in range(3)]
+                cols += [np.concatenate([x[i] for x in parts]) for i in (3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["lang", "kind", "state", "key", "n"])
+
+    rows = samples.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text <> ''")
+    table = spread(rows).mapInArrow(run, COUNT_SCHEMA).groupBy("lang", "kind", "state", "key").agg(F.sum("n").alias("n"))
+    sums = table.groupBy("lang", "kind", "state").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("c"))
+    c = F.col("c")
+    out = sums.select("lang", "kind", "state", c["key"].alias("keys"), c["n"].alias("counts")).toArrow()
+    lists = [[x.values.to_numpy() for x in out.column(k)] for k in (3, 4)]
+    return Model(dict(zip(zip(*(out.column(k).to_pylist() for k in range(3))), zip(*lists))))
 
 
 _DECODERS: dict[int, Decoder] = {}

@@ -148,6 +148,34 @@ def test_lost_bytes_are_found_not_restored(garble):
     assert spans and all(s[3] is None for s in spans)
 
 
+def _many_samples(spark):
+    """More samples than 5,000, those of the alphabetically last language behind them."""
+    rows = [("en", f"The clerk wrote line {i} at the café.") for i in range(5100)] + [("uk", t) for t in ("Їжак пішов додому, бо їсти хотів.", "Ґанок старої хати стояв біля лісу, і є там вода.")]
+    return spark.createDataFrame(rows, "lang string, text string")
+
+
+def test_the_garble_model_counts_every_sample(spark):
+    d = _many_samples(spark)
+    m = mojibake.fit(d)
+    assert {ord(c) for c in "їєґ"} <= set(m.chars) and m.uni["é"] == 5100 and m.bi["ї", "ж"] == 0 and m.bi["Ї", "ж"] == 1
+    one, many = mojibake.fit(d.coalesce(1)), mojibake.fit(d.repartition(17))  # how the table is parted does not matter
+    assert one.chars == many.chars and (one.emit == many.emit).all() and one.uni == many.uni and one.bi == many.bi
+
+
+def test_counts_of_lines_are_those_of_the_whole(samples):
+    """Counting the samples one by one gives what counting a language at once does, multibyte leftovers included."""
+    for lang in ("fr", "ja", "ru"):
+        texts = [r.text for r in samples.where(F.col("lang") == lang).orderBy("sample_id").limit(12).collect()]
+        got, want = {}, {}
+        for into, parts in ((want, [texts]), (got, [[t] for t in texts])):
+            for part in parts:
+                for key, kind, j, keys, n in mojibake.tally(lang, part):
+                    for k, x in zip(keys.tolist(), n.tolist()):
+                        if not (mojibake.UNI > kind >= len(mojibake.FORMS) and (j, k) == (0, 1)):  # this says only whether any line is changed
+                            into[key, kind, j, k] = into.get((key, kind, j, k), 0) + x
+        assert got == want
+
+
 @pytest.mark.parametrize("text", ["AMANHÃ NÃO. CONTRA TODOS", "He carved the letters Ã and Â into it.", "Îles, Âge and ÜBER", "A fee of £6 or €6, 6 °C", "ПЕРЕВОД КОМАНДЫ", "她等了又等……然后", "uncoνered", "floor ﬂoor", ""])
 def test_correct_accents_are_no_garble(garble, text):
     assert list(mojibake.Decoder(garble).spans([text])) == []
