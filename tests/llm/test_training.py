@@ -162,6 +162,19 @@ def test_the_garble_model_counts_every_sample(spark):
     assert one.chars == many.chars and (one.emit == many.emit).all() and one.uni == many.uni and one.bi == many.bi
 
 
+def test_lookalikes_are_judged_with_every_sample(spark, samples, tmp_path):
+    """A garbled text in the language of the last samples is no case of look-alikes, though it holds other blanks."""
+    text = samples.where("lang = 'ru'").orderBy("sample_id").first().text
+    bad = "\n".join(filter(None, (mojibake.garble(w, mojibake.PAIRS.index(("cp866", "cp1251"))) for w in text.splitlines())))
+    assert "\u00a0" in bad and textforms.is_case(bad)
+    spark.createDataFrame([(1, bad), (2, "a\u200bb"), (3, text)], "render_id bigint, text string").write.parquet(f"{tmp_path}/build_pdf.parquet")
+    spark.createDataFrame([(1, bad), (2, "a\u00a0b")], "edit_id bigint, original string").write.parquet(f"{tmp_path}/edits.parquet")
+    d = _many_samples(spark).where("lang = 'en'").unionByName(samples.where("lang = 'ru'").select("lang", "text"))
+    d.write.parquet(f"{tmp_path}/lang_samples.parquet")
+    d.limit(0).write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert {tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()} == {("build_pdf", 2), ("edits", 2)}
+
+
 def test_counts_of_lines_are_those_of_the_whole(samples):
     """Counting the samples one by one gives what counting a language at once does, multibyte leftovers included."""
     for lang in ("fr", "ja", "ru"):
