@@ -338,6 +338,25 @@ def test_every_listed_confusion_is_a_candidate(spark):
     assert {p for p in pairs.items() if p[0] not in pairs.values()} <= got
 
 
+def test_candidates_equal_brute_force(spark):
+    """All pairs that share enough q-grams of their shapes or have the same strokes, each once, and the ranker decides on them."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcehilnorstu1") for _ in range(rng.randint(2, 9))) for _ in range(150)} | {"house", "houfe", "candle", "cardle", "knife", "kriife", "the", "tlie", "minimum", "rninirnurn", "aaaa", "aaaaaaaa"})
+    rows = [("en", w, *((20 + i, 0) if i % 2 else (0, 1 + i % 5)), 0, 0) for i, w in enumerate(words)] + [("fr", "houfe", 0, 1, 0, 0), ("fr", "house", 9, 0, 0, 0), ("de", "houfe", 0, 1, 0, 0)]
+    share = lambda a, b: len(scans._shape(a) & scans._shape(b)) / len(scans._shape(a) | scans._shape(b))
+    known = [(lang, w, clean + scan) for lang, w, clean, scan, *_ in rows if clean + scan >= scans.KNOWN and w.isalpha()]
+    doubt = [(lang, w, scan) for lang, w, clean, scan, *_ in rows if scan and clean < scans.KNOWN and not w.isdigit()]
+    want = [(lang, w, n, v, t, round(share(w, v), 9)) for lang, w, n in doubt for other, v, t in known if lang == other and w != v and t > n and (share(w, v) >= scans.SHARED or scans._strokes(w) == scans._strokes(v))]
+    lex = spark.createDataFrame(rows, scans.LEXICON_SCHEMA)
+    assert sorted((*r[:5], round(r.share, 9)) for r in scans.candidates(lex).collect()) == sorted(want)
+    small = spark.createDataFrame([("en", "house", 100, 0, 0, 0), ("en", "houfe", 0, 1, 0, 0), ("en", "hcuse", 0, 1, 0, 0), ("en", "h0use", 0, 1, 0, 0)], scans.LEXICON_SCHEMA)
+    x = np.zeros((400, 10))
+    x[:, 6] = np.arange(400) / 400
+    keen = Booster().fit(x, (x[:, 6] > 0.3).astype(float))  # goes by the q-grams only
+    assert {r.word for r in scans.corrections(small, keen).collect()} == {"houfe", "hcuse", "h0use"}
+    assert {r.word for r in scans.corrections(small, Booster()).collect()} == {"h0use"}  # one with nothing to learn from
+
+
 def test_a_misread_word_is_no_reading(spark):
     import numpy as np
 
